@@ -1,0 +1,109 @@
+"""Truth tables of the column rules (thresholds, NULL handling, order of
+tests)."""
+
+from pyspark.sql import functions as F
+
+from stratus.functions.calendar import day_flag, in_season, season_of, season_order, season_year
+from stratus.functions.numeric import deviation, deviation_class, pct, pearson_expr
+from stratus.operators.profiles import VS_MEAN_LABELS
+from stratus.operators.rules import flood_rule, heat_rule, wind_rule
+
+
+def test_day_flag_edges(spark):
+    df = spark.createDataFrame([(h,) for h in (5, 6, 17, 18, None)], "h int")
+    got = [r.f for r in df.select(day_flag("h").alias("f")).collect()]
+    assert got == [False, True, True, False, False]
+
+
+def test_season_and_season_year(spark):
+    rows = [(12, 1999), (1, 2000), (2, 2000), (3, 2000), (6, 2000), (9, 2000), (None, 2000)]
+    df = spark.createDataFrame(rows, "m int, y int")
+    got = df.select(season_of("m").alias("s"), season_year("m", "y").alias("sy"),
+                    season_order(season_of("m")).alias("o")).collect()
+    assert [r.s for r in got] == ["winter", "winter", "winter", "spring", "summer", "autumn", None]
+    assert [r.sy for r in got] == [1999, 1999, 1999, 2000, 2000, 2000, 2000]
+    assert [r.o for r in got] == [4, 4, 4, 1, 2, 3, 0]
+
+
+def test_in_season_is_a_month_predicate(spark):
+    df = spark.createDataFrame([(m,) for m in range(1, 13)], "month int")
+    got = sorted(r.month for r in df.filter(in_season("month", "winter", "summer")).collect())
+    assert got == [1, 2, 6, 7, 8, 12]
+
+
+def test_deviation_class_order(spark):
+    vals = [-10.01, -10.0, -0.01, 0.0, 0.01, 10.0, 10.01, None]
+    df = spark.createDataFrame([(v,) for v in vals], "d double")
+    got = [r.c for r in df.select(deviation_class("d", 10, VS_MEAN_LABELS).alias("c")).collect()]
+    far_below, below, far_above, above, avg = VS_MEAN_LABELS
+    assert got == [far_below, below, below, avg, above, above, far_above, avg]
+
+
+def test_pct_and_deviation_never_raise(spark):
+    df = spark.createDataFrame([(1, 0, 5.0, 0.0), (1, 3, 5.0, 4.0), (None, 3, None, 2.0)],
+                               "a long, b long, s double, h double")
+    a, p = deviation("s", "h", 3)
+    _, pz = deviation("s", "h", 3, zero_as=1.0)
+    got = df.select(pct("a", "b").alias("pct"), a.alias("a"), p.alias("p"),
+                    pz.alias("pz")).collect()
+    assert got[0].pct is None and got[0].p is None and got[0].pz == 500.0
+    assert got[1].pct == 33.33 and got[1].a == 1.0 and got[1].p == 25.0
+    assert got[2].pct is None and got[2].p is None
+
+
+def test_pearson_constant_column_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0)], "x double, y double")
+    assert df.agg(pearson_expr("x", "y").alias("r")).first().r is None
+    df2 = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double")
+    assert abs(df2.agg(pearson_expr("x", "y").alias("r")).first().r - 1.0) < 1e-12
+
+
+def test_heat_rule_tiers(spark):
+    rows = [  # min_h, max_h, avg_t
+        (0, 8, 20.0), (0, 9, 20.0), (0, 12, 20.0), (0, 13, 20.0), (0, 20, 20.0), (0, 21, 20.0),
+        (80, 86, 35.1), (80, 86, 35.0), (70, 76, 33.1), (70, 75, 34.0),
+        (None, None, None), (80, 86, None),
+    ]
+    df = spark.createDataFrame(rows, "min_humidity int, max_humidity int, avg_temp double")
+    got = [r.risk_level for r in heat_rule(df).collect()]
+    assert got == ["LOW", "MEDIUM", "MEDIUM", "HIGH", "HIGH", "CRITICAL",
+                   "CRITICAL", "HIGH", "HIGH", "LOW", "LOW", "LOW"]
+
+
+def test_flood_rule_three_valued(spark):
+    cols = ("stream_avg_cloud double, hist_avg_cloud double, stream_avg_pressure double, "
+            "stream_min_pressure double, stream_max_pressure double, hist_avg_pressure double")
+    rows = [
+        (130.0, 100.0, 1000.0, 1000.0, 1003.0, 1001.99),   # 30 %, drop 3.0, below 1.99
+        (130.1, 100.0, 1000.0, 1000.0, 1003.1, 1002.0),    # 30.1 %, 3.1, 2.0 → risk
+        (50.0, 0.0, 1000.0, 1000.0, 1004.0, 1002.0),       # zero hist cloud → divisor 1.0
+        (None, 100.0, 1000.0, 1000.0, 1001.0, 1002.0),     # NULL with FALSE → FALSE
+        (None, 100.0, 1000.0, 1000.0, 1004.0, 1002.0),     # NULL with TRUE → NULL
+    ]
+    got = flood_rule(spark.createDataFrame(rows, cols)).collect()
+    assert [r.high_cloud_anomaly for r in got[:2]] == [False, True]
+    assert [r.pressure_drop_alert for r in got[:2]] == [False, True]
+    assert [r.pressure_below_hist_alert for r in got[:2]] == [False, True]
+    assert [r.flood_risk for r in got] == [False, True, True, False, None]
+    assert got[2].cloud_anomaly_pct == 5000.0
+
+
+def test_wind_rule_cases(spark):
+    cols = ("avg_wind_speed double, min_wind_speed double, max_wind_speed double, "
+            "max_gust double, min_wind_dir double, max_wind_dir double")
+    rows = [
+        (5.0, 0.0, 10.0, 6.0, 10.0, 20.0),      # min 0 → NULL rise; gust 20 %; dir 10
+        (10.0, 10.0, 15.0, 13.0, 10.0, 350.0),  # rise 50 (not >), gust 30 (not >), dir 20
+        (10.0, 10.0, 15.01, 13.01, 0.0, 180.0),  # rise 50.1, gust 30.1, dir 180
+        (10.0, 10.0, 11.0, None, 0.0, 45.0),    # NULL gust, dir 45 → FALSE/NULL/FALSE
+        (10.0, 10.0, 11.0, None, 0.0, 45.1),    # dir 45.1 → TRUE
+        (5.0, 0.0, 6.0, 5.5, 0.0, 10.0),        # NULL rise OR FALSE OR FALSE → NULL
+    ]
+    got = wind_rule(spark.createDataFrame(rows, cols)).collect()
+    assert got[0].wind_speed_rise_pct is None and got[0].gust_above_avg_pct == 20.0
+    assert got[1].wind_speed_rise_pct == 50.0 and got[1].speed_alert is False
+    assert got[1].wind_dir_change == 20.0 and got[1].gust_alert is False
+    assert got[2].speed_alert and got[2].gust_alert and got[2].wind_dir_change == 180.0
+    assert got[3].gust_alert is None and got[3].wind_alert is None
+    assert got[4].wind_alert is True
+    assert got[5].wind_alert is None
