@@ -14,14 +14,30 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def scaled_long(c, scale: int) -> Column:
+    """``c`` × 10^scale as an exact integer (the value in units of the last
+    decimal). Exact for values with at most ``scale`` decimals — the same
+    integer a cast to DECIMAL(·, scale) holds — and plain double/long
+    arithmetic, so it stays in generated code with no decimal objects."""
+    return F.rint(_c(c) * float(10 ** scale)).cast(T.LongType())
+
+
+def from_scaled(total: Column, scale: int) -> Column:
+    """Integer total in units of 10^-scale → double (same rounding as a
+    DECIMAL → DOUBLE cast: integer to double, then one division)."""
+    return total.cast(T.DoubleType()) / float(10 ** scale)
+
+
 def sum_exact(c, scale: int | None = None) -> Column:
-    """Aggregate sum. With ``scale`` the addition is done in DECIMAL(18,scale)
-    (wide-accumulated DECIMAL(28,scale)) so the result does not depend on
-    addition order, i.e. on partitioning; ``scale`` must cover the decimals
-    present in the data. ``None`` keeps plain floating-point ``sum``."""
+    """Aggregate sum. With ``scale`` the values are added as exact integers
+    of 10^-scale units, so the result does not depend on addition order —
+    i.e. on partitioning or on which engine computes it. ``scale`` must cover
+    the decimals present in the data; a total beyond ±9.2e18 units fails
+    loudly (ANSI overflow) instead of wrapping. ``None`` keeps plain
+    floating-point ``sum``."""
     if scale is None:
         return F.sum(_c(c))
-    return F.sum(_c(c).cast(T.DecimalType(18, scale))).cast(T.DoubleType())
+    return from_scaled(F.sum(scaled_long(c, scale)), scale)
 
 
 def mean_exact(c, scale: int | None = None) -> Column:

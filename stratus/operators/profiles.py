@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratus.functions.calendar import in_season
-from stratus.functions.numeric import deviation_class, mean_exact, pct, sum_exact
+from stratus.functions.numeric import (
+    deviation_class, from_scaled, mean_exact, pct, scaled_long, sum_exact,
+)
 from stratus.operators.ranking import rank_within
 from stratus.operators.rollups import daily_rollup
 
@@ -151,8 +152,7 @@ def hot_day_cooccurrence(df: DataFrame, entity: str, heat_value: str, wet_value:
     # number of years
     w = Window.partitionBy(entity)
     precip_sum = (F.sum(F.col(precip_n)).over(w) if scale is None else
-                  F.sum(F.col(precip_n).cast(T.DecimalType(18, scale))).over(w)
-                  .cast(T.DoubleType()))
+                  from_scaled(F.sum(scaled_long(precip_n, scale)).over(w), scale))
     return (yearly.withColumn(hot_all_n, F.sum(hot_n).over(w))
                   .withColumn(wet_all_n, F.sum(wet_n).over(w))
                   .withColumn(precip_all_n, F.round(precip_sum, 2))

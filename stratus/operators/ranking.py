@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.session import materialize
+
 _METHODS = ("rank", "dense_rank", "row_number", "ntile")
 
 
@@ -36,7 +38,7 @@ def _buckets(df: DataFrame, requested: int | None) -> int:
     if requested:
         return max(2, int(requested))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(n, 1024))
+    return max(2, min(n // 4, 1024))
 
 
 def _surrogate(dt: T.DataType, c: Column) -> Column:
@@ -58,46 +60,49 @@ def _surrogate(dt: T.DataType, c: Column) -> Column:
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` treating NULL = NULL; right-side key columns are
     dropped."""
-    renamed = right
-    for i, k in enumerate(keys):
-        renamed = renamed.withColumnRenamed(k, f"__rk{i}")
+    rk = [f"__rk{i}" for i in range(len(keys))]
+    renamed = right.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
+                           *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b,
-                  [F.col(k).eqNullSafe(F.col(f"__rk{i}")) for i, k in enumerate(keys)])
-    return left.join(renamed, cond, "inner").drop(*[f"__rk{i}" for i in range(len(keys))])
+                  [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(keys, rk)])
+    return left.join(renamed, cond, "inner").drop(*rk)
 
 
-def _rank_one(df: DataFrame, parts: list[str], col: str, descending: bool,
-              buckets: int, accuracy: int, with_dense: bool, with_total: bool,
-              prefix: str) -> DataFrame:
+def _rank_one(df: DataFrame, parts: list[str], col: str, dtype: T.DataType,
+              descending: bool, buckets: int, accuracy: int, with_dense: bool,
+              with_total: bool, prefix: str) -> DataFrame:
     """Add ``{prefix}r`` (rank), optionally ``{prefix}d`` (dense rank) and
     ``{prefix}n`` (group size) for ordering by one column."""
     v = F.col(col)
     keys = df.groupBy(*parts, col).agg(F.count(F.lit(1)).alias("_m"))
-    s = _surrogate(keys.schema[col].dataType, v)
+    s = _surrogate(dtype, v)
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = keys.select(F.percentile_approx(s, probs, accuracy)).scalar()
+    # cut points over the same aggregate (its exchange is reused by the
+    # subquery); fixed for the whole execution
+    cuts = keys.where(F.col("_m") > 0).select(F.percentile_approx(s, probs, accuracy)).scalar()
     # number of cut points strictly below the value = bucket id (0 … B-1)
     pos = F.array_position(F.sort_array(F.array_union(cuts, F.array(s))), s)
-    keys = keys.withColumn("_b", F.coalesce(pos - 1, F.lit(0)).cast(T.IntegerType()))
+    bucket = F.coalesce(pos - 1, F.lit(0)).cast(T.IntegerType())
+    keys = keys.select(*parts, col, "_m", bucket.alias("_b"))
 
     sort = v.desc_nulls_last() if descending else v.asc_nulls_first()
     w_local = Window.partitionBy(*parts, "_b").orderBy(sort)
-    local = (keys
-             .withColumn("_before", F.coalesce(
-                 F.sum("_m").over(w_local.rowsBetween(Window.unboundedPreceding, -1)),
-                 F.lit(0)))
-             .withColumn("_dl", F.row_number().over(w_local)))
+    local = keys.select(
+        "*",
+        F.coalesce(F.sum("_m").over(w_local.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.row_number().over(w_local).alias("_dl"))
 
     bsort = F.col("_b").desc() if descending else F.col("_b").asc()
-    w_off = Window.partitionBy(*parts).orderBy(bsort)
-    before = w_off.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (keys.groupBy(*parts, "_b")
-               .agg(F.sum("_m").alias("_tm"), F.count(F.lit(1)).alias("_td"))
-               .withColumn("_om", F.coalesce(F.sum("_tm").over(before), F.lit(0)))
-               .withColumn("_od", F.coalesce(F.sum("_td").over(before), F.lit(0))))
+    before = Window.partitionBy(*parts).orderBy(bsort).rowsBetween(Window.unboundedPreceding, -1)
+    totals = keys.groupBy(*parts, "_b").agg(F.sum("_m").alias("_tm"),
+                                            F.count(F.lit(1)).alias("_td"))
+    off_cols = [*parts, "_b",
+                F.coalesce(F.sum("_tm").over(before), F.lit(0)).alias("_om"),
+                F.coalesce(F.sum("_td").over(before), F.lit(0)).alias("_od")]
     if with_total:
-        offsets = offsets.withColumn(
-            "_gn", F.sum("_tm").over(Window.partitionBy(*parts)))
+        off_cols.append(F.sum("_tm").over(Window.partitionBy(*parts)).alias("_gn"))
+    offsets = totals.select(*off_cols)
     ranked = _null_safe_join(local, offsets, [*parts, "_b"])
     out = [*parts, col, (F.col("_om") + F.col("_before") + 1).alias(f"{prefix}r")]
     if with_dense:
@@ -109,7 +114,8 @@ def _rank_one(df: DataFrame, parts: list[str], col: str, descending: bool,
 
 def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str] = (),
                 method: str = "rank", out: str = "rank", n: int | None = None,
-                buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+                buckets: int | None = None, accuracy: int = 10000,
+                checkpoint: bool = True) -> DataFrame:
     """Add column ``out`` = ``method`` over (PARTITION BY ``partition_by``
     ORDER BY ``order_by``), computed without single-task windows.
 
@@ -118,6 +124,11 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     ``method``: ``rank``, ``dense_rank`` (single order column),
     ``row_number`` and ``ntile`` (the order must be unique inside a group —
     add the entity key as a tie-break). Results are ``int`` like Spark's.
+
+    The input is read by several branches (keys, cut points, join back);
+    with ``checkpoint`` it is materialised once in the shared checkpoint
+    folder first, and again between order columns, so the upstream scan runs
+    once (see :func:`stratus.session.materialize`).
     """
     if method not in _METHODS:
         raise ValueError(f"method must be one of {_METHODS}")
@@ -128,12 +139,15 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
         raise ValueError("dense_rank supports one order column")
     parts = list(partition_by)
     b = _buckets(df, buckets)
-    cols = df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cols = list(types)
 
-    cur = df
+    cur = materialize(df) if checkpoint else df
     rank_terms = []
     for i, (c, desc) in enumerate(order):
-        cur = _rank_one(cur, parts + [o for o, _ in order[:i]], c, desc, b, accuracy,
+        if i and checkpoint:
+            cur = materialize(cur)
+        cur = _rank_one(cur, parts + [o for o, _ in order[:i]], c, types[c], desc, b, accuracy,
                         with_dense=(method == "dense_rank"),
                         with_total=(method == "ntile" and i == 0),
                         prefix=f"_k{i}")
@@ -146,8 +160,7 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
         value = _ntile(r, F.col("_k0n"), n)
     else:
         value = r
-    helper = [c for c in cur.columns if c.startswith("_k") and c not in cols]
-    return cur.withColumn(out, value.cast(T.IntegerType())).drop(*helper)
+    return cur.select(*cols, value.cast(T.IntegerType()).alias(out))
 
 
 def _ntile(row_number: Column, total: Column, n: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratus.functions.numeric import mean_exact
+from stratus.session import materialize
 from stratus.operators.ranking import rank_within
 
 
@@ -79,6 +80,8 @@ def diurnal_oscillation_rank(df: DataFrame, entity: str, value: str, *,
         F.round(F.min("_osc"), 2).alias(min_n))
     per_period = rank_within(per_period, [(avg_n, True)], partition_by=[period],
                              method="rank", out=rank_n)
+    # read twice below (overall means and the final join): write it once
+    per_period = materialize(per_period)
     overall = per_period.groupBy(entity).agg(
         F.round(mean_exact(avg_n, scale), 2).alias(overall_n))
     overall = rank_within(overall, [(overall_n, True)], method="rank", out=overall_rank_n)

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.functions.numeric import mean_exact
 from stratus.operators.baseline import add_deviation, monthly_baseline, versus_baseline
 from stratus.operators.buckets import bucket_summary, pearson, quantile_bucket
 from stratus.operators.changes import season_step_change, season_yoy_change
@@ -34,7 +33,7 @@ from stratus.operators.profiles import (
 from stratus.operators.ranking import distinct_entities, top_k
 from stratus.operators.rollups import diurnal_oscillation_rank, diurnal_range_rank
 from stratus.operators.rules import flood_rule, heat_rule, wind_rule
-from stratus.operators.windows import sliding_stats
+from stratus.operators.windows import pane_sliding_stats
 from stratus.sources.tables import event_observations, shipment_observations, table
 
 SCALE = 2  # decimals present in every driver-table measure
@@ -186,25 +185,28 @@ def q_distinct_entities(spark, sf):
 
 
 # --- windows over the event log --------------------------------------------
+# Batch windows are built from 5-minute panes (pane_sliding_stats): every
+# event is aggregated once, then pane partials are copied into the windows
+# that contain them. The streaming jobs use the same aggregates per window.
 
-def _windows(spark, sf, size, aggs):
-    ev = _events(spark, sf)
-    return sliding_stats(ev, "ts", "event_type", aggs, size=size, slide="5 minutes")
+def _windows(spark, sf, size, aggs, rounding=None, events=None):
+    ev = _events(spark, sf) if events is None else events
+    return pane_sliding_stats(ev, "ts", "event_type", aggs, size=size, slide="5 minutes",
+                              scale=SCALE, rounding=rounding)
 
 
 def q_sliding_stats(spark, sf):
     return _windows(spark, sf, "60 minutes", {
-        "avg_value": F.round(mean_exact("value", SCALE), 3),
-        "min_value": F.min("value"),
-        "max_value": F.max("value"),
-        "event_count": F.count(F.lit(1)),
-    })
+        "avg_value": ("mean", "value"),
+        "min_value": ("min", "value"),
+        "max_value": ("max", "value"),
+        "event_count": ("count", None),
+    }, {"avg_value": 3})
 
 
 def _lineitem_months(spark, sf):
     li = table(spark, sf, "lineitem")
-    return (li.withColumn("year", F.year("l_shipdate"))
-              .withColumn("month", F.month("l_shipdate")))
+    return li.withColumns({"year": F.year("l_shipdate"), "month": F.month("l_shipdate")})
 
 
 def q_monthly_baseline(spark, sf):
@@ -216,9 +218,9 @@ def q_value_vs_baseline(spark, sf):
     """60/5 windows of ``value`` against every year of the window's month of
     the lineitem quantity baseline (the temperature-vs-history job)."""
     w = _windows(spark, sf, "60 minutes", {
-        "stream_avg_value": F.round(mean_exact("value", SCALE), 3),
-        "event_count": F.count(F.lit(1)),
-    })
+        "stream_avg_value": ("mean", "value"),
+        "event_count": ("count", None),
+    }, {"stream_avg_value": 3})
     base = q_monthly_baseline(spark, sf)
     # baseline has ≤ (distinct years) × 12 rows: no entity key
     out = versus_baseline(w, base, broadcast_baseline=True)
@@ -232,12 +234,12 @@ def q_k_vs_order_baseline(spark, sf):
     """Same operator on another pair (the pressure-vs-history job): 60/5
     windows of ``k`` against the monthly mean order total."""
     w = _windows(spark, sf, "60 minutes", {
-        "stream_avg_k": F.round(mean_exact("k", SCALE), 3),
-        "event_count": F.count(F.lit(1)),
-    })
+        "stream_avg_k": ("mean", "k"),
+        "event_count": ("count", None),
+    }, {"stream_avg_k": 3})
     orders = table(spark, sf, "orders")
-    orders = (orders.withColumn("year", F.year("o_orderdate"))
-                    .withColumn("month", F.month("o_orderdate")))
+    orders = orders.withColumns({"year": F.year("o_orderdate"),
+                                 "month": F.month("o_orderdate")})
     base = monthly_baseline(orders, {"hist_avg_totalprice": "o_totalprice"}, scale=SCALE)
     out = versus_baseline(w, base, broadcast_baseline=True)
     out = add_deviation(out, "stream_avg_k", "hist_avg_totalprice")
@@ -248,12 +250,13 @@ def q_k_vs_order_baseline(spark, sf):
 
 def q_flood_rule(spark, sf):
     w = _windows(spark, sf, "90 minutes", {
-        "stream_avg_cloud": F.round(mean_exact("k", SCALE), 3),
-        "stream_avg_pressure": F.round(mean_exact("value", SCALE), 3),
-        "stream_min_pressure": F.round(F.min("value"), 3),
-        "stream_max_pressure": F.round(F.max("value"), 3),
-        "event_count": F.count(F.lit(1)),
-    })
+        "stream_avg_cloud": ("mean", "k"),
+        "stream_avg_pressure": ("mean", "value"),
+        "stream_min_pressure": ("min", "value"),
+        "stream_max_pressure": ("max", "value"),
+        "event_count": ("count", None),
+    }, {"stream_avg_cloud": 3, "stream_avg_pressure": 3, "stream_min_pressure": 3,
+        "stream_max_pressure": 3})
     base = monthly_baseline(_lineitem_months(spark, sf),
                             {"hist_avg_cloud": "l_quantity",
                              "hist_avg_pressure": "l_quantity"}, scale=SCALE)
@@ -269,11 +272,11 @@ def q_flood_rule(spark, sf):
 
 def q_heat_rule(spark, sf):
     w = _windows(spark, sf, "30 minutes", {
-        "min_humidity": F.min("k"),
-        "max_humidity": F.max("k"),
-        "avg_humidity": mean_exact("k", 0),
-        "avg_temp": mean_exact("value", SCALE),
-        "max_temp": F.max("value"),
+        "min_humidity": ("min", "k"),
+        "max_humidity": ("max", "k"),
+        "avg_humidity": ("mean", "k"),
+        "avg_temp": ("mean", "value"),
+        "max_temp": ("max", "value"),
     })
     return heat_rule(w).select("event_type", "window_start", "window_end", "min_humidity",
                                "max_humidity", "avg_humidity", "humidity_jump", "avg_temp",
@@ -281,18 +284,20 @@ def q_heat_rule(spark, sf):
 
 
 def q_wind_rule(spark, sf):
-    ev = _events(spark, sf).withColumn("gust", F.col("k").cast(T.DoubleType())) \
-                           .withColumn("dir", F.col("k") * 3.6)
-    w = sliding_stats(ev, "ts", "event_type", {
-        "avg_wind_speed": F.round(mean_exact("value", SCALE), 2),
-        "min_wind_speed": F.round(F.min("value"), 2),
-        "max_wind_speed": F.round(F.max("value"), 2),
-        "avg_gust": F.round(mean_exact("gust", SCALE), 2),
-        "max_gust": F.round(F.max("gust"), 2),
-        "avg_wind_dir": F.round(mean_exact("dir", SCALE), 2),
-        "min_wind_dir": F.round(F.min("dir"), 2),
-        "max_wind_dir": F.round(F.max("dir"), 2),
-    }, size="30 minutes", slide="5 minutes")
+    ev = _events(spark, sf).withColumns({"gust": F.col("k").cast(T.DoubleType()),
+                                         "dir": F.col("k") * 3.6})
+    w = _windows(spark, sf, "30 minutes", {
+        "avg_wind_speed": ("mean", "value"),
+        "min_wind_speed": ("min", "value"),
+        "max_wind_speed": ("max", "value"),
+        "avg_gust": ("mean", "gust"),
+        "max_gust": ("max", "gust"),
+        "avg_wind_dir": ("mean", "dir"),
+        "min_wind_dir": ("min", "dir"),
+        "max_wind_dir": ("max", "dir"),
+    }, {k: 2 for k in ("avg_wind_speed", "min_wind_speed", "max_wind_speed", "avg_gust",
+                       "max_gust", "avg_wind_dir", "min_wind_dir", "max_wind_dir")},
+        events=ev)
     return wind_rule(w).select(
         "event_type", "window_start", "window_end", "avg_wind_speed", "min_wind_speed",
         "max_wind_speed", "wind_speed_rise_pct", "avg_gust", "max_gust",

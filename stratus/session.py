@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of unreachable DataFrames are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,3 +61,18 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         os.makedirs(fallback, exist_ok=True)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate that several branches of a plan
+    read (e.g. both sides of a self-join): ``checkpoint()`` writes it once to
+    the shared ``spark.checkpoint.dir`` and every branch — and every task
+    retried after an executor loss — reads the written copy instead of
+    recomputing the upstream scan. Without a configured checkpoint folder
+    the DataFrame is returned as is (recomputed per branch)."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        return df
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint(eager=True)

@@ -13,21 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.calendar import day_flag, season_of, season_year
+from stratus.operators.joins import join_dimension, source_rows
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_handles: dict[tuple[str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """Read handle of one driver table. Handles are kept per session and
+    path (listing files and reading the footer schema happens once);
+    ``refresh=True`` re-lists after the files changed."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if refresh or key not in _handles:
+        _handles[key] = spark.read.parquet(path)
+    return _handles[key]
 
 
 def add_calendar(df: DataFrame, ts: str) -> DataFrame:
     """Calendar parts, day flag, season and season-year from ``ts`` (a
     narrow projection: no shuffle)."""
     t = F.col(ts)
-    return (df.withColumn("year", F.year(t)).withColumn("month", F.month(t))
-              .withColumn("date", F.to_date(t)).withColumn("hour", F.hour(t))
-              .withColumn("is_day", day_flag("hour"))
-              .withColumn("season", season_of("month"))
-              .withColumn("winter_season_year", season_year("month", "year")))
+    month, year = F.month(t), F.year(t)
+    return df.withColumns({
+        "year": year, "month": month, "date": F.to_date(t), "hour": F.hour(t),
+        "is_day": day_flag(F.hour(t)), "season": season_of(month),
+        "winter_season_year": season_year(month, year),
+    })
 
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +53,16 @@ def shipment_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ supplier ⋈ nation with calendar features of the ship date.
 
     nation has a fixed 25 rows, so broadcasting it is size-safe at any scale;
-    supplier grows with the data, so its join is left to the planner (AQE
-    broadcasts it only when its measured size is under the threshold, else a
-    shuffled join on the supplier key). Only the used columns are read."""
+    supplier grows with the data: it is broadcast only while its measured row
+    count is under the bound (``join_dimension``), else joined by shuffle on
+    the supplier key. Only the used columns are read."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    sup_nat = (sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)
-                  .select("s_suppkey", "n_name"))
-    obs = li.join(sup_nat, li.l_suppkey == sup_nat.s_suppkey).drop("l_suppkey", "s_suppkey")
+    sup_all = table(spark, sf_dir, "supplier")
+    sup = sup_all.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nat = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    sup_nat = sup.join(F.broadcast(nat), "s_nationkey").select("l_suppkey", "n_name")
+    rows = source_rows(sup_all, f"{sf_dir.rstrip('/')}/supplier.parquet")
+    obs = join_dimension(li, sup_nat, "l_suppkey", dim_rows=rows).drop("l_suppkey")
     return add_calendar(obs, "l_shipdate")
