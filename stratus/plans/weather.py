@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.calendar import parse_time
@@ -36,6 +36,7 @@ from stratus.operators.profiles import (
 )
 from stratus.operators.rollups import diurnal_oscillation_rank, diurnal_range_rank
 from stratus.operators.rules import flood_rule, heat_rule, wind_rule
+from stratus.session import materialize
 from stratus.sinks.contracts import CONTRACTS, conform
 from stratus.sinks.writers import batch_sink, write_observations
 from stratus.sources.observations import read_observations, read_observations_csv
@@ -51,15 +52,25 @@ BASELINE_YEARS = (1990, 1999)
 # --------------------------------------------------------------------------- ingest
 
 def ingest(spark: SparkSession, raw_path: str, out_path: str,
-           rejected_path: str | None = None) -> None:
-    """Raw CSV → enriched, year/month-partitioned Parquet. Rows whose time
-    does not parse are written to ``rejected_path`` (if given) instead of a
-    NULL partition."""
+           rejected_path: str | None = None) -> dict:
+    """Raw CSV → enriched, year/month-partitioned Parquet; returns row counts.
+
+    One pass over the raw files: rows and rejected rows (time does not
+    parse) are counted with an ``Observation`` while the valid rows are
+    written. Only when rejects exist and ``rejected_path`` is given does a
+    second pass write them there (instead of a NULL partition)."""
     raw = read_observations_csv(spark, raw_path)
-    good, bad = quarantine(enrich(raw))
+    metrics = Observation("ingest")
+    enriched = enrich(raw).observe(
+        metrics, F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("datetime").isNull()).alias("rejected"))
+    good, _ = quarantine(enriched)
     write_observations(good, out_path)
-    if rejected_path:
+    counts = dict(metrics.get)
+    if rejected_path and counts.get("rejected"):
+        _, bad = quarantine(enrich(read_observations_csv(spark, raw_path)))
         bad.write.mode("overwrite").parquet(rejected_path)
+    return counts
 
 
 # --------------------------------------------------------------------------- batch
@@ -168,6 +179,21 @@ def batch_result(obs: DataFrame, job: str, scale: int | None = None) -> DataFram
     return conform(out, CONTRACTS[job]) if job in CONTRACTS else out
 
 
+def write_quartile_results(obs: DataFrame, write_detail: Callable[[DataFrame], None],
+                           write_summary: Callable[[DataFrame], None],
+                           scale: int | None = None) -> None:
+    """Both quartile tables from one per-city table: it is materialised once
+    (checkpoint) and read by the detail write and by the summary."""
+    city = materialize(temp_precipitation_correlation(obs, scale))
+    write_detail(conform(city, CONTRACTS["temp_precipitation_correlation"]))
+    summary = bucket_summary(city, {
+        "avg_temp_in_quartile": "avg_temperature",
+        "avg_precip_in_quartile": "avg_daily_precipitation",
+        "avg_humidity_in_quartile": "avg_humidity",
+    }, scale=scale)
+    write_summary(conform(summary, CONTRACTS["temp_precipitation_quartile_summary"]))
+
+
 def run_batch(spark: SparkSession, obs_path: str, job: str, write: Callable[[DataFrame], None],
               scale: int | None = None) -> None:
     """Read the enriched table, build ``job`` and hand it to ``write`` (e.g.

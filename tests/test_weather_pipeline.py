@@ -48,7 +48,8 @@ def enriched_path(spark, tmp_path_factory):
     raw = d / "raw.csv"
     raw.write_text(HEADER + "\n" + "\n".join(ROWS) + "\n")
     out, rejected = str(d / "obs"), str(d / "rejected")
-    W.ingest(spark, str(raw), out, rejected_path=rejected)
+    counts = W.ingest(spark, str(raw), out, rejected_path=rejected)
+    assert counts == {"rows": 15, "rejected": 1}
     return out, rejected
 
 
@@ -128,3 +129,12 @@ def test_snow_and_sun_winters(spark, enriched_path):
     sun = W.batch_result(obs, "least_sunny_winters").collect()
     assert [(r.city_name, r.sunny_hours_count, r.total_hours, r.sunny_hours_pct)
             for r in sun] == [("Dubai", 1, 8, 12.5)]
+
+
+def test_quartile_results_written_together(spark, enriched_path):
+    obs = read_observations(spark, enriched_path[0])
+    got = {}
+    W.write_quartile_results(obs, lambda d: got.setdefault("detail", d.collect()),
+                             lambda d: got.setdefault("summary", d.collect()))
+    assert sorted(r.city_name for r in got["detail"]) == ["Dubai", "Oslo"]
+    assert sorted(r.precipitation_quartile for r in got["summary"]) == [1, 2]
