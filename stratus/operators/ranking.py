@@ -57,6 +57,18 @@ def _surrogate(dt: T.DataType, c: Column) -> Column:
     return c.cast(T.DoubleType())
 
 
+def _bucket_of(s: Column, cuts: Column, n: int) -> Column:
+    """Number of the ``n`` ascending cut points strictly below ``s`` (bucket
+    0 … n), by binary search: a balanced CASE tree of depth log2(n+1), so each
+    key costs O(log B) comparisons. NULL goes to bucket 0."""
+    def node(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.element_at(cuts, mid + 1) < s, node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, n).cast(T.IntegerType())
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` treating NULL = NULL; right-side key columns are
     dropped."""
@@ -80,10 +92,10 @@ def _rank_one(df: DataFrame, parts: list[str], col: str, dtype: T.DataType,
     # cut points over the same aggregate (its exchange is reused by the
     # subquery); fixed for the whole execution
     cuts = keys.where(F.col("_m") > 0).select(F.percentile_approx(s, probs, accuracy)).scalar()
-    # number of cut points strictly below the value = bucket id (0 … B-1)
-    pos = F.array_position(F.sort_array(F.array_union(cuts, F.array(s))), s)
-    bucket = F.coalesce(pos - 1, F.lit(0)).cast(T.IntegerType())
-    keys = keys.select(*parts, col, "_m", bucket.alias("_b"))
+    # the subquery is projected once; the search tree reads the column (each
+    # direct reference to a scalar subquery would run it again)
+    keys = (keys.withColumn("_cuts", cuts)
+                .select(*parts, col, "_m", _bucket_of(s, F.col("_cuts"), len(probs)).alias("_b")))
 
     sort = v.desc_nulls_last() if descending else v.asc_nulls_first()
     w_local = Window.partitionBy(*parts, "_b").orderBy(sort)
