@@ -285,7 +285,7 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
                      sink_format: str, sink_options: Mapping[str, str] | None = None,
                      sink_path: str | None = None, obs: DataFrame | None = None,
                      entities: Sequence[str] | None = None, trigger: Mapping | None = None,
-                     preview: int = 0):
+                     preview: int = 0, idempotent: bool = False):
     """Start one alert job on a parsed event stream (see
     :func:`stratus.sources.events.read_event_stream`). Jobs comparing with
     history need ``obs`` (the enriched table). The baseline is materialised
@@ -302,7 +302,8 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
     contract = CONTRACTS[spec.contract]
     sink = batch_sink(sink_format, sink_options, path=sink_path,
                       transform=lambda w: spec.post(w, baseline), contract=contract,
-                      preview=preview, with_computed_at=spec.contract != "realtime_heat_risk")
+                      preview=preview, with_computed_at=spec.contract != "realtime_heat_risk",
+                      idempotent=idempotent)
     return start_window_job(events, aggs=spec.aggs(), size=spec.size, slide=spec.slide,
                             watermark=spec.watermark, sink=sink, checkpoint=checkpoint,
                             entity="city", entities=entities, trigger=trigger,

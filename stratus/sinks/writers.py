@@ -52,8 +52,8 @@ def write_table(df: DataFrame, fmt: str, options: Mapping[str, str] | None = Non
 def batch_sink(fmt: str, options: Mapping[str, str] | None = None, *, mode: str = "append",
                path: str | None = None, transform: Callable[[DataFrame], DataFrame] | None = None,
                contract: T.StructType | None = None, batch_col: str | None = "batch_id",
-               preview: int = 0, with_computed_at: bool = False
-               ) -> Callable[[DataFrame, int], None]:
+               preview: int = 0, with_computed_at: bool = False,
+               idempotent: bool = False) -> Callable[[DataFrame, int], None]:
     """Build a ``foreachBatch`` function.
 
     Per micro-batch: apply ``transform`` (rules, baseline join …), tag rows
@@ -62,7 +62,14 @@ def batch_sink(fmt: str, options: Mapping[str, str] | None = None, *, mode: str
     ``latest_per_window``, and makes retried batches recognisable), optionally
     stamp processing time, conform to ``contract``, persist once, skip empty
     batches without a full count, print a bounded preview, write, unpersist.
+
+    ``idempotent`` (path sinks): each micro-batch goes to its own
+    ``batch_col=N`` partition written with dynamic overwrite, so a batch
+    re-run after a failure replaces its earlier output instead of adding a
+    second copy — exactly-once files on top of the at-least-once callback.
     """
+    if idempotent and not (path and batch_col):
+        raise ValueError("idempotent writes need a path and a batch column")
     def _sink(batch_df: DataFrame, batch_id: int) -> None:
         out = transform(batch_df) if transform else batch_df
         if batch_col:
@@ -77,7 +84,12 @@ def batch_sink(fmt: str, options: Mapping[str, str] | None = None, *, mode: str
                 return
             if preview:
                 out.show(preview, truncate=False)
-            write_table(out, fmt, options, mode=mode, path=path)
+            if idempotent:
+                (out.write.format(fmt).options(**dict(options or {})).mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic").partitionBy(batch_col)
+                    .save(path))
+            else:
+                write_table(out, fmt, options, mode=mode, path=path)
         finally:
             out.unpersist()
     return _sink

@@ -61,3 +61,13 @@ def test_batch_sink_skips_empty_and_tags_batch(spark, scratch):
     sink(spark.createDataFrame([(5,)], "a int"), 7)
     r = spark.read.parquet(path).first()
     assert (r.a, r.x, r.batch_id) == (5, 1, 7)
+
+
+def test_idempotent_sink_replaces_a_retried_batch(spark, scratch):
+    path = os.path.join(scratch, "idem")
+    sink = batch_sink("parquet", path=path, idempotent=True)
+    sink(spark.createDataFrame([(1,), (2,)], "a int"), 0)
+    sink(spark.createDataFrame([(3,)], "a int"), 1)
+    sink(spark.createDataFrame([(3,)], "a int"), 1)      # the same batch again
+    got = sorted((r.batch_id, r.a) for r in spark.read.parquet(path).collect())
+    assert got == [(0, 1), (0, 2), (1, 3)]
