@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T  # noqa: F401
 
 from stratus.functions.numeric import from_scaled, scaled_long
 
