@@ -81,15 +81,16 @@ def main(argv=None) -> int:
     if a.cmd == "batch":
         obs = read_observations(spark, a.obs)
         jobs = list(W.BATCH_JOBS) if a.job == "all" else [a.job]
-        for job in jobs:
-            df = W.batch_result(obs, job, a.scale)
+        if not (a.jdbc_url or a.out):
+            raise SystemExit("batch needs --out or --jdbc-url")
+
+        def write(job, df):
             if a.jdbc_url:
                 table = a.jdbc_table if a.jdbc_table and len(jobs) == 1 else job
                 write_jdbc(df, table, a.jdbc_url, _pairs(a.jdbc_prop))
-            elif a.out:
-                df.write.mode("overwrite").format(a.format).save(os.path.join(a.out, job))
             else:
-                raise SystemExit("batch needs --out or --jdbc-url")
+                df.write.mode("overwrite").format(a.format).save(os.path.join(a.out, job))
+        W.batch_all(obs, write, a.scale, jobs)
         return 0
     events = read_event_stream(spark, a.source, path=a.path, options=_pairs(a.option),
                                max_per_trigger=a.max_per_trigger)

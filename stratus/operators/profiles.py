@@ -13,7 +13,7 @@ from stratus.functions.numeric import (
     deviation_class, from_scaled, mean_exact, pct, scaled_long, sum_exact,
 )
 from stratus.operators.ranking import rank_within
-from stratus.operators.rollups import daily_rollup
+from stratus.operators.rollups import daily_table
 
 # --- Fixed values (reference thresholds and labels) ------------------------
 EXTREME_LOW = -10       # daily minimum below this is an extreme cold day
@@ -63,15 +63,17 @@ def extreme_days_rank(df: DataFrame, entity: str, value: str, *, low: float = EX
                       high: float = EXTREME_HIGH, date_col: str = "date",
                       year_col: str = "year",
                       names: Sequence[str] = ("total_extreme_days", "extreme_cold_days",
-                                              "extreme_heat_days", "rank_in_year")) -> DataFrame:
+                                              "extreme_heat_days", "rank_in_year"),
+                      daily: DataFrame | None = None) -> DataFrame:
     """Days whose minimum is below ``low`` or maximum above ``high``, counted
     per (entity, year) — a day may be both cold and hot but counts once in
     the total — dense-ranked per year by the total."""
     total_n, cold_n, heat_n, rank_n = names
-    daily = daily_rollup(df, entity, {"_lo": F.min(value), "_hi": F.max(value)},
-                         date_col=date_col, extra_keys=[year_col])
-    cold = F.coalesce(F.col("_lo") < low, F.lit(False))
-    heat = F.coalesce(F.col("_hi") > high, F.lit(False))
+    if daily is None:
+        daily = daily_table(df, entity, extremes=[value], date_col=date_col,
+                            extra_keys=[year_col])
+    cold = F.coalesce(F.col(f"_min_{value}") < low, F.lit(False))
+    heat = F.coalesce(F.col(f"_max_{value}") > high, F.lit(False))
     counts = (daily.filter(cold | heat)
                    .groupBy(entity, year_col)
                    .agg(F.count(F.lit(1)).alias(total_n),
@@ -81,8 +83,13 @@ def extreme_days_rank(df: DataFrame, entity: str, value: str, *, low: float = EX
                        method="dense_rank", out=rank_n)
 
 
-def _flagged_hours(df: DataFrame, entity: str, flag_col: str, season: str, month_col: str,
-                   season_year_col: str, names: Sequence[str]) -> DataFrame:
+def flagged_hours(df: DataFrame, entity: str, flag_col: str, *, season: str = "winter",
+                  month_col: str = "month", season_year_col: str = "winter_season_year",
+                  names: Sequence[str] = ("sunny_hours_count", "total_hours",
+                                          "sunny_hours_pct")) -> DataFrame:
+    """Flagged hours, all hours and their share per (entity, season-year)
+    within one season — the common base of :func:`flagged_hours_rank` and
+    :func:`season_vs_entity_mean` (pass it as ``hours`` to share one scan)."""
     count_n, total_n, pct_n = names
     return (df.filter(in_season(month_col, season))
               .groupBy(entity, season_year_col)
@@ -94,11 +101,14 @@ def _flagged_hours(df: DataFrame, entity: str, flag_col: str, season: str, month
 def flagged_hours_rank(df: DataFrame, entity: str, flag_col: str, *, season: str = "winter",
                        month_col: str = "month", season_year_col: str = "winter_season_year",
                        names: Sequence[str] = ("sunny_hours_count", "total_hours",
-                                               "sunny_hours_pct", "rank_in_winter")) -> DataFrame:
+                                               "sunny_hours_pct", "rank_in_winter"),
+                       hours: DataFrame | None = None) -> DataFrame:
     """Flagged hours, all hours and their share per (entity, season-year) in
     one season; dense rank ascending (fewest flagged hours first). Entities
     with zero flagged hours are kept."""
-    hours = _flagged_hours(df, entity, flag_col, season, month_col, season_year_col, names[:3])
+    if hours is None:
+        hours = flagged_hours(df, entity, flag_col, season=season, month_col=month_col,
+                              season_year_col=season_year_col, names=names[:3])
     return rank_within(hours, [(names[0], False)], partition_by=[season_year_col],
                        method="dense_rank", out=names[3])
 
@@ -110,14 +120,17 @@ def season_vs_entity_mean(df: DataFrame, entity: str, flag_col: str, *,
                           labels: Sequence[str] = VS_MEAN_LABELS,
                           names: Sequence[str] = ("sunny_hours_count", "total_hours",
                                                   "sunny_hours_pct", "city_avg_sunny_hours",
-                                                  "diff_from_city_avg", "vs_city_avg")) -> DataFrame:
+                                                  "diff_from_city_avg", "vs_city_avg"),
+                          hours: DataFrame | None = None) -> DataFrame:
     """Flagged-hour counts per (entity, season-year) against the entity's own
     mean over all its season-years: mean (2 dp), difference (2 dp), class.
 
     The entity window holds one row per season-year of that entity (bounded
     by the time span, not by the row count)."""
     count_n, _, _, mean_n, diff_n, class_n = names
-    hours = _flagged_hours(df, entity, flag_col, season, month_col, season_year_col, names[:3])
+    if hours is None:
+        hours = flagged_hours(df, entity, flag_col, season=season, month_col=month_col,
+                              season_year_col=season_year_col, names=names[:3])
     w = Window.partitionBy(entity)
     return (hours.withColumn(mean_n, F.round(F.avg(count_n).over(w), 2))
                  .withColumn(diff_n, F.round(F.col(count_n) - F.col(mean_n), 2))
@@ -133,15 +146,17 @@ def hot_day_cooccurrence(df: DataFrame, entity: str, heat_value: str, wet_value:
                                                  "total_hot_days_all_years",
                                                  "total_hot_rainy_days_all_years",
                                                  "total_precip_all_years",
-                                                 "rain_pct_all_years")) -> DataFrame:
+                                                 "rain_pct_all_years"),
+                         daily: DataFrame | None = None) -> DataFrame:
     """Hot days (daily max of ``heat_value`` > ``hot``) and how many of them
     are wet (daily total of ``wet_value`` > ``wet``), per (entity, year) and
     over all years of the entity."""
     (hot_n, wet_n, precip_n, pct_n, hot_all_n, wet_all_n, precip_all_n, pct_all_n) = names
-    daily = daily_rollup(df, entity, {
-        "_max": F.max(heat_value),
-        "_total": F.round(sum_exact(wet_value, scale), 2),
-    }, date_col=date_col, extra_keys=[year_col])
+    if daily is None:
+        daily = daily_table(df, entity, extremes=[heat_value], sums=[wet_value],
+                            date_col=date_col, extra_keys=[year_col], scale=scale)
+    daily = daily.select(entity, year_col, F.col(f"_max_{heat_value}").alias("_max"),
+                         F.round(F.col(f"_sum_{wet_value}"), 2).alias("_total"))
     yearly = (daily.filter(F.col("_max") > hot)
                    .groupBy(entity, year_col)
                    .agg(F.count(F.lit(1)).alias(hot_n),

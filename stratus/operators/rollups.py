@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.functions.numeric import mean_exact
+from stratus.functions.numeric import mean_exact, sum_exact
 from stratus.session import materialize
 from stratus.operators.ranking import rank_within
 
@@ -22,18 +22,40 @@ def daily_rollup(df: DataFrame, entity: str, aggs: dict, *, date_col: str = "dat
         *[expr.alias(name) for name, expr in aggs.items()])
 
 
+def daily_table(df: DataFrame, entity: str, *, day_night: Sequence[str] = (),
+                extremes: Sequence[str] = (), sums: Sequence[str] = (),
+                date_col: str = "date", is_day_col: str = "is_day",
+                extra_keys: Sequence[str] = (), scale: int | None = None) -> DataFrame:
+    """One day-level table serving several day-based operators (one scan of
+    the hourly data instead of one per operator). Columns per measure:
+    ``_dmax_c`` / ``_nmin_c`` (max over day hours, min over night hours),
+    ``_min_c`` / ``_max_c``, ``_sum_c`` (exact with ``scale``). Operators
+    accept it through their ``daily`` argument."""
+    aggs = {}
+    for c in day_night:
+        aggs[f"_dmax_{c}"] = F.max(F.when(F.col(is_day_col), F.col(c)))
+        aggs[f"_nmin_{c}"] = F.min(F.when(~F.col(is_day_col), F.col(c)))
+    for c in extremes:
+        aggs[f"_min_{c}"] = F.min(c)
+        aggs[f"_max_{c}"] = F.max(c)
+    for c in sums:
+        aggs[f"_sum_{c}"] = sum_exact(c, scale)
+    return daily_rollup(df, entity, aggs, date_col=date_col, extra_keys=extra_keys)
+
+
 def diurnal_range(df: DataFrame, entity: str, value: str, *, out: str,
                   date_col: str = "date", is_day_col: str = "is_day",
-                  extra_keys: Sequence[str] = (), digits: int = 2) -> DataFrame:
+                  extra_keys: Sequence[str] = (), digits: int = 2,
+                  daily: DataFrame | None = None) -> DataFrame:
     """Per (entity, day): max of ``value`` over day hours minus min over night
-    hours, rounded; days lacking either half are dropped."""
-    daily = daily_rollup(df, entity, {
-        "_max_day": F.max(F.when(F.col(is_day_col), F.col(value))),
-        "_min_night": F.min(F.when(~F.col(is_day_col), F.col(value))),
-    }, date_col=date_col, extra_keys=extra_keys)
-    return (daily.filter(F.col("_max_day").isNotNull() & F.col("_min_night").isNotNull())
-                 .withColumn(out, F.round(F.col("_max_day") - F.col("_min_night"), digits))
-                 .drop("_max_day", "_min_night"))
+    hours, rounded; days lacking either half are dropped. ``daily``: a
+    :func:`daily_table` with ``day_night`` on ``value`` (and the extra keys)."""
+    if daily is None:
+        daily = daily_table(df, entity, day_night=[value], date_col=date_col,
+                            is_day_col=is_day_col, extra_keys=extra_keys)
+    hi, lo = F.col(f"_dmax_{value}"), F.col(f"_nmin_{value}")
+    return (daily.filter(hi.isNotNull() & lo.isNotNull())
+                 .select(entity, date_col, *extra_keys, F.round(hi - lo, digits).alias(out)))
 
 
 def diurnal_range_rank(df: DataFrame, entity: str, value: str, *,
@@ -41,14 +63,14 @@ def diurnal_range_rank(df: DataFrame, entity: str, value: str, *,
                        names: Sequence[str] = ("avg_temp_variation",
                                                "max_single_day_variation",
                                                "min_single_day_variation", "rank"),
-                       scale: int | None = None) -> DataFrame:
+                       scale: int | None = None, daily: DataFrame | None = None) -> DataFrame:
     """Entities ranked by their mean day–night range (global ``rank``, desc).
 
     Output: entity, mean, max and min daily range (2 decimals), rank."""
     avg_n, max_n, min_n, rank_n = names
-    daily = diurnal_range(df, entity, value, out="_range", date_col=date_col,
-                          is_day_col=is_day_col)
-    per_entity = daily.groupBy(entity).agg(
+    days = diurnal_range(df, entity, value, out="_range", date_col=date_col,
+                         is_day_col=is_day_col, daily=daily)
+    per_entity = days.groupBy(entity).agg(
         F.round(mean_exact("_range", scale), 2).alias(avg_n),
         F.round(F.max("_range"), 2).alias(max_n),
         F.round(F.min("_range"), 2).alias(min_n))
@@ -64,7 +86,8 @@ def diurnal_oscillation_rank(df: DataFrame, entity: str, value: str, *,
                                                      "rank_in_year",
                                                      "overall_avg_oscillation",
                                                      "overall_rank"),
-                             scale: int | None = None) -> DataFrame:
+                             scale: int | None = None,
+                             daily: DataFrame | None = None) -> DataFrame:
     """Day–night range per (entity, period): mean/max/min, rank inside each
     period; overall mean of the rounded period means per entity and a global
     rank, attached with a left join.
@@ -72,9 +95,9 @@ def diurnal_oscillation_rank(df: DataFrame, entity: str, value: str, *,
     ``period`` is any column constant within a day (calendar year in the
     reference)."""
     avg_n, max_n, min_n, rank_n, overall_n, overall_rank_n = names
-    daily = diurnal_range(df, entity, value, out="_osc", date_col=date_col,
-                          is_day_col=is_day_col, extra_keys=[period])
-    per_period = daily.groupBy(entity, period).agg(
+    days = diurnal_range(df, entity, value, out="_osc", date_col=date_col,
+                         is_day_col=is_day_col, extra_keys=[period], daily=daily)
+    per_period = days.groupBy(entity, period).agg(
         F.round(mean_exact("_osc", scale), 2).alias(avg_n),
         F.round(F.max("_osc"), 2).alias(max_n),
         F.round(F.min("_osc"), 2).alias(min_n))

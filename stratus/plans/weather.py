@@ -31,10 +31,10 @@ from stratus.operators.buckets import bucket_summary, pearson, quantile_bucket
 from stratus.operators.changes import season_step_change, season_yoy_change
 from stratus.operators.enrich import enrich, quarantine
 from stratus.operators.profiles import (
-    calendar_profile, extreme_days_rank, flagged_days_rank, flagged_hours_rank,
-    hot_day_cooccurrence, season_vs_entity_mean,
+    calendar_profile, extreme_days_rank, flagged_days_rank, flagged_hours,
+    flagged_hours_rank, hot_day_cooccurrence, season_vs_entity_mean,
 )
-from stratus.operators.rollups import diurnal_oscillation_rank, diurnal_range_rank
+from stratus.operators.rollups import daily_table, diurnal_oscillation_rank, diurnal_range_rank
 from stratus.operators.rules import flood_rule, heat_rule, wind_rule
 from stratus.session import materialize
 from stratus.sinks.contracts import CONTRACTS, conform
@@ -75,8 +75,8 @@ def ingest(spark: SparkSession, raw_path: str, out_path: str,
 
 # --------------------------------------------------------------------------- batch
 
-def diurnal_temp_variation(obs: DataFrame, scale: int | None = None) -> DataFrame:
-    return diurnal_range_rank(obs, CITY, "temperature_2m", scale=scale)
+def diurnal_temp_variation(obs: DataFrame, scale: int | None = None, daily=None) -> DataFrame:
+    return diurnal_range_rank(obs, CITY, "temperature_2m", scale=scale, daily=daily)
 
 
 def monthly_climate_trends(obs: DataFrame, scale: int | None = None) -> DataFrame:
@@ -93,8 +93,8 @@ def snowy_winters_ranking(obs: DataFrame, scale: int | None = None) -> DataFrame
     return flagged_days_rank(obs, CITY, "is_snow_day")
 
 
-def extreme_temp_days(obs: DataFrame, scale: int | None = None) -> DataFrame:
-    return extreme_days_rank(obs, CITY, "temperature_2m")
+def extreme_temp_days(obs: DataFrame, scale: int | None = None, daily=None) -> DataFrame:
+    return extreme_days_rank(obs, CITY, "temperature_2m", daily=daily)
 
 
 def seasonal_pressure_precipitation(obs: DataFrame, scale: int | None = None) -> DataFrame:
@@ -114,16 +114,17 @@ def wind_speed_seasonal_changes(obs: DataFrame, scale: int | None = None) -> Dat
     }, "avg_wind_speed_10m", scale=scale)
 
 
-def least_sunny_winters(obs: DataFrame, scale: int | None = None) -> DataFrame:
-    return flagged_hours_rank(obs, CITY, "is_sunny_hour")
+def least_sunny_winters(obs: DataFrame, scale: int | None = None, hours=None) -> DataFrame:
+    return flagged_hours_rank(obs, CITY, "is_sunny_hour", hours=hours)
 
 
-def sunny_hours_vs_city_avg(obs: DataFrame, scale: int | None = None) -> DataFrame:
-    return season_vs_entity_mean(obs, CITY, "is_sunny_hour")
+def sunny_hours_vs_city_avg(obs: DataFrame, scale: int | None = None, hours=None) -> DataFrame:
+    return season_vs_entity_mean(obs, CITY, "is_sunny_hour", hours=hours)
 
 
-def hot_day_precipitation(obs: DataFrame, scale: int | None = None) -> DataFrame:
+def hot_day_precipitation(obs: DataFrame, scale: int | None = None, daily=None) -> DataFrame:
     return hot_day_cooccurrence(obs, CITY, "temperature_2m", "precipitation", scale=scale,
+                                daily=daily,
                                 names=("total_hot_days", "hot_days_with_rain",
                                        "total_precip_on_hot_days", "rain_pct_yearly",
                                        "total_hot_days_all_years",
@@ -131,8 +132,10 @@ def hot_day_precipitation(obs: DataFrame, scale: int | None = None) -> DataFrame
                                        "total_precip_all_years", "rain_pct_all_years"))
 
 
-def humidity_oscillation_ranking(obs: DataFrame, scale: int | None = None) -> DataFrame:
-    return diurnal_oscillation_rank(obs, CITY, "relative_humidity_2m", scale=scale)
+def humidity_oscillation_ranking(obs: DataFrame, scale: int | None = None,
+                                 daily=None) -> DataFrame:
+    return diurnal_oscillation_rank(obs, CITY, "relative_humidity_2m", scale=scale,
+                                    daily=daily)
 
 
 _CITY_MEANS = {"avg_temperature": ("temperature_2m", 1),
@@ -194,6 +197,38 @@ def write_quartile_results(obs: DataFrame, write_detail: Callable[[DataFrame], N
     write_summary(conform(summary, CONTRACTS["temp_precipitation_quartile_summary"]))
 
 
+# Jobs that can start from the shared day-level table / flagged-hours table.
+DAILY_JOBS = ("diurnal_temp_variation", "extreme_temp_days", "hot_day_precipitation",
+              "humidity_oscillation_ranking")
+HOURS_JOBS = ("least_sunny_winters", "sunny_hours_vs_city_avg")
+
+
+def batch_all(obs: DataFrame, write: Callable[[str, DataFrame], None],
+              scale: int | None = None, jobs: Sequence[str] | None = None) -> None:
+    """Run several batch jobs with shared sub-plans: one day-level table
+    (day/night extremes of temperature and humidity, daily min/max
+    temperature, daily precipitation) and one winter flagged-hours table are
+    materialised once and feed the jobs that start from them, instead of one
+    scan of the hourly table per job. ``write(job, df)`` stores each result."""
+    jobs = list(BATCH_JOBS) if jobs is None else list(jobs)
+    daily = hours = None
+    if any(j in DAILY_JOBS for j in jobs):
+        daily = materialize(daily_table(
+            obs, CITY, day_night=["temperature_2m", "relative_humidity_2m"],
+            extremes=["temperature_2m"], sums=["precipitation"], extra_keys=["year"],
+            scale=scale))
+    if any(j in HOURS_JOBS for j in jobs):
+        hours = materialize(flagged_hours(obs, CITY, "is_sunny_hour"))
+    for job in jobs:
+        if job in DAILY_JOBS:
+            out = BATCH_JOBS[job](obs, scale, daily=daily)
+        elif job in HOURS_JOBS:
+            out = BATCH_JOBS[job](obs, scale, hours=hours)
+        else:
+            out = BATCH_JOBS[job](obs, scale)
+        write(job, conform(out, CONTRACTS[job]) if job in CONTRACTS else out)
+
+
 def run_batch(spark: SparkSession, obs_path: str, job: str, write: Callable[[DataFrame], None],
               scale: int | None = None) -> None:
     """Read the enriched table, build ``job`` and hand it to ``write`` (e.g.

@@ -138,3 +138,14 @@ def test_quartile_results_written_together(spark, enriched_path):
                              lambda d: got.setdefault("summary", d.collect()))
     assert sorted(r.city_name for r in got["detail"]) == ["Dubai", "Oslo"]
     assert sorted(r.precipitation_quartile for r in got["summary"]) == [1, 2]
+
+
+def test_batch_all_shares_sub_plans_with_same_results(spark, enriched_path):
+    obs = read_observations(spark, enriched_path[0])
+    shared = {}
+    W.batch_all(obs, lambda job, df: shared.setdefault(job, sorted(map(tuple, df.collect()))),
+                scale=2)
+    assert set(shared) == set(W.BATCH_JOBS)
+    for job in W.DAILY_JOBS + W.HOURS_JOBS:
+        alone = sorted(map(tuple, W.batch_result(obs, job, scale=2).collect()))
+        assert shared[job] == alone, job
