@@ -68,6 +68,8 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--available-now", action="store_true")
     s.add_argument("--processing-time")
     s.add_argument("--idempotent", action="store_true")
+    s.add_argument("--state-store", choices=["rocksdb"])
+    s.add_argument("--state-partitions", type=int)
     return p
 
 
@@ -100,7 +102,8 @@ def main(argv=None) -> int:
     q = W.start_stream_job(spark, a.job, events, checkpoint=a.checkpoint,
                            sink_format=a.sink_format, sink_options=_pairs(a.sink_option),
                            sink_path=a.sink_path, obs=obs, entities=a.city, trigger=trigger,
-                           idempotent=a.idempotent)
+                           idempotent=a.idempotent, state_store=a.state_store,
+                           state_partitions=a.state_partitions)
     q.awaitTermination()
     return 0 if q.exception() is None else 1
 

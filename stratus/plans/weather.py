@@ -320,7 +320,8 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
                      sink_format: str, sink_options: Mapping[str, str] | None = None,
                      sink_path: str | None = None, obs: DataFrame | None = None,
                      entities: Sequence[str] | None = None, trigger: Mapping | None = None,
-                     preview: int = 0, idempotent: bool = False):
+                     preview: int = 0, idempotent: bool = False,
+                     state_store: str | None = None, state_partitions: int | None = None):
     """Start one alert job on a parsed event stream (see
     :func:`stratus.sources.events.read_event_stream`). Jobs comparing with
     history need ``obs`` (the enriched table). The baseline is materialised
@@ -342,4 +343,5 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
     return start_window_job(events, aggs=spec.aggs(), size=spec.size, slide=spec.slide,
                             watermark=spec.watermark, sink=sink, checkpoint=checkpoint,
                             entity="city", entities=entities, trigger=trigger,
-                            query_name=job)
+                            query_name=job, state_store=state_store,
+                            state_partitions=state_partitions)

@@ -52,17 +52,21 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipment_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ supplier ⋈ nation with calendar features of the ship date.
 
-    nation has a fixed 25 rows, so broadcasting it is size-safe at any scale;
-    supplier grows with the data: it is broadcast only while its measured row
-    count is under the bound (``join_dimension``), else joined by shuffle on
-    the supplier key. Only the used columns are read."""
+    Both dimensions go through ``join_dimension``: a side is broadcast only
+    while its measured row count (Parquet footers, no scan) is under the
+    bound. nation has 25 rows at every scale; supplier grows with the data
+    and beyond the bound is joined by shuffle on the supplier key. Only the
+    used columns are read."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     sup_all = table(spark, sf_dir, "supplier")
     sup = sup_all.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    nat = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    sup_nat = sup.join(F.broadcast(nat), "s_nationkey").select("l_suppkey", "n_name")
-    rows = source_rows(sup_all, f"{sf_dir.rstrip('/')}/supplier.parquet")
+    nat_all = table(spark, sf_dir, "nation")
+    nat = nat_all.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    base = sf_dir.rstrip("/")
+    sup_nat = join_dimension(sup, nat, "s_nationkey",
+                             dim_rows=source_rows(nat_all, f"{base}/nation.parquet"))
+    sup_nat = sup_nat.select("l_suppkey", "n_name")
+    rows = source_rows(sup_all, f"{base}/supplier.parquet")
     obs = join_dimension(li, sup_nat, "l_suppkey", dim_rows=rows).drop("l_suppkey")
     return add_calendar(obs, "l_shipdate")

@@ -35,19 +35,36 @@ def window_stream(events: DataFrame, *, aggs: Mapping[str, Column], size: str, s
                          watermark=watermark)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_window_job(events: DataFrame, *, aggs: Mapping[str, Column], size: str, slide: str,
                      watermark: str, sink, checkpoint: str, time_col: str = "event_time",
                      entity: str = "city", entities: Sequence[str] | None = None,
-                     trigger: Mapping | None = None, query_name: str | None = None
+                     trigger: Mapping | None = None, query_name: str | None = None,
+                     state_store: str | None = None, state_partitions: int | None = None
                      ) -> StreamingQuery:
     """Start the job; ``checkpoint`` (a shared, durable folder) is required —
     offsets, commits and window state live there, so a restarted query
     resumes without losing or re-emitting finished batches.
 
     ``trigger``: e.g. ``{"availableNow": True}`` to replay what is there and
-    stop, ``{"processingTime": "3 seconds"}`` for a paced live run."""
+    stop, ``{"processingTime": "3 seconds"}`` for a paced live run.
+
+    ``state_store='rocksdb'`` keeps window state in RocksDB on executor disk
+    instead of the JVM heap (large state: many entities × open windows).
+    ``state_partitions`` sets the shuffle partitions of the stateful
+    aggregation; it is fixed by the first run of a checkpoint, later values
+    are ignored by Spark for that checkpoint."""
     if not checkpoint:
         raise ValueError("a checkpoint location is required")
+    spark = events.sparkSession
+    if state_store == "rocksdb":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    elif state_store is not None:
+        raise ValueError("state_store is 'rocksdb' or None")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     windows = window_stream(events, aggs=aggs, size=size, slide=slide, watermark=watermark,
                             time_col=time_col, entity=entity, entities=entities)
     writer = (windows.writeStream.outputMode("update").foreachBatch(sink)

@@ -96,3 +96,23 @@ def test_stream_equals_batch_on_events(spark, scratch):
     a = {(r.event_type, r.window_start): (round(r.total, 6), r.n) for r in got.collect()}
     b = {(r.event_type, r.window_start): (round(r.total, 6), r.n) for r in want.collect()}
     assert a == b and len(a) > 1000
+
+
+def test_rocksdb_state_store(spark, scratch):
+    src, out, ckpt = (os.path.join(scratch, x) for x in ("in", "out", "ckpt"))
+    _write_event_files(src)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    try:
+        events = read_event_stream(spark, "files", path=src)
+        q = start_window_job(events, aggs={"n": F.count(F.lit(1))}, size="60 minutes",
+                             slide="5 minutes", watermark="5 minutes",
+                             sink=batch_sink("parquet", path=out), checkpoint=ckpt,
+                             trigger={"availableNow": True}, state_store="rocksdb")
+        q.awaitTermination(300)
+        assert q.exception() is None
+        assert spark.read.parquet(out).count() > 0
+    finally:
+        if before:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
