@@ -33,6 +33,10 @@ from stratus.session import materialize
 
 _METHODS = ("rank", "dense_rank", "row_number", "ntile")
 
+# Row bound under which one window task per group is acceptable (a sort of
+# at most this many rows); checked on the materialised input.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
 
 def _buckets(df: DataFrame, requested: int | None) -> int:
     if requested:
@@ -127,7 +131,8 @@ def _rank_one(df: DataFrame, parts: list[str], col: str, dtype: T.DataType,
 def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str] = (),
                 method: str = "rank", out: str = "rank", n: int | None = None,
                 buckets: int | None = None, accuracy: int = 10000,
-                checkpoint: bool = True) -> DataFrame:
+                checkpoint: bool = True,
+                single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
     """Add column ``out`` = ``method`` over (PARTITION BY ``partition_by``
     ORDER BY ``order_by``), computed without single-task windows.
 
@@ -141,6 +146,11 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     with ``checkpoint`` it is materialised once in the shared checkpoint
     folder first, and again between order columns, so the upstream scan runs
     once (see :func:`stratus.session.materialize`).
+
+    Size check: when the input was materialised and has at most
+    ``single_task_max_rows`` rows, no window group can exceed that bound and
+    Spark's own window function is used (one sort per group); otherwise the
+    distributed computation. Both give the same numbers.
     """
     if method not in _METHODS:
         raise ValueError(f"method must be one of {_METHODS}")
@@ -155,6 +165,8 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     cols = list(types)
 
     cur = materialize(df) if checkpoint else df
+    if cur is not df and cur.count() <= single_task_max_rows:
+        return _native(cur, order, parts, method, out, n).select(*cols, out)
     rank_terms = []
     for i, (c, desc) in enumerate(order):
         if i and checkpoint:
@@ -175,6 +187,14 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     return cur.select(*cols, value.cast(T.IntegerType()).alias(out))
 
 
+def _native(df: DataFrame, order, parts, method: str, out: str, n: int | None) -> DataFrame:
+    sorts = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
+    w = Window.partitionBy(*parts).orderBy(*sorts) if parts else Window.orderBy(*sorts)
+    fn = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}.get(method)
+    expr = F.ntile(n) if method == "ntile" else fn()
+    return df.withColumn(out, expr.over(w).cast(T.IntegerType()))
+
+
 def _ntile(row_number: Column, total: Column, n: int) -> Column:
     """SQL NTILE(n) from a 1-based row number and the group size: the first
     (total mod n) buckets hold one row more."""

@@ -33,9 +33,12 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("bound", [0, 10 ** 6])
 @pytest.mark.parametrize("parts,order,method", CASES)
-def test_matches_window_functions(spark, data, parts, order, method):
-    mine = rank_within(data, order, partition_by=parts, method=method, out="r", n=4)
+def test_matches_window_functions(spark, data, parts, order, method, bound):
+    # bound 0 forces the distributed path, 10**6 takes the checked single-task path
+    mine = rank_within(data, order, partition_by=parts, method=method, out="r", n=4,
+                       single_task_max_rows=bound)
     sorts = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
     w = Window.partitionBy(*parts).orderBy(*sorts) if parts else Window.orderBy(*sorts)
     fn = {"rank": F.rank(), "dense_rank": F.dense_rank(), "row_number": F.row_number(),
@@ -50,7 +53,8 @@ def test_matches_window_functions(spark, data, parts, order, method):
 @pytest.mark.parametrize("n_rows", [3, 5])
 def test_ntile_small_groups(spark, n_rows):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(n_rows)], "id long, v double")
-    got = [r.q for r in rank_within(df, ["v", "id"], method="ntile", n=4, out="q")
+    got = [r.q for r in rank_within(df, ["v", "id"], method="ntile", n=4, out="q",
+                                    single_task_max_rows=0)
            .orderBy("v", "id").collect()]
     want = [r.q for r in df.withColumn("q", F.ntile(4).over(Window.orderBy("v", "id")))
             .orderBy("v", "id").collect()]
@@ -59,6 +63,6 @@ def test_ntile_small_groups(spark, n_rows):
 
 def test_top_k_keeps_ties(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 4.0), (4, 1.0)], "id long, v double")
-    ranked = rank_within(df, [("v", True)], out="rank")
+    ranked = rank_within(df, [("v", True)], out="rank", single_task_max_rows=0)
     assert sorted(r.id for r in top_k(ranked, "rank", 1).collect()) == [1, 2]
     assert sorted(r.id for r in top_k(ranked, "rank", 3).collect()) == [1, 2, 3]
