@@ -14,18 +14,19 @@ def monthly_baseline(df: DataFrame, values: Mapping[str, str], *, entity: str |
                      entities: Sequence[str] | None = None,
                      years: tuple[int, int] | None = None, months: Sequence[int] | None = None,
                      year_col: str = "year", month_col: str = "month", digits: int = 3,
-                     scale: int | None = None) -> DataFrame:
+                     scale: int | None = None, by_year: bool = True) -> DataFrame:
     """Mean of each value per ([entity,] year, month), rounded.
 
     ``years``/``months`` are partition filters on an enriched table. The
-    result has at most entities × years × 12 rows."""
+    result has at most entities × years × 12 rows. ``by_year=False`` gives
+    one long-term mean per ([entity,] month) over all the years instead."""
     if entities is not None and entity:
         df = df.filter(F.col(entity).isin(*entities))
     if years is not None:
         df = df.filter(F.col(year_col).between(*years))
     if months is not None:
         df = df.filter(F.col(month_col).isin(*months))
-    keys = ([entity] if entity else []) + [year_col, month_col]
+    keys = ([entity] if entity else []) + ([year_col] if by_year else []) + [month_col]
     return df.groupBy(*keys).agg(*[
         F.round(mean_exact(c, scale), digits).alias(name) for name, c in values.items()])
 
@@ -42,8 +43,11 @@ def versus_baseline(windows: DataFrame, baseline: DataFrame, *, entity_pair: tup
     range); otherwise the planner decides from its measured size.
     Adds ``hist_year`` and ``hist_month``.
     """
-    b = (baseline.withColumnRenamed(year_col, "hist_year")
-                 .withColumnRenamed(month_col, "hist_month"))
+    b = baseline.withColumnRenamed(month_col, "hist_month")
+    if year_col in baseline.columns:
+        b = b.withColumnRenamed(year_col, "hist_year")
+    else:   # long-term baseline (by_year=False)
+        b = b.withColumn("hist_year", F.lit(None).cast("int"))
     if entity_pair:
         b = b.withColumnRenamed(entity_pair[1], "_hist_entity")
     if broadcast_baseline:

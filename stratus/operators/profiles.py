@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.functions.calendar import in_season
+from stratus.functions.calendar import SEASON_MONTHS, in_season
 from stratus.functions.numeric import (
     deviation_class, from_scaled, mean_exact, pct, scaled_long, sum_exact,
 )
@@ -44,17 +44,29 @@ def calendar_profile(df: DataFrame, entity: str, means: Mapping[str, tuple[str,
 def flagged_days_rank(df: DataFrame, entity: str, flag_col: str, *,
                       season: str = "winter", month_col: str = "month",
                       season_year_col: str = "winter_season_year", date_col: str = "date",
-                      names: Sequence[str] = ("snow_days_count", "rank_in_winter")) -> DataFrame:
+                      names: Sequence[str] = ("snow_days_count", "rank_in_winter"),
+                      complete_only: bool = False) -> DataFrame:
     """Distinct flagged days per (entity, season-year) within one season,
     dense-ranked (most days first) inside each season-year. Entities with no
     flagged day are absent.
 
     The season test is written on the month column so a month-partitioned
-    table is pruned."""
+    table is pruned. ``complete_only`` keeps only season-years in which the
+    entity has data in every month of the season (drops the partial first
+    and last winters of a history)."""
     count_n, rank_n = names
-    days = (df.filter(in_season(month_col, season) & F.col(flag_col))
-              .groupBy(entity, season_year_col)
-              .agg(F.count_distinct(date_col).alias(count_n)))
+    in_s = df.filter(in_season(month_col, season))
+    if complete_only:
+        days = (in_s.groupBy(entity, season_year_col)
+                    .agg(F.count_distinct(F.when(F.col(flag_col), F.col(date_col))).alias(count_n),
+                         F.count_distinct(month_col).alias("_months"))
+                    .filter((F.col("_months") == len(SEASON_MONTHS[season]))
+                            & (F.col(count_n) > 0))
+                    .drop("_months"))
+    else:
+        days = (in_s.filter(F.col(flag_col))
+                    .groupBy(entity, season_year_col)
+                    .agg(F.count_distinct(date_col).alias(count_n)))
     return rank_within(days, [(count_n, True)], partition_by=[season_year_col],
                        method="dense_rank", out=rank_n)
 
@@ -86,29 +98,36 @@ def extreme_days_rank(df: DataFrame, entity: str, value: str, *, low: float = EX
 def flagged_hours(df: DataFrame, entity: str, flag_col: str, *, season: str = "winter",
                   month_col: str = "month", season_year_col: str = "winter_season_year",
                   names: Sequence[str] = ("sunny_hours_count", "total_hours",
-                                          "sunny_hours_pct")) -> DataFrame:
+                                          "sunny_hours_pct"),
+                  complete_only: bool = False) -> DataFrame:
     """Flagged hours, all hours and their share per (entity, season-year)
     within one season — the common base of :func:`flagged_hours_rank` and
-    :func:`season_vs_entity_mean` (pass it as ``hours`` to share one scan)."""
+    :func:`season_vs_entity_mean` (pass it as ``hours`` to share one scan).
+    ``complete_only``: only season-years with data in every season month."""
     count_n, total_n, pct_n = names
-    return (df.filter(in_season(month_col, season))
-              .groupBy(entity, season_year_col)
-              .agg(F.count_if(F.col(flag_col)).alias(count_n),
-                   F.count(F.lit(1)).alias(total_n))
-              .withColumn(pct_n, pct(count_n, total_n, 2)))
+    aggs = [F.count_if(F.col(flag_col)).alias(count_n), F.count(F.lit(1)).alias(total_n)]
+    if complete_only:
+        aggs.append(F.count_distinct(month_col).alias("_months"))
+    out = (df.filter(in_season(month_col, season))
+             .groupBy(entity, season_year_col).agg(*aggs))
+    if complete_only:
+        out = out.filter(F.col("_months") == len(SEASON_MONTHS[season])).drop("_months")
+    return out.withColumn(pct_n, pct(count_n, total_n, 2))
 
 
 def flagged_hours_rank(df: DataFrame, entity: str, flag_col: str, *, season: str = "winter",
                        month_col: str = "month", season_year_col: str = "winter_season_year",
                        names: Sequence[str] = ("sunny_hours_count", "total_hours",
                                                "sunny_hours_pct", "rank_in_winter"),
-                       hours: DataFrame | None = None) -> DataFrame:
+                       hours: DataFrame | None = None,
+                       complete_only: bool = False) -> DataFrame:
     """Flagged hours, all hours and their share per (entity, season-year) in
     one season; dense rank ascending (fewest flagged hours first). Entities
     with zero flagged hours are kept."""
     if hours is None:
         hours = flagged_hours(df, entity, flag_col, season=season, month_col=month_col,
-                              season_year_col=season_year_col, names=names[:3])
+                              season_year_col=season_year_col, names=names[:3],
+                              complete_only=complete_only)
     return rank_within(hours, [(names[0], False)], partition_by=[season_year_col],
                        method="dense_rank", out=names[3])
 
@@ -121,7 +140,8 @@ def season_vs_entity_mean(df: DataFrame, entity: str, flag_col: str, *,
                           names: Sequence[str] = ("sunny_hours_count", "total_hours",
                                                   "sunny_hours_pct", "city_avg_sunny_hours",
                                                   "diff_from_city_avg", "vs_city_avg"),
-                          hours: DataFrame | None = None) -> DataFrame:
+                          hours: DataFrame | None = None,
+                          complete_only: bool = False) -> DataFrame:
     """Flagged-hour counts per (entity, season-year) against the entity's own
     mean over all its season-years: mean (2 dp), difference (2 dp), class.
 
@@ -130,7 +150,8 @@ def season_vs_entity_mean(df: DataFrame, entity: str, flag_col: str, *,
     count_n, _, _, mean_n, diff_n, class_n = names
     if hours is None:
         hours = flagged_hours(df, entity, flag_col, season=season, month_col=month_col,
-                              season_year_col=season_year_col, names=names[:3])
+                              season_year_col=season_year_col, names=names[:3],
+                              complete_only=complete_only)
     w = Window.partitionBy(entity)
     return (hours.withColumn(mean_n, F.round(F.avg(count_n).over(w), 2))
                  .withColumn(diff_n, F.round(F.col(count_n) - F.col(mean_n), 2))

@@ -107,3 +107,35 @@ def test_wind_rule_cases(spark):
     assert got[3].gust_alert is None and got[3].wind_alert is None
     assert got[4].wind_alert is True
     assert got[5].wind_alert is None
+
+
+def test_complete_only_drops_partial_season_years(spark):
+    from stratus.operators.profiles import flagged_days_rank, flagged_hours
+    rows = [  # entity, season-year, month, date, flag
+        ("A", 1999, 12, "1999-12-05", True), ("A", 1999, 1, "2000-01-05", True),
+        ("A", 1999, 2, "2000-02-05", False),
+        ("A", 2000, 12, "2000-12-05", True),                        # partial winter
+        ("B", 1999, 12, "1999-12-06", False), ("B", 1999, 1, "2000-01-06", False),
+        ("B", 1999, 2, "2000-02-06", False),                        # complete, no flag
+    ]
+    df = spark.createDataFrame(rows, "e string, winter_season_year int, month int, "
+                                     "date string, f boolean")
+    all_days = {(r.e, r.winter_season_year) for r in flagged_days_rank(df, "e", "f").collect()}
+    done = {(r.e, r.winter_season_year, r.snow_days_count)
+            for r in flagged_days_rank(df, "e", "f", complete_only=True).collect()}
+    assert all_days == {("A", 1999), ("A", 2000)}
+    assert done == {("A", 1999, 2)}
+    hours = {(r.e, r.winter_season_year) for r in
+             flagged_hours(df, "e", "f", complete_only=True).collect()}
+    assert hours == {("A", 1999), ("B", 1999)}
+
+
+def test_long_term_baseline(spark):
+    from stratus.operators.baseline import monthly_baseline, versus_baseline
+    hist = spark.createDataFrame([("X", 1995, 7, 10.0), ("X", 1996, 7, 20.0), ("X", 1996, 8, 5.0)],
+                                 "city_name string, year int, month int, t double")
+    base = monthly_baseline(hist, {"hist_avg_temp": "t"}, entity="city_name", by_year=False)
+    w = spark.createDataFrame([("X", "2024-07-01 10:00:00")], "city string, window_start string")
+    w = w.withColumn("window_start", F.to_timestamp("window_start"))
+    out = versus_baseline(w, base, entity_pair=("city", "city_name")).collect()
+    assert [(r.hist_year, r.hist_month, r.hist_avg_temp) for r in out] == [(None, 7, 15.0)]
