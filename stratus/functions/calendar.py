@@ -41,16 +41,26 @@ def parse_time(c, pattern: str = TIME_PATTERN) -> Column:
 def to_event_time(df: DataFrame, col: str, pattern: str = TIME_PATTERN) -> Column:
     """Return ``col`` as a TIMESTAMP (LTZ) column whatever its stored type.
 
-    Streaming watermarks need TIMESTAMP; NTZ values are taken as UTC wall
-    clock (the session zone is pinned to UTC)."""
+    Streaming watermarks need TIMESTAMP. NTZ values are read as UTC wall
+    clock whatever the session zone (a plain cast would read them in the
+    session zone)."""
     dt = df.schema[col].dataType
     if isinstance(dt, T.StringType):
         return parse_time(col, pattern)
     if isinstance(dt, T.TimestampType):
         return F.col(col)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(),
+                                  F.col(col)).cast(T.TimestampType())
     return F.col(col).cast(T.TimestampType())
 
 
+def utc_wall_clock(c) -> Column:
+    """TIMESTAMP instant → TIMESTAMP_NTZ wall clock in UTC (the inverse of
+    :func:`to_event_time` on NTZ input), independent of the session zone."""
+    return F.convert_timezone(None, F.lit("UTC"), _c(c))
+
+
 def day_flag(hour, start: int = DAY_START_HOUR, end: int = DAY_END_HOUR) -> Column:
     """TRUE iff start <= hour < end; NULL hour → FALSE."""
     h = _c(hour)

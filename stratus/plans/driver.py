@@ -16,6 +16,7 @@ SQL oracle bit for bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,13 @@ from stratus.operators.profiles import (
 from stratus.operators.ranking import distinct_entities, top_k
 from stratus.operators.rollups import diurnal_oscillation_rank, diurnal_range_rank
 from stratus.operators.rules import flood_rule, heat_rule, wind_rule
-from stratus.operators.windows import pane_sliding_stats
+from stratus.functions.calendar import utc_wall_clock
+from stratus.functions.numeric import mean_exact
+from stratus.operators.windows import latest_per_window, pane_sliding_stats
+from stratus.session import shared_folder
+from stratus.sinks.writers import batch_sink
 from stratus.sources.tables import event_observations, shipment_observations, table
+from stratus.streaming.runner import start_window_job
 
 SCALE = 2  # decimals present in every driver-table measure
 
@@ -305,6 +311,38 @@ def q_wind_rule(spark, sf):
         "gust_alert", "direction_alert", "wind_alert")
 
 
+def q_stream_window_replay(spark, sf):
+    """The streaming path itself: ``events`` replayed as a file stream
+    (``availableNow``) through the watermarked 60/5 window job — stateful
+    aggregation, update mode, ``foreachBatch`` into an idempotent Parquet sink
+    in the shared folder — then the last emission of every window. With one
+    replayed file nothing is late, so the result equals the batch windows."""
+    base = shared_folder(spark)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder for stream output")
+    run = f"{base.rstrip('/')}/stratus-streams/{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf).withColumnRenamed("ts", "event_time"))
+    q = start_window_job(stream, aggs={
+        "avg_value": F.round(mean_exact("value", SCALE), 3),
+        "min_value": F.min("value"),
+        "max_value": F.max("value"),
+        "event_count": F.count(F.lit(1)),
+    }, size="60 minutes", slide="5 minutes", watermark="5 minutes",
+        sink=batch_sink("parquet", path=f"{run}/out", idempotent=True),
+        checkpoint=f"{run}/checkpoint", entity="event_type", trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    emitted = spark.read.parquet(f"{run}/out").drop("window_end")
+    last = latest_per_window(emitted, keys=("event_type", "window_start"))
+    return last.select("event_type", utc_wall_clock("window_start").alias("window_start"),
+                       (utc_wall_clock("window_start") + F.expr("INTERVAL 60 MINUTES"))
+                       .alias("window_end"),
+                       "avg_value", "min_value", "max_value", "event_count")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich": q_enrich,
     "diurnal_range_rank": q_diurnal_range_rank,
@@ -330,4 +368,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flood_rule": q_flood_rule,
     "heat_rule": q_heat_rule,
     "wind_rule": q_wind_rule,
+    "stream_window_replay": q_stream_window_replay,
 }

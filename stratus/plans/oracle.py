@@ -364,3 +364,7 @@ SELECT event_type, window_start, window_end, avg_wind_speed, min_wind_speed, max
        wind_dir_change, speed_alert, gust_alert, direction_alert,
        speed_alert OR gust_alert OR direction_alert AS wind_alert
 FROM A"""
+
+# The streaming replay keeps the last emission per window: same rows as the
+# batch windows.
+SQL["stream_window_replay"] = SQL["sliding_stats"]

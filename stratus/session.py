@@ -76,3 +76,10 @@ def materialize(df):
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder for intermediate output
+    (``spark.checkpoint.dir``), or None when it is not configured."""
+    return (spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.checkpoint.dir", None))
