@@ -311,36 +311,58 @@ def q_wind_rule(spark, sf):
         "gust_alert", "direction_alert", "wind_alert")
 
 
-def q_stream_window_replay(spark, sf):
-    """The streaming path itself: ``events`` replayed as a file stream
-    (``availableNow``) through the watermarked 60/5 window job — stateful
-    aggregation, update mode, ``foreachBatch`` into an idempotent Parquet sink
-    in the shared folder — then the last emission of every window. With one
-    replayed file nothing is late, so the result equals the batch windows."""
+def _stream_replay(spark, sf, size, aggs, *, transform=None, columns):
+    """Replay ``events`` as a file stream (``availableNow``) through the
+    watermarked window job — stateful aggregation, update mode,
+    ``foreachBatch`` (optionally applying ``transform`` per micro-batch, as
+    the alert jobs do) into an idempotent Parquet sink in the shared folder —
+    and return the last emission of every window. With one replayed file
+    nothing is late, so the result equals the batch windows."""
     base = shared_folder(spark)
     if base is None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder for stream output")
     run = f"{base.rstrip('/')}/stratus-streams/{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .parquet(sf).withColumnRenamed("ts", "event_time"))
-    q = start_window_job(stream, aggs={
-        "avg_value": F.round(mean_exact("value", SCALE), 3),
-        "min_value": F.min("value"),
-        "max_value": F.max("value"),
-        "event_count": F.count(F.lit(1)),
-    }, size="60 minutes", slide="5 minutes", watermark="5 minutes",
-        sink=batch_sink("parquet", path=f"{run}/out", idempotent=True),
-        checkpoint=f"{run}/checkpoint", entity="event_type", trigger={"availableNow": True})
+              .parquet(sf).withColumnRenamed("ts", "event_time")
+              .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
+    q = start_window_job(stream, aggs=aggs, size=size, slide="5 minutes",
+                         watermark="5 minutes",
+                         sink=batch_sink("parquet", path=f"{run}/out", idempotent=True,
+                                         transform=transform),
+                         checkpoint=f"{run}/checkpoint", entity="event_type",
+                         trigger={"availableNow": True})
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     emitted = spark.read.parquet(f"{run}/out").drop("window_end")
     last = latest_per_window(emitted, keys=("event_type", "window_start"))
-    return last.select("event_type", utc_wall_clock("window_start").alias("window_start"),
-                       (utc_wall_clock("window_start") + F.expr("INTERVAL 60 MINUTES"))
-                       .alias("window_end"),
-                       "avg_value", "min_value", "max_value", "event_count")
+    start = utc_wall_clock("window_start")
+    return last.select("event_type", start.alias("window_start"),
+                       (start + F.expr(f"INTERVAL {size}")).alias("window_end"), *columns)
+
+
+def q_stream_window_replay(spark, sf):
+    """The streaming window job itself on ``events`` (60/5)."""
+    return _stream_replay(spark, sf, "60 minutes", {
+        "avg_value": F.round(mean_exact("value", SCALE), 3),
+        "min_value": F.min("value"),
+        "max_value": F.max("value"),
+        "event_count": F.count(F.lit(1)),
+    }, columns=("avg_value", "min_value", "max_value", "event_count"))
+
+
+def q_stream_heat_replay(spark, sf):
+    """The heat alert as a stream: 30/5 windows, rule applied per micro-batch
+    in the sink."""
+    return _stream_replay(spark, sf, "30 minutes", {
+        "min_humidity": F.min("k"),
+        "max_humidity": F.max("k"),
+        "avg_humidity": mean_exact("k", 0),
+        "avg_temp": mean_exact("value", SCALE),
+        "max_temp": F.max("value"),
+    }, transform=heat_rule, columns=("min_humidity", "max_humidity", "avg_humidity",
+                                     "humidity_jump", "avg_temp", "max_temp", "risk_level"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -369,4 +391,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "heat_rule": q_heat_rule,
     "wind_rule": q_wind_rule,
     "stream_window_replay": q_stream_window_replay,
+    "stream_heat_replay": q_stream_heat_replay,
 }

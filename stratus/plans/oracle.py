@@ -368,3 +368,4 @@ FROM A"""
 # The streaming replay keeps the last emission per window: same rows as the
 # batch windows.
 SQL["stream_window_replay"] = SQL["sliding_stats"]
+SQL["stream_heat_replay"] = SQL["heat_rule"]
