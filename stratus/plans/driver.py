@@ -39,6 +39,7 @@ from stratus.functions.numeric import mean_exact
 from stratus.operators.windows import latest_per_window, pane_sliding_stats
 from stratus.session import shared_folder
 from stratus.sinks.writers import batch_sink
+from stratus.sources.events import read_event_stream
 from stratus.sources.tables import event_observations, shipment_observations, table
 from stratus.streaming.runner import start_window_job
 
@@ -322,10 +323,11 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns):
     if base is None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder for stream output")
     run = f"{base.rstrip('/')}/stratus-streams/{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .parquet(sf).withColumnRenamed("ts", "event_time")
-              .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
+    stream = read_event_stream(spark, "files", path=sf, file_format="parquet",
+                               file_schema=table(spark, sf, "events").schema,
+                               options={"pathGlobFilter": "events.parquet"})
+    stream = (stream.withColumnRenamed("ts", "event_time")
+                    .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
     q = start_window_job(stream, aggs=aggs, size=size, slide="5 minutes",
                          watermark="5 minutes",
                          sink=batch_sink("parquet", path=f"{run}/out", idempotent=True,
