@@ -325,14 +325,18 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
     """Start one alert job on a parsed event stream (see
     :func:`stratus.sources.events.read_event_stream`). Jobs comparing with
     history need ``obs`` (the enriched table). The baseline is materialised
-    once per start (it changes only when history is reloaded) and joined in
-    every micro-batch."""
+    once per start (it changes only when history is reloaded) — written to
+    the shared checkpoint folder, so a lost executor never re-scans history —
+    and joined in every micro-batch."""
     spec = STREAM_JOBS[job]
     baseline = None
     if spec.baseline_values:
         if obs is None:
             raise ValueError(f"{job} needs the historical table")
-        baseline = history_baseline(obs, job, entities).cache()
+        lazy = history_baseline(obs, job, entities)
+        baseline = materialize(lazy)
+        if baseline is lazy:          # no shared folder configured
+            baseline = lazy.cache()
     if spec.payload_time:
         events = events.withColumn("event_time", parse_time("payload_time"))
     contract = CONTRACTS[spec.contract]
