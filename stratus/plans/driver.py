@@ -312,7 +312,8 @@ def q_wind_rule(spark, sf):
         "gust_alert", "direction_alert", "wind_alert")
 
 
-def _stream_replay(spark, sf, size, aggs, *, transform=None, columns):
+def _stream_replay(spark, sf, size, aggs, *, transform=None, columns,
+                   extra_keys=()):
     """Replay ``events`` as a file stream (``availableNow``) through the
     watermarked window job — stateful aggregation, update mode,
     ``foreachBatch`` (optionally applying ``transform`` per micro-batch, as
@@ -338,10 +339,11 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     emitted = spark.read.parquet(f"{run}/out").drop("window_end")
-    last = latest_per_window(emitted, keys=("event_type", "window_start"))
+    last = latest_per_window(emitted, keys=("event_type", "window_start", *extra_keys))
     start = utc_wall_clock("window_start")
     return last.select("event_type", start.alias("window_start"),
-                       (start + F.expr(f"INTERVAL {size}")).alias("window_end"), *columns)
+                       (start + F.expr(f"INTERVAL {size}")).alias("window_end"),
+                       *extra_keys, *columns)
 
 
 def q_stream_window_replay(spark, sf):
