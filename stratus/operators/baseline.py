@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stratus.functions.calendar import utc_wall_clock
 from stratus.functions.numeric import deviation, mean_exact
 
 
@@ -52,7 +54,10 @@ def versus_baseline(windows: DataFrame, baseline: DataFrame, *, entity_pair: tup
         b = b.withColumnRenamed(entity_pair[1], "_hist_entity")
     if broadcast_baseline:
         b = F.broadcast(b)
-    cond = F.month(F.col(month_of)) == F.col("hist_month")
+    start = F.col(month_of)
+    if isinstance(windows.schema[month_of].dataType, T.TimestampType):
+        start = utc_wall_clock(start)      # the UTC month, whatever the session zone
+    cond = F.month(start) == F.col("hist_month")
     if entity_pair:
         cond = cond & (F.col(entity_pair[0]) == F.col("_hist_entity"))
     out = windows.join(b, cond, "inner")
