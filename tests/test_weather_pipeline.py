@@ -149,3 +149,16 @@ def test_batch_all_shares_sub_plans_with_same_results(spark, enriched_path):
     for job in W.DAILY_JOBS + W.HOURS_JOBS:
         alone = sorted(map(tuple, W.batch_result(obs, job, scale=2).collect()))
         assert shared[job] == alone, job
+
+
+def test_csv_reader_is_by_name_and_permissive(spark, tmp_path):
+    from stratus.sources.observations import read_observations_csv
+    p = tmp_path / "odd.csv"
+    # columns in another order, an unknown column, a malformed number
+    p.write_text("temperature_2m,note,city_name,datetime\n"
+                 "12.5,a,Oslo,2000-01-01 00:00:00\n"
+                 "abc,b,Oslo,2000-01-01 01:00:00\n")
+    df = read_observations_csv(spark, str(p))
+    assert dict(df.dtypes)["temperature_2m"] == "double"
+    assert dict(df.dtypes)["note"] == "string"
+    assert [r.temperature_2m for r in df.orderBy("datetime").collect()] == [12.5, None]
