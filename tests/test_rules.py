@@ -139,3 +139,29 @@ def test_long_term_baseline(spark):
     w = w.withColumn("window_start", F.to_timestamp("window_start"))
     out = versus_baseline(w, base, entity_pair=("city", "city_name")).collect()
     assert [(r.hist_year, r.hist_month, r.hist_avg_temp) for r in out] == [(None, 7, 15.0)]
+
+
+def test_event_payload_parsing(spark):
+    """The Kafka value path: JSON text → declared struct → flat columns.
+    Malformed documents, missing objects, wrong types and unknown fields give
+    NULLs, never a failed batch."""
+    import json
+
+    from stratus.sources.events import flatten_event, parse_events
+    docs = [
+        json.dumps({"name": "Dubai", "timestamp": "2024-07-01 10:00:00",
+                    "main": {"temp": 41.5, "humidity": 30, "pressure": 1001.0},
+                    "clouds": {"all": 5.0}, "wind": {"speed": 3.0, "deg": 90.0, "gust": 7.0},
+                    "extra": {"x": 1}}),
+        json.dumps({"name": "Dubai", "main": {"temp": 40.0, "humidity": 65.5}}),
+        json.dumps({"name": "Oslo", "wind": {"speed": 2.0, "deg": 10.0}}),
+        "{not json",
+        "",
+    ]
+    df = spark.createDataFrame([(d,) for d in docs], "value string")
+    rows = flatten_event(parse_events(df)).collect()
+    assert (rows[0].city, rows[0].temperature, rows[0].humidity, rows[0].wind_gust,
+            rows[0].payload_time) == ("Dubai", 41.5, 30, 7.0, "2024-07-01 10:00:00")
+    assert rows[1].temperature == 40.0 and rows[1].humidity is None      # 65.5 is not an int
+    assert rows[2].temperature is None and rows[2].wind_gust is None
+    assert rows[3].city is None and rows[4].city is None
