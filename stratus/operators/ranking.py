@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.session import materialize
+from stratus.session import materialize, materialize_counted
 
 _METHODS = ("rank", "dense_rank", "row_number", "ntile")
 
@@ -164,8 +164,8 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(types)
 
-    cur = materialize(df) if checkpoint else df
-    if cur is not df and cur.count() <= single_task_max_rows:
+    cur, rows = materialize_counted(df) if checkpoint else (df, None)
+    if rows is not None and rows <= single_task_max_rows:
         return _native(cur, order, parts, method, out, n).select(*cols, out)
     rank_terms = []
     for i, (c, desc) in enumerate(order):

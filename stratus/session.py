@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,20 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
+def materialize_counted(df):
+    """:func:`materialize` that also returns the row count, observed while
+    the checkpoint is written (no second job). ``(df, None)`` when no shared
+    folder is configured."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    sc = df.sparkSession.sparkContext
+    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        return df, None
+    obs = Observation(f"stratus_rows_{uuid.uuid4().hex}")   # unique within any plan
+    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("rows")))
+    return out, int(obs.get["rows"])
+
+
 def materialize(df):
     """Cut the lineage of an intermediate that several branches of a plan
     read (e.g. both sides of a self-join): ``checkpoint()`` writes it once to
