@@ -165,3 +165,27 @@ def test_event_payload_parsing(spark):
     assert rows[1].temperature == 40.0 and rows[1].humidity is None      # 65.5 is not an int
     assert rows[2].temperature is None and rows[2].wind_gust is None
     assert rows[3].city is None and rows[4].city is None
+
+
+def test_lag_change_first_row_and_gaps(spark):
+    from stratus.operators.changes import season_yoy_change
+    rows = [("X", y, m, "summer" if m == 7 else "winter", v)
+            for y, m, v in [(2000, 7, 10.0), (2001, 7, 12.5), (2003, 7, 11.0),   # 2002 missing
+                            (2000, 12, 1.0)]]
+    df = spark.createDataFrame(rows, "c string, year int, month int, season string, p double")
+    out = {(r.year, r.season): r.change for r in season_yoy_change(
+        df, "c", {"avg_p": ("p", 1)}, {"change": "avg_p"}).collect()}
+    assert out == {(2000, "summer"): 0.0, (2001, "summer"): 2.5, (2003, "summer"): -1.5,
+                   (2000, "winter"): 0.0}
+
+
+def test_rank_and_dense_rank_on_ties(spark):
+    from stratus.operators.ranking import rank_within
+    df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 3.0), ("d", 1.0)], "e string, v double")
+    for bound in (0, 10):
+        r = {x.e: x.r for x in rank_within(df, [("v", True)], out="r",
+                                            single_task_max_rows=bound).collect()}
+        d = {x.e: x.r for x in rank_within(df, [("v", True)], method="dense_rank", out="r",
+                                            single_task_max_rows=bound).collect()}
+        assert r == {"a": 1, "b": 1, "c": 3, "d": 4}
+        assert d == {"a": 1, "b": 1, "c": 2, "d": 3}
