@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: UTC wall clock (event times and calendar
 # features must not depend on the machine's zone), ANSI on, AQE on so that
@@ -64,37 +65,35 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
-def materialize_counted(df):
-    """:func:`materialize` that also returns the row count, observed while
-    the checkpoint is written (no second job). ``(df, None)`` when no shared
-    folder is configured."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        return df, None
-    obs = Observation(f"stratus_rows_{uuid.uuid4().hex}")   # unique within any plan
-    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("rows")))
-    return out, int(obs.get["rows"])
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder for intermediate output
+    (``spark.checkpoint.dir``), or None when it is not configured."""
+    return (spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.checkpoint.dir", None))
 
 
-def materialize(df):
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate that several branches of a plan
     read (e.g. both sides of a self-join): ``checkpoint()`` writes it once to
     the shared ``spark.checkpoint.dir`` and every branch — and every task
     retried after an executor loss — reads the written copy instead of
     recomputing the upstream scan. Without a configured checkpoint folder
     the DataFrame is returned as is (recomputed per branch)."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
         return df
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder for intermediate output
-    (``spark.checkpoint.dir``), or None when it is not configured."""
-    return (spark.sparkContext.getCheckpointDir()
-            or spark.conf.get("spark.checkpoint.dir", None))
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int | None]:
+    """:func:`materialize` that also returns the row count, observed while
+    the checkpoint is written (no second job). ``(df, None)`` when no shared
+    folder is configured."""
+    if shared_folder(df.sparkSession) is None:
+        return df, None
+    obs = Observation(f"stratus_rows_{uuid.uuid4().hex}")   # unique within any plan
+    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("rows")))
+    return out, int(obs.get["rows"])
