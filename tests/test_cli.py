@@ -28,3 +28,19 @@ def test_cli_end_to_end(spark, scratch):
                  "--sink-path", sink, "--available-now", "--idempotent"]) == 0
     rows = spark.read.parquet(sink).collect()
     assert len(rows) == 6 and {r.batch_id for r in rows} == {0}
+
+
+def test_cli_batch_all_to_jdbc(spark, scratch, monkeypatch):
+    raw = os.path.join(scratch, "raw.csv")
+    with open(raw, "w") as fh:
+        fh.write(HEADER + "\n" + "\n".join(ROWS) + "\n")
+    obs = os.path.join(scratch, "obs")
+    assert main(["ingest", "--raw", raw, "--out", obs]) == 0
+    monkeypatch.setenv("STRATUS_TEST_DRIVER", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    url = "jdbc:derby:memory:stratus_cli;create=true"
+    assert main(["batch", "all", "--obs", obs, "--jdbc-url", url,
+                 "--jdbc-prop", "driver=@env:STRATUS_TEST_DRIVER"]) == 0
+    back = (spark.read.format("jdbc").option("url", url)
+            .option("dbtable", "extreme_temp_days")
+            .option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").load())
+    assert [tuple(r) for r in back.collect()] == [("Dubai", 2000, 2, 1, 1, 1)]
