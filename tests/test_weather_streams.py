@@ -81,6 +81,11 @@ def test_stream_job(spark, setup, job):
         rows = {r.hist_year: r for r in first.collect()}
         assert rows[1996].cloud_anomaly_pct == 8000.0      # zero baseline divides by 1.0
         assert rows[1995].pressure_drop_hpa == 4.0 and rows[1995].pressure_drop_alert
+    if job == "pressure_vs_history":
+        rows = {r.hist_year: r for r in first.collect()}
+        assert rows[1995].stream_avg_pressure == 1002.0 and rows[1995].hist_avg_pressure == 1011.0
+        assert (rows[1995].abs_deviation, rows[1995].pct_deviation) == (-9.0, -0.89)
+        assert (rows[1996].abs_deviation, rows[1996].pct_deviation) == (-3.0, -0.299)
     if job == "heat_risk":
         r = res.filter(F.col("window_start") == "2024-07-01 09:35:00").first()
         # humidity 65.5 is not an int → NULL; jump 100 − 80 = 20 → not > 20
