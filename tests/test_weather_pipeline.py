@@ -162,3 +162,11 @@ def test_csv_reader_is_by_name_and_permissive(spark, tmp_path):
     assert dict(df.dtypes)["temperature_2m"] == "double"
     assert dict(df.dtypes)["note"] == "string"
     assert [r.temperature_2m for r in df.orderBy("datetime").collect()] == [12.5, None]
+
+
+def test_monthly_profile_values(spark, enriched_path):
+    obs = read_observations(spark, enriched_path[0])
+    got = {(r.city_name, r.month): r for r in W.batch_result(obs, "monthly_climate_trends").collect()}
+    oslo = got[("Oslo", 7)]        # July 1999 and 2000 pooled: the profile spans all years
+    assert (oslo.avg_temperature, oslo.avg_humidity, oslo.avg_daily_precipitation,
+            oslo.avg_wind_speed, oslo.avg_cloud_cover) == (20.5, 50.0, 0.44, 10.0, 10.0)
