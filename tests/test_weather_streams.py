@@ -2,7 +2,6 @@
 windows → rules / baseline join in the micro-batch sink → Parquet."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
