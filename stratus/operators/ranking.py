@@ -2,22 +2,20 @@
 
 ``Window.orderBy`` with no ``partitionBy`` (a global rank, ``ntile``) puts
 every row in one task, and ``Window.partitionBy(g)`` puts a whole group in
-one task. Both grow with the data. :func:`rank_within` computes the same
-numbers in a distributed way:
-
-1. pre-aggregate the table to distinct (group, order value) keys with their
-   multiplicity — a hot value collapses to one row before any sort;
-2. cut the order values into ``B`` buckets by approximate quantiles computed
-   inside the same query (scalar subquery, so the cut points are fixed for
-   the whole execution and every retry sees the same assignment);
-3. running counts inside each (group, bucket) window — one bucket holds about
-   1/B of the distinct values;
-4. per-(group, bucket) totals (≤ groups × B rows) give bucket offsets;
-5. join the rank back on (group, order value).
-
-Multi-column orders are reduced to single-column steps:
-rank(c1, c2) = rank(c1) + rank(c2 within equal c1) − 1, so a value tied by a
-third of all rows is split again by the next column.
+one task. :func:`rank_within` computes the same numbers from a range sort, by
+the same steps at every size:
+
+1. the input is written once to the shared folder, so each branch below
+   reads the same rows whatever is recomputed after an executor loss;
+2. it is reduced to distinct (group, order columns) keys with their
+   multiplicity — a value tied by a third of all rows becomes one key;
+3. the keys are dealt over tasks by a range partitioning on the whole key
+   (Spark samples it, any orderable type) and written with the number of
+   their range, so ranges stay fixed from here on;
+4. running counts inside each (group, range), plus the totals of the ranges
+   before it (groups × ranges rows), give rank and dense rank;
+5. the ranks are joined back on the key (for ``row_number`` and ``ntile`` the
+   key is the whole row, so nothing is joined back).
 """
 
 from __future__ import annotations
@@ -29,53 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.session import materialize, materialize_counted
+from stratus.session import materialize
 
 _METHODS = ("rank", "dense_rank", "row_number", "ntile")
 
-# Row bound under which one window task per group is acceptable (a sort of
-# at most this many rows); checked on the materialised input.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def _buckets(df: DataFrame, requested: int | None) -> int:
-    if requested:
-        return max(2, int(requested))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(n // 4, 1024))
-
-
-def _surrogate(dt: T.DataType, c: Column) -> Column:
-    """Monotone (non-strict) numeric image of an order column, used only to
-    assign buckets; the exact order inside a bucket uses the column itself."""
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # first 6 bytes, big-endian, right-padded: order-preserving prefix
-        hx = F.rpad(F.substring(F.hex(c), 1, 12), 12, "0")
-        return F.conv(hx, 16, 10).cast(T.DoubleType())
-    if isinstance(dt, T.BooleanType):
-        return c.cast(T.IntegerType()).cast(T.DoubleType())
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast(T.TimestampType())).cast(T.DoubleType())
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast(T.DoubleType())
-    return c.cast(T.DoubleType())
-
-
-def _bucket_of(s: Column, cuts: Column, n: int) -> Column:
-    """Number of the ``n`` ascending cut points strictly below ``s`` (bucket
-    0 … n), by binary search: a balanced CASE tree of depth log2(n+1), so each
-    key costs O(log B) comparisons. NULL goes to bucket 0."""
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.element_at(cuts, mid + 1) < s, node(mid + 1, hi)).otherwise(node(lo, mid))
-    return node(0, n).cast(T.IntegerType())
-
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` treating NULL = NULL; right-side key columns are
-    dropped."""
+    dropped. Without keys the right side is a single row."""
     rk = [f"__rk{i}" for i in range(len(keys))]
     renamed = right.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
                            *[c for c in right.columns if c not in keys])
@@ -84,115 +43,63 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, cond, "inner").drop(*rk)
 
 
-def _rank_one(df: DataFrame, parts: list[str], col: str, dtype: T.DataType,
-              descending: bool, buckets: int, accuracy: int, with_dense: bool,
-              with_total: bool, prefix: str) -> DataFrame:
-    """Add ``{prefix}r`` (rank), optionally ``{prefix}d`` (dense rank) and
-    ``{prefix}n`` (group size) for ordering by one column."""
-    v = F.col(col)
-    keys = df.groupBy(*parts, col).agg(F.count(F.lit(1)).alias("_m"))
-    s = _surrogate(dtype, v)
-    probs = [i / buckets for i in range(1, buckets)]
-    # cut points over the same aggregate (its exchange is reused by the
-    # subquery); fixed for the whole execution
-    cuts = keys.where(F.col("_m") > 0).select(F.percentile_approx(s, probs, accuracy)).scalar()
-    # the subquery is projected once; the search tree reads the column (each
-    # direct reference to a scalar subquery would run it again)
-    keys = (keys.withColumn("_cuts", cuts)
-                .select(*parts, col, "_m", _bucket_of(s, F.col("_cuts"), len(probs)).alias("_b")))
-
-    sort = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    w_local = Window.partitionBy(*parts, "_b").orderBy(sort)
-    local = keys.select(
-        "*",
-        F.coalesce(F.sum("_m").over(w_local.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.row_number().over(w_local).alias("_dl"))
-
-    bsort = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.partitionBy(*parts).orderBy(bsort).rowsBetween(Window.unboundedPreceding, -1)
-    totals = keys.groupBy(*parts, "_b").agg(F.sum("_m").alias("_tm"),
-                                            F.count(F.lit(1)).alias("_td"))
-    off_cols = [*parts, "_b",
-                F.coalesce(F.sum("_tm").over(before), F.lit(0)).alias("_om"),
-                F.coalesce(F.sum("_td").over(before), F.lit(0)).alias("_od")]
-    if with_total:
-        off_cols.append(F.sum("_tm").over(Window.partitionBy(*parts)).alias("_gn"))
-    offsets = totals.select(*off_cols)
-    ranked = _null_safe_join(local, offsets, [*parts, "_b"])
-    out = [*parts, col, (F.col("_om") + F.col("_before") + 1).alias(f"{prefix}r")]
-    if with_dense:
-        out.append((F.col("_od") + F.col("_dl")).alias(f"{prefix}d"))
-    if with_total:
-        out.append(F.col("_gn").alias(f"{prefix}n"))
-    return _null_safe_join(df, ranked.select(*out), [*parts, col])
-
-
 def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str] = (),
                 method: str = "rank", out: str = "rank", n: int | None = None,
-                buckets: int | None = None, accuracy: int = 10000,
-                checkpoint: bool = True,
-                single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Add column ``out`` = ``method`` over (PARTITION BY ``partition_by``
     ORDER BY ``order_by``), computed without single-task windows.
 
     ``order_by`` items are column names (ascending, NULLS FIRST) or
     ``(name, descending)`` pairs (descending → NULLS LAST), Spark's defaults.
-    ``method``: ``rank``, ``dense_rank`` (single order column),
-    ``row_number`` and ``ntile`` (the order must be unique inside a group —
-    add the entity key as a tie-break). Results are ``int`` like Spark's.
-
-    The input is read by several branches (keys, cut points, join back);
-    with ``checkpoint`` it is materialised once in the shared checkpoint
-    folder first, and again between order columns, so the upstream scan runs
-    once (see :func:`stratus.session.materialize`).
-
-    Size check: when the input was materialised and has at most
-    ``single_task_max_rows`` rows, no window group can exceed that bound and
-    Spark's own window function is used (one sort per group); otherwise the
-    distributed computation. Both give the same numbers.
+    ``method``: ``rank``, ``dense_rank``, ``row_number`` or ``ntile``.
+    ``row_number`` and ``ntile`` number tied rows by their remaining columns
+    (ascending), so the numbering is a function of the data alone; rows equal
+    in every column are interchangeable. Results are ``int`` like Spark's.
+    ``ranges``: number of range partitions (default: Spark's shuffle
+    partitions, coalesced by AQE when small).
     """
     if method not in _METHODS:
         raise ValueError(f"method must be one of {_METHODS}")
     if method == "ntile" and not n:
         raise ValueError("ntile needs n")
     order = [(o, False) if isinstance(o, str) else (o[0], bool(o[1])) for o in order_by]
-    if method == "dense_rank" and len(order) != 1:
-        raise ValueError("dense_rank supports one order column")
     parts = list(partition_by)
-    b = _buckets(df, buckets)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cols = list(types)
-
-    cur, rows = materialize_counted(df) if checkpoint else (df, None)
-    if rows is not None and rows <= single_task_max_rows:
-        return _native(cur, order, parts, method, out, n).select(*cols, out)
-    rank_terms = []
-    for i, (c, desc) in enumerate(order):
-        if i and checkpoint:
-            cur = materialize(cur)
-        cur = _rank_one(cur, parts + [o for o, _ in order[:i]], c, types[c], desc, b, accuracy,
-                        with_dense=(method == "dense_rank"),
-                        with_total=(method == "ntile" and i == 0),
-                        prefix=f"_k{i}")
-        rank_terms.append(F.col(f"_k{i}r"))
-    r = reduce(lambda a, x: a + x, rank_terms) - (len(rank_terms) - 1)
-
-    if method == "dense_rank":
-        value = F.col("_k0d")
-    elif method == "ntile":
-        value = _ntile(r, F.col("_k0n"), n)
-    else:
-        value = r
-    return cur.select(*cols, value.cast(T.IntegerType()).alias(out))
-
-
-def _native(df: DataFrame, order, parts, method: str, out: str, n: int | None) -> DataFrame:
+    cols = df.columns
+    whole_row = method in ("row_number", "ntile")
+    if whole_row:
+        used = set(parts) | {c for c, _ in order}
+        order += [(c, False) for c in cols if c not in used]
     sorts = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
-    w = Window.partitionBy(*parts).orderBy(*sorts) if parts else Window.orderBy(*sorts)
-    fn = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}.get(method)
-    expr = F.ntile(n) if method == "ntile" else fn()
-    return df.withColumn(out, expr.over(w).cast(T.IntegerType()))
+    key = parts + [c for c, _ in order if c not in parts]
+
+    rows = df if whole_row else materialize(df, "rank-rows")
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
+    by = [F.col(p) for p in parts] + sorts
+    keys = keys.repartitionByRange(ranges, *by) if ranges else keys.repartitionByRange(*by)
+    keys = materialize(keys.withColumn("_range", F.spark_partition_id()), "rank-keys")
+
+    within = Window.partitionBy(*parts, "_range").orderBy(*sorts)
+    before = F.sum("_m").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    local = keys.withColumns({"_before": F.coalesce(before, F.lit(0)),
+                              "_dense": F.row_number().over(within)})
+    earlier = Window.partitionBy(*parts).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    totals = (keys.groupBy(*parts, "_range")
+              .agg(F.sum("_m").alias("_rows"), F.count(F.lit(1)).alias("_keys")))
+    offsets = totals.select(*parts, "_range",
+                            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_o"),
+                            F.coalesce(F.sum("_keys").over(earlier), F.lit(0)).alias("_od"),
+                            F.sum("_rows").over(Window.partitionBy(*parts)).alias("_total"))
+    ranked = _null_safe_join(local, offsets, [*parts, "_range"])
+    first = F.col("_o") + F.col("_before") + 1
+    if whole_row:
+        number = F.explode(F.sequence(first, F.col("_o") + F.col("_before") + F.col("_m")))
+        numbered = ranked.select(*cols, "_total", number.alias("_i"))
+        value = _ntile(F.col("_i"), F.col("_total"), n) if method == "ntile" else F.col("_i")
+        return numbered.select(*cols, value.cast(T.IntegerType()).alias(out))
+    value = first if method == "rank" else F.col("_od") + F.col("_dense")
+    ranked = ranked.select(*key, value.cast(T.IntegerType()).alias(out))
+    return _null_safe_join(rows, ranked, key).select(*cols, out)
 
 
 def _ntile(row_number: Column, total: Column, n: int) -> Column:

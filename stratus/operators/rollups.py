@@ -101,12 +101,11 @@ def diurnal_oscillation_rank(df: DataFrame, entity: str, value: str, *,
         F.round(mean_exact("_osc", scale), 2).alias(avg_n),
         F.round(F.max("_osc"), 2).alias(max_n),
         F.round(F.min("_osc"), 2).alias(min_n))
-    per_period = rank_within(per_period, [(avg_n, True)], partition_by=[period],
-                             method="rank", out=rank_n)
-    # read twice below (overall means and the final join): write it once
-    per_period = materialize(per_period)
+    per_period = materialize(per_period, "oscillation")   # read by both rankings
     overall = per_period.groupBy(entity).agg(
         F.round(mean_exact(avg_n, scale), 2).alias(overall_n))
     overall = rank_within(overall, [(overall_n, True)], method="rank", out=overall_rank_n)
+    ranked = rank_within(per_period, [(avg_n, True)], partition_by=[period],
+                         method="rank", out=rank_n)
     # one row per entity on the right: the join never multiplies rows
-    return per_period.join(overall, on=entity, how="left")
+    return ranked.join(overall, on=entity, how="left")

@@ -333,10 +333,7 @@ def start_stream_job(spark: SparkSession, job: str, events: DataFrame, *, checkp
     if spec.baseline_values:
         if obs is None:
             raise ValueError(f"{job} needs the historical table")
-        lazy = history_baseline(obs, job, entities)
-        baseline = materialize(lazy)
-        if baseline is lazy:          # no shared folder configured
-            baseline = lazy.cache()
+        baseline = materialize(history_baseline(obs, job, entities))
     if spec.payload_time:
         events = events.withColumn("event_time", parse_time("payload_time"))
     contract = CONTRACTS[spec.contract]

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (event times and calendar
 # features must not depend on the machine's zone), ANSI on, AQE on so that
@@ -47,53 +47,50 @@ def build_session(master: str | None = None, app: str = "stratus",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for checkpoints / materialised intermediates.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediates that every executor and the driver can reach.
 
-    Read from ``spark.checkpoint.dir`` as the cluster configures it; only when
-    it is unset (tests) fall back to ``fallback`` and register it.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode
+    session that leaves it unset (tests, the bench) gets a folder of its own;
+    on a cluster a missing setting is an error, never a machine-local path.
     """
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    current = (spark.conf.get("spark.checkpoint.dir", None)
+               or spark.sparkContext.getCheckpointDir())
     if current:
         return current
-    if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
-    if "://" not in fallback:
-        os.makedirs(fallback, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder for intermediate output
-    (``spark.checkpoint.dir``), or None when it is not configured."""
-    return (spark.sparkContext.getCheckpointDir()
-            or spark.conf.get("spark.checkpoint.dir", None))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate that several branches of a plan
-    read (e.g. both sides of a self-join): ``checkpoint()`` writes it once to
-    the shared ``spark.checkpoint.dir`` and every branch — and every task
-    retried after an executor loss — reads the written copy instead of
-    recomputing the upstream scan. Without a configured checkpoint folder
-    the DataFrame is returned as is (recomputed per branch)."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def materialize_counted(df: DataFrame) -> tuple[DataFrame, int | None]:
-    """:func:`materialize` that also returns the row count, observed while
-    the checkpoint is written (no second job). ``(df, None)`` when no shared
-    folder is configured."""
-    if shared_folder(df.sparkSession) is None:
-        return df, None
-    obs = Observation(f"stratus_rows_{uuid.uuid4().hex}")   # unique within any plan
-    out = materialize(df.observe(obs, F.count(F.lit(1)).alias("rows")))
-    return out, int(obs.get["rows"])
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="stratus-shared-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str = "table") -> str:
+    """A fresh path under :func:`shared_folder`, removed when the application
+    ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/stratus-{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`scratch_path` named, once nothing reads it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write an intermediate that several branches of a plan read as Parquet
+    into the shared folder, once, and read it back.
+
+    The lineage ends at the written table: every branch, and every task
+    retried after an executor loss, reads the files instead of recomputing
+    the upstream scan, and each branch reads only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

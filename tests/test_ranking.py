@@ -33,12 +33,11 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("bound", [0, 10 ** 6])
+@pytest.mark.parametrize("ranges", [None, 7])
 @pytest.mark.parametrize("parts,order,method", CASES)
-def test_matches_window_functions(spark, data, parts, order, method, bound):
-    # bound 0 forces the distributed path, 10**6 takes the checked single-task path
+def test_matches_window_functions(spark, data, parts, order, method, ranges):
     mine = rank_within(data, order, partition_by=parts, method=method, out="r", n=4,
-                       single_task_max_rows=bound)
+                       ranges=ranges)
     sorts = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
     w = Window.partitionBy(*parts).orderBy(*sorts) if parts else Window.orderBy(*sorts)
     fn = {"rank": F.rank(), "dense_rank": F.dense_rank(), "row_number": F.row_number(),
@@ -53,8 +52,7 @@ def test_matches_window_functions(spark, data, parts, order, method, bound):
 @pytest.mark.parametrize("n_rows", [3, 5])
 def test_ntile_small_groups(spark, n_rows):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(n_rows)], "id long, v double")
-    got = [r.q for r in rank_within(df, ["v", "id"], method="ntile", n=4, out="q",
-                                    single_task_max_rows=0)
+    got = [r.q for r in rank_within(df, ["v", "id"], method="ntile", n=4, out="q")
            .orderBy("v", "id").collect()]
     want = [r.q for r in df.withColumn("q", F.ntile(4).over(Window.orderBy("v", "id")))
             .orderBy("v", "id").collect()]
@@ -63,6 +61,26 @@ def test_ntile_small_groups(spark, n_rows):
 
 def test_top_k_keeps_ties(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 4.0), (4, 1.0)], "id long, v double")
-    ranked = rank_within(df, [("v", True)], out="rank", single_task_max_rows=0)
+    ranked = rank_within(df, [("v", True)], out="rank")
     assert sorted(r.id for r in top_k(ranked, "rank", 1).collect()) == [1, 2]
     assert sorted(r.id for r in top_k(ranked, "rank", 3).collect()) == [1, 2, 3]
+
+
+def test_ties_are_numbered_the_same_at_any_range_count(spark):
+    df = spark.createDataFrame([(5, "a"), (5, "b"), (6, "c"), (6, "c")], "v long, name string")
+    for method, want in (("row_number", [1, 2, 3, 4]), ("ntile", [1, 1, 2, 3])):
+        for ranges in (1, 3):
+            got = rank_within(df, ["v"], method=method, n=3, out="r", ranges=ranges)
+            assert [r.r for r in got.orderBy("v", "name", "r").collect()] == want
+
+
+def test_long_common_string_prefix_spreads_over_ranges(spark, monkeypatch):
+    import stratus.operators.ranking as R
+    seen = []
+    plain = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label="t": seen.append(
+        out := plain(df, label)) or out)
+    df = spark.range(2000).select(F.format_string("customer#%09d", "id").alias("name"))
+    got = rank_within(df, ["name"], out="r", ranges=1024)
+    assert got.agg(F.max("r"), F.countDistinct("r")).first()[:2] == (2000, 2000)
+    assert seen[-1].select("_range").distinct().count() > 500
