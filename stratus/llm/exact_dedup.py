@@ -61,9 +61,8 @@ def frequent_keys(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
     holds more than ``2/(k+1)`` of the rows."""
     parts = (df.select(column).mapInPandas(misra_gries(column, k), "key string, low long")
              .groupBy("key").agg(F.sum("low").alias("low")))
-    rows = df.agg(F.count(F.lit(1)).alias("n"))
-    return (parts.join(F.broadcast(rows), F.col("low") * (k + 1) > F.col("n"))
-            .select(F.col("key").alias(column)))
+    return parts.where(F.col("low") * (k + 1) > F.lit(df.count())).select(
+        F.col("key").alias(column))
 
 
 def _order(id_col: str):

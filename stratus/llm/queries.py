@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe
+from stratus.llm import bpe, quality
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.mixing import mix
 
 
+#: Scores from here on count as good.
+GOOD = 0.7
+
+
+def quality_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with ``score``; learned from labels outside the held-out part."""
+    spark = docs.sparkSession
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    weights = quality.fit(table(spark, sf_dir, "documents"), labels)
+    return quality.score(docs, weights)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, sf_dir).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
@@ -38,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op10_byte_bpe": op10_byte_bpe,
