@@ -12,6 +12,7 @@ from stratus.llm import bpe, quality
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.mixing import mix
+from stratus.llm.ngram_join import near_duplicates
 
 
 #: Scores from here on count as good.
@@ -42,6 +43,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
