@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, quality
+from stratus.llm import bpe, quality, token_store
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.mixing import mix
 from stratus.llm.ngram_join import near_duplicates
+from stratus.session import scratch_path
 
 
 #: Scores from here on count as good.
@@ -34,6 +35,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path,
+                             public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
@@ -69,6 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
