@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, quality, token_store
+from stratus.llm import bpe, quality, token_store, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.mixing import mix
@@ -47,6 +47,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write_archive(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.captures(spark, path).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), F.col("refers_to_page").cast(kind).alias("refers_to"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
@@ -95,4 +106,17 @@ SQL: dict[str, str] = {
                    FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    # DuckDB's to_base gives digits 0-9A-V for base 32
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             s AS (SELECT page_id, body, sha1(body) AS sha, min(page_id) OVER (PARTITION BY body)
+                          AS first FROM p)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+               translate(array_to_string(list_transform(range(8), lambda i: to_base(
+                   ('0x' || substr(sha, (1 + 5 * i)::INT, 5))::BIGINT, 32, 4)), ''),
+                   '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')
+                   AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM s""",
 }
