@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratus.llm import bpe, quality, token_store, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
+from stratus.llm.main_text import extract
 from stratus.llm.mixing import mix
 from stratus.llm.ngram_join import near_duplicates
 from stratus.session import scratch_path
@@ -35,6 +36,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path,
@@ -88,6 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_main_text": op3_main_text,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc": op7_warc,
