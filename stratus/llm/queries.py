@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratus.llm import bpe, quality, token_store, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
+from stratus.llm.hamming_index import nearest
 from stratus.llm.main_text import extract
 from stratus.llm.mixing import mix
 from stratus.llm.ngram_join import near_duplicates
@@ -36,6 +37,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op2_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -94,6 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_hamming_index": op2_hamming_index,
     "op3_main_text": op3_main_text,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
