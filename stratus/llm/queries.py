@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, quality, token_store, warc
+from stratus.llm import bpe, pii, quality, token_store, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.hamming_index import nearest
@@ -58,6 +58,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+def joined_spans(column: str):
+    """kind:start:end of each span, comma-joined."""
+    return F.concat_ws(",", F.transform(column, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind))
+    return found.select(
+        "doc_id", *[count(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+        joined_spans("spans").alias("spans"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
@@ -103,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_main_text": op3_main_text,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_warc": op7_warc,
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
