@@ -9,22 +9,26 @@ threshold share an n-gram in their first ``n - ceil(t n) + 1``.
 
 1. Equal texts are one node (smallest id); copies are never paired.
 2. Prefix n-grams of one node only are dropped. The rest are ``members``.
-3. Star rounds: in each n-gram's group one member is the centre and only pairs
-   (centre, member) arise, of which every node keeps the pair with the most
-   n-grams in common. Verified links join components; groups inside
-   one component need nothing more. A group of near copies thus costs pairs in
+3. Stars: in each n-gram's group a few members are centres and only pairs
+   (centre, member) arise, of which every node keeps, for each kind of centre,
+   the one with the most n-grams in common. The first kind of centre is the member
+   in which the n-gram comes earliest, that is the one with the fewest n-grams
+   of its own, so the middle of a group of near copies; the others are random.
+   Verified links join components. A group of near copies thus costs pairs in
    proportion to its size, not to its square.
-4. The last round is exact: all pairs of a group whose members are still in
+4. The last step is exact: all pairs of a group whose members are still in
    different components, less those verified before.
 
 Filters on a pair with a common n-gram at positions i and j: length (sizes
-within t of each other), position (before, at and after the n-gram there is
-room for the overlap needed), suffix (both sets cut at fixed pivots of the hash;
-the overlap is at most the sum of the smaller parts). None loses a pair.
+within t of each other), position (from the n-gram on there is room for the
+overlap needed; a pair that meets at an earlier n-gram is found there), suffix
+(both sets cut at fixed pivots of the hash; the overlap is at most the sum of
+the smaller parts). None loses a pair.
 
-Text is read three times (profile, prefixes, sets of nodes with
-a partner); the third pass picks its rows by a filter of fixed size, whose
-false hits a join removes. Nothing that grows with the corpus is broadcast.
+Text is read for the profile, for the prefixes, and for the sets of those nodes
+that are in a pair which passed all filters (for each of steps 3 and 4); these
+rows are picked by a filter of fixed size, whose false hits a join removes.
+Nothing that grows with the corpus is broadcast.
 
 Defined results: null, empty and blank texts have no n-grams and link with
 nothing, not even each other; a text of fewer than ``n`` words is one n-gram;
@@ -56,7 +60,10 @@ SKETCH, PARTS = 1 << 20, 64
 PIVOTS = 64
 #: Bits of the row filter of the third pass.
 FILTER = 1 << 26
-STAR_ROUNDS = 3
+#: Kinds of centres: the earliest, and so many random ones less one.
+STARS = 3
+#: Rows whose words are held in Python at a time.
+ROWS = 256
 #: Words whose hashes a Python worker keeps; a full cache is emptied.
 CACHE = 1 << 18
 
@@ -106,8 +113,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column(0)
-        yield ids, [words_of(t) for t in batch.column(1).to_pylist()]
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield some.column(0), [words_of(t) for t in some.column(1).to_pylist()]
 
 
 def _profile(n: int):
@@ -241,7 +249,7 @@ def _verify(percent: int):
 
 def _room(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
     """Length and positional filter."""
-    overlap = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+    overlap = F.least(n1 - p1, n2 - p2)
     return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
             & ((100 + percent) * overlap >= percent * (n1 + n2)))
 
@@ -250,8 +258,8 @@ class NgramJoin:
     """One join over ``docs``; the steps above as methods."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 n: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS):
-        self.spark, self.n, self.percent, self.star_rounds = docs.sparkSession, n, percent, star_rounds
+                 n: int = WORDS, percent: int = PERCENT, stars: int = STARS):
+        self.spark, self.n, self.percent, self.stars = docs.sparkSession, n, percent, stars
         self.docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
         self.id_type = self.docs.schema["doc_id"].dataType.simpleString()
 
@@ -287,10 +295,8 @@ class NgramJoin:
                   .select("gram"))
         return materialize(rows.join(shared, "gram"), "members")
 
-    def sets(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
-        """(node, grams) of the nodes among ``members``."""
-        wanted = materialize(members.select("node").distinct().join(
-            nodes.select("node", "digest"), "node"), "wanted")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, grams) of the nodes ``wanted`` (node, digest)."""
         field = np.zeros(FILTER // 64, "<i8")
         marks = (wanted.select("digest").mapInPandas(_marks, "word long, bits long")
                  .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
@@ -301,31 +307,48 @@ class NgramJoin:
         found = found.groupBy("digest").agg(F.first("grams").alias("grams"))
         return materialize(wanted.join(found, "digest").select("node", "grams"), "sets")
 
-    def verify(self, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """Suffix filter, then exact check: the linked (a, b) of ``pairs``."""
+    def suffix_filter(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         parts = nodes.select("node", "n", "bins")
         a, b = (parts.select(*[F.col(c).alias(f"{c}_{x}") for c in parts.columns]) for x in "ab")
         near = (pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")))
-        most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        near = near.where((100 + self.percent) * most
+        most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0),
+                           lambda s, x: s + x)
+        return near.where((100 + self.percent) * most
                           >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+    def verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The linked (a, b) of ``pairs`` (a, b), each checked once."""
+        pairs = materialize(self.suffix_filter(pairs, nodes), "pairs")
+        if pairs.isEmpty():
+            return pairs
+        wanted = materialize(
+            pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            .join(nodes.select("node", "digest"), "node"), "wanted")
+        sets = self.sets(wanted)
         left = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
         right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-        return (near.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
-                .mapInArrow(_verify(self.percent), "a long, b long"))
-
-    def star_pairs(self, members: DataFrame, turn: int) -> DataFrame:
-        """One pair per node: with the centre it has most n-grams in common."""
-        centre = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"),
-                          F.col("n").alias("cn"), F.col("pos").alias("cp"),
-                          F.col("label").alias("cl"))
-        centres = (members.groupBy("gram").agg(F.min(centre).alias("s"), F.min("label").alias("lo"),
-                                               F.max("label").alias("hi"))
-                   .where("lo <> hi").select("gram", "s.*"))
-        pairs = members.join(centres, "gram").where((F.col("label") != F.col("cl")) & _room(
+        return materialize(
+            pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
+            .mapInArrow(_verify(self.percent), "a long, b long"), "links")
+
+    def star_pairs(self, members: DataFrame) -> DataFrame:
+        """For every node and kind of centre one pair: with the centre it has
+        most n-grams in common."""
+        kinds = []
+        for kind in range(self.stars):
+            h = F.xxhash64("node", F.lit(kind))
+            first = F.struct(F.col("pos").alias("x"), h.alias("h")) if kind == 0 else F.struct(
+                F.lit(0).alias("x"), h.alias("h"))
+            kinds.append(F.min(F.struct(first.alias("first"), F.lit(kind).alias("kind"),
+                                        F.col("node").alias("c"), F.col("n").alias("cn"),
+                                        F.col("pos").alias("cp"))))
+        centres = (members.groupBy("gram").agg(F.array(*kinds).alias("all"))
+                   .select("gram", F.explode("all").alias("s"))
+                   .select("gram", "s.kind", "s.c", "s.cn", "s.cp"))
+        pairs = members.join(centres, "gram").where((F.col("node") != F.col("c")) & _room(
             F.col("n"), F.col("pos"), F.col("cn"), F.col("cp"), self.percent))
-        most = (pairs.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m"))
-                .groupBy("node").agg(F.max_by("c", F.struct("m", "c")).alias("c")))
+        most = (pairs.groupBy("node", "kind", "c").agg(F.count(F.lit(1)).alias("m"))
+                .groupBy("node", "kind").agg(F.max_by("c", F.struct("m", "c")).alias("c")))
         return most.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
     def all_pairs(self, members: DataFrame) -> DataFrame:
@@ -344,39 +367,22 @@ class NgramJoin:
         rows, sketch = self.profile()
         nodes = self.nodes(sketch)
         members = self.members(nodes)
-        sets = self.sets(nodes, members)
-        members = members.withColumn("label", F.col("node"))
-        labels = done = None
-        for turn in range(self.star_rounds + 1):
-            exact = turn == self.star_rounds
-            pairs = self.all_pairs(members) if exact else self.star_pairs(members, turn)
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            links = materialize(self.verify(pairs, nodes, sets), "links")
-            if links.isEmpty():
-                if not exact and pairs.isEmpty():
-                    break                          # no group spans two components any more
-                done = pairs if done is None else done.unionByName(pairs)
-                continue
-            done = pairs if done is None else done.unionByName(pairs)
-            if labels is None:
-                labels = components(links)
-            else:
-                # links between components: merge their labels
-                x = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-                y = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-                merged = components(links.join(x, "a", "left").join(y, "b", "left").select(
-                    F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-                old = labels.join(merged.select(F.col("node").alias("label"),
-                                                F.col("label").alias("top")), "label", "left")
-                labels = materialize(
-                    old.select("node", F.coalesce("top", "label").alias("label"))
-                    .unionByName(merged.join(labels.select("node"), "node", "left_anti")), "labels")
-            if not exact:
-                members = materialize(
-                    members.drop("label").join(labels, "node", "left")
-                    .withColumn("label", F.coalesce("label", "node")), "members")
+        tried = labels = None
+        if self.stars:
+            tried = materialize(self.star_pairs(members), "stars")
+            links = self.verify(tried, nodes)
+            labels = components(links)
+            members = (members.join(labels, "node", "left")
+                       .withColumn("label", F.coalesce("label", "node")))
+        else:
+            members = members.withColumn("label", F.col("node"))
+        pairs = self.all_pairs(materialize(members, "members"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        rest = self.verify(materialize(pairs, "rest"), nodes)
+        if not rest.isEmpty():
+            links = links.unionByName(rest) if labels is not None else rest
+            labels = components(links)
         ids = nodes.select("node", "digest", "doc_id")
         if labels is not None:
             linked = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
