@@ -34,6 +34,7 @@ import codecs
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +57,8 @@ BLOCK = 1 << 16
 SHORT = 128
 #: Bytes that a long piece advances at a time, besides the lookahead.
 STEP = 1024
-#: Entries of each cache of encoded pieces.
-CACHE = 1 << 18
+#: Entries of each generation of a cache.
+CACHE = 3 << 16
 #: Rows whose results are held in Python at a time.
 ROWS = 256
 
@@ -128,13 +129,20 @@ def merge(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     ids = [vocabulary.byte_id[b] for b in piece]
     merges, n = vocabulary.merges, len(ids)
     if n <= SHORT:
-        while len(ids) > 1:
-            best = min(((merges[k], i) for i in range(len(ids) - 1)
-                        if (k := ids[i] << 32 | ids[i + 1]) in merges), default=None)
-            if best is None:
+        none = (len(merges), 0)
+        get = merges.get
+        known = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while known:
+            best = min(known)
+            if best is none:
                 break
-            (_, whole), i = best
-            ids[i:i + 2] = [whole]
+            i = known.index(best)
+            ids[i:i + 2] = [best[1]]
+            del known[i]
+            if i < len(known):
+                known[i] = get(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                known[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
         return ids
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     queue = [(merges[k][0], i, k) for i in range(n - 1)
@@ -189,8 +197,8 @@ class Transducer:
 
 
 class Encoder:
-    """Text → little-endian int32 ids, block by block, with bounded caches of
-    encoded pieces (a cache that is full is emptied)."""
+    """Text → int32 ids, block by block, with bounded caches of encoded pieces:
+    a full cache becomes the old generation, from which hits come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -199,32 +207,38 @@ class Encoder:
             vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None)
         self.by_piece: dict[str, bytes] = {}
         self.by_word: dict[str, bytes] = {}      # a word with the space before it
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     @staticmethod
     def _pack(ids) -> bytes:
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         got = self.by_piece.get(piece)
         if got is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            if len(data) > SHORT:
-                stream = Transducer(self.vocabulary)
-                return self._pack(stream.feed(data)) + self._pack(stream.finish())
-            got = self._pack(merge(self.vocabulary, data))
+            got = self.old_pieces.get(piece)
+            if got is None:
+                data = piece.encode("utf-8", "surrogatepass")
+                if len(data) > SHORT:
+                    stream = Transducer(self.vocabulary)
+                    return self._pack(stream.feed(data)) + self._pack(stream.finish())
+                got = self._pack(merge(self.vocabulary, data))
             if len(self.by_piece) >= CACHE:
-                self.by_piece.clear()
+                self.old_pieces, self.by_piece = self.by_piece, {}
             self.by_piece[piece] = got
         return got
 
     def _span(self, text: str) -> bytes:
-        return b"".join(self._piece(m.group()) for m in self.pieces.finditer(text))
+        return b"".join([self._piece(p) for p in self.pieces.findall(text)])
 
     def _word(self, word: str) -> bytes:
-        got = self._span(" " + word)
+        got = self.old_words.get(word)
+        if got is None:
+            got = self._span(" " + word)
         if len(word) <= SHORT:
             if len(self.by_word) >= CACHE:
-                self.by_word.clear()
+                self.old_words, self.by_word = self.by_word, {}
             self.by_word[word] = got
         return got
 
