@@ -3,10 +3,12 @@
     ingest  --raw CSV --out DIR [--rejected DIR]
     batch   JOB|all --obs DIR (--out DIR [--format parquet] |
             --jdbc-url URL [--jdbc-table T] [--jdbc-prop k=v ...]) [--scale N]
+            [--order-by COLUMN[:desc] ...]
     stream  JOB --source kafka|files [--path DIR] [--option k=v ...]
             [--max-per-trigger N] --checkpoint DIR --sink-format F
             [--sink-path DIR] [--sink-option k=v ...] [--obs DIR] [--city C ...]
             [--available-now | --processing-time "3 seconds"] [--idempotent]
+            [--preview N]
 
 Option values written ``@env:NAME`` are read from the environment (keep
 passwords out of command lines and code).
@@ -18,6 +20,7 @@ import argparse
 import os
 import sys
 
+from stratus.operators.ranking import ordered
 from stratus.plans import weather as W
 from stratus.session import build_session
 from stratus.sinks.writers import write_jdbc
@@ -52,6 +55,7 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--jdbc-url")
     b.add_argument("--jdbc-table")
     b.add_argument("--jdbc-prop", action="append")
+    b.add_argument("--order-by", action="append", help="sort results that have the column")
 
     s = sub.add_parser("stream")
     s.add_argument("job", choices=list(W.STREAM_JOBS))
@@ -68,6 +72,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--available-now", action="store_true")
     s.add_argument("--processing-time")
     s.add_argument("--idempotent", action="store_true")
+    s.add_argument("--preview", type=int, default=0, help="rows of each micro-batch to print")
     s.add_argument("--state-store", choices=["rocksdb"])
     s.add_argument("--state-partitions", type=int)
     return p
@@ -87,6 +92,7 @@ def main(argv=None) -> int:
             raise SystemExit("batch needs --out or --jdbc-url")
 
         def write(job, df):
+            df = ordered(df, a.order_by or ())
             if a.jdbc_url:
                 table = a.jdbc_table if a.jdbc_table and len(jobs) == 1 else job
                 write_jdbc(df, table, a.jdbc_url, _pairs(a.jdbc_prop))
@@ -102,7 +108,7 @@ def main(argv=None) -> int:
     q = W.start_stream_job(spark, a.job, events, checkpoint=a.checkpoint,
                            sink_format=a.sink_format, sink_options=_pairs(a.sink_option),
                            sink_path=a.sink_path, obs=obs, entities=a.city, trigger=trigger,
-                           idempotent=a.idempotent, state_store=a.state_store,
+                           idempotent=a.idempotent, preview=a.preview, state_store=a.state_store,
                            state_partitions=a.state_partitions)
     q.awaitTermination()
     return 0 if q.exception() is None else 1

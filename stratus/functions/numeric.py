@@ -16,10 +16,18 @@ def _c(c) -> Column:
 
 def scaled_long(c, scale: int) -> Column:
     """``c`` × 10^scale as an exact integer (the value in units of the last
-    decimal). Exact for values with at most ``scale`` decimals — the same
-    integer a cast to DECIMAL(·, scale) holds — and plain double/long
-    arithmetic, so it stays in generated code with no decimal objects."""
-    return F.rint(_c(c) * float(10 ** scale)).cast(T.LongType())
+    decimal), the same integer a cast to DECIMAL(·, scale) holds, in plain
+    double/long arithmetic. A value with more decimals than ``scale``, or one
+    that is not finite, fails the query with a message instead of being
+    rounded silently."""
+    units = _c(c).cast(T.DoubleType()) * float(10 ** scale)
+    whole = F.rint(units)
+    exact = F.abs(units - whole) <= F.lit(1e-3) + F.abs(units) * 1e-12
+    return F.when(units.isNull(), F.lit(None).cast(T.LongType())).when(
+        F.coalesce(exact, F.lit(False)) & (F.abs(units) < 9.2e18), whole.cast(T.LongType())
+    ).otherwise(F.raise_error(F.concat(
+        F.lit(f"value has more than {scale} decimals or is not finite: "),
+        _c(c).cast("string"))).cast(T.LongType()))
 
 
 def from_scaled(total: Column, scale: int) -> Column:
@@ -66,6 +74,20 @@ def deviation(stream, hist, digits: int = 3, zero_as: float | None = None):
     return absolute, percent
 
 
+def rise_pct(value, base, digits: int = 2):
+    """Percent by which ``value`` lies over ``base``; NULL unless the base is
+    positive."""
+    positive = F.when(_c(base) > 0, _c(base))
+    return deviation(value, positive, digits)[1]
+
+
+def circular_gap(a, b, period: float, digits: int = 2) -> Column:
+    """Shorter way between two points of a circle of circumference
+    ``period``."""
+    apart = F.abs(_c(a) - _c(b)) % period
+    return F.round(F.least(apart, F.lit(period) - apart), digits)
+
+
 def deviation_class(diff, threshold: float, labels: Sequence[str]) -> Column:
     """Five-way class of a signed difference, tested in this order:
     < −t, < 0, > t, > 0, otherwise. ``labels`` are the five class names in
@@ -92,7 +114,9 @@ def flag(predicate: Column) -> Column:
 
 
 def pearson_expr(x, y) -> Column:
-    """Pearson r as an aggregate; NULL (not an error) for constant or empty
-    input: covar_pop / (stddev_pop(x) · stddev_pop(y))."""
-    return F.try_divide(F.covar_pop(_c(x), _c(y)),
-                        F.stddev_pop(_c(x)) * F.stddev_pop(_c(y)))
+    """Pearson r as an aggregate over the rows in which both sides are
+    present; NULL (not an error) for constant or empty input:
+    covar_pop / (stddev_pop(x) · stddev_pop(y))."""
+    both = _c(x).isNotNull() & _c(y).isNotNull()
+    a, b = F.when(both, _c(x)), F.when(both, _c(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -35,14 +35,12 @@ def monthly_baseline(df: DataFrame, values: Mapping[str, str], *, entity: str |
 
 def versus_baseline(windows: DataFrame, baseline: DataFrame, *, entity_pair: tuple[str, str] | None = None,
                     year_col: str = "year", month_col: str = "month",
-                    broadcast_baseline: bool = True,
                     month_of: str = "window_start") -> DataFrame:
     """Attach every baseline year of the window's month to each window.
 
     Join key: month(``month_of``) [and entity]. One window meets at most one
-    row per baseline year. The baseline is broadcast when the caller knows
-    its bound (entities × years × 12 rows, e.g. a fixed entity list and year
-    range); otherwise the planner decides from its measured size.
+    row per baseline year. Whether the baseline is broadcast is left to the
+    planner and AQE, which see its measured size.
     Adds ``hist_year`` and ``hist_month``.
     """
     b = baseline.withColumnRenamed(month_col, "hist_month")
@@ -52,8 +50,6 @@ def versus_baseline(windows: DataFrame, baseline: DataFrame, *, entity_pair: tup
         b = b.withColumn("hist_year", F.lit(None).cast("int"))
     if entity_pair:
         b = b.withColumnRenamed(entity_pair[1], "_hist_entity")
-    if broadcast_baseline:
-        b = F.broadcast(b)
     start = F.col(month_of)
     if isinstance(windows.schema[month_of].dataType, T.TimestampType):
         start = utc_wall_clock(start)      # the UTC month, whatever the session zone

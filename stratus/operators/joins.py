@@ -5,29 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a dimension side is broadcast (each executor holds a
-# hash table of at most this many rows).
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes up to which a dimension is broadcast.
+BROADCAST_MAX_BYTES = 64 << 20
 
-_counts: dict[str, int] = {}
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as the planner knows it, measured now: the bytes of the
+    files it reads, scaled to the columns in use. Nothing is scanned or kept."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def source_rows(df: DataFrame, key: str) -> int:
-    """Row count of a source table, cached per process under ``key`` (its
-    path). On Parquet the count is answered from file footers, so checking a
-    dimension's size never scans it."""
-    if key not in _counts:
-        _counts[key] = df.count()
-    return _counts[key]
 
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, *, dim_rows: int,
-                   how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a fact table with a dimension. The dimension is broadcast only
-    when its measured row count is within ``max_rows``; a larger one is left
-    to a shuffled join (planner/AQE), so the broadcast never grows with the
-    data. Without the explicit choice Spark's static estimate of a
-    dimension that is itself a join can be larger than the fact table's and
-    the fact side gets broadcast."""
-    side = F.broadcast(dim) if dim_rows <= max_rows else dim
-    return fact.join(side, on, how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on, *, source: DataFrame | None = None,
+                   how: str = "inner", max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a fact table with a dimension, broadcast only while ``source``
+    (the table whose rows it has; default: the dimension itself) is within
+    ``max_bytes``. Beyond that the planner and AQE choose from measured sizes
+    and split skewed keys. ``source`` is for dimensions that are joins
+    themselves: for those the planner only has the product of the sides."""
+    small = planned_bytes(dim if source is None else source) <= max_bytes
+    return fact.join(F.broadcast(dim) if small else dim, on, how)

@@ -118,6 +118,34 @@ def top_k(df: DataFrame, rank_col: str, k: int) -> DataFrame:
     return df.filter(F.col(rank_col) <= k)
 
 
+def rank_top(df: DataFrame, order: tuple[str, bool], k: int, out: str = "rank") -> DataFrame:
+    """Rows of rank at most ``k`` (ties kept) with their rank, without ranking
+    the rest: the k-th value is found first, and rows from it on have at most
+    k distinct values to count. ``order`` is (column, descending)."""
+    col, desc = order
+    by = F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_first()
+    rows = materialize(df, "rank-rows")
+    first = rows.orderBy(by).limit(k).select(col)
+    values = first.distinct()
+    counts = (_null_safe_join(rows.select(col), F.broadcast(values), [col])    # at most k values
+              .groupBy(col).agg(F.count(F.lit(1)).alias("_m")))
+    before = F.sum("_m").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(col, (F.coalesce(before, F.lit(0)) + 1).cast(T.IntegerType()).alias(out))
+    return _null_safe_join(rows, F.broadcast(ranks), [col]).select(*df.columns, out)
+
+
+def ordered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` sorted as a whole by the columns of ``by`` (``name`` or
+    ``name:desc``) that it has; Spark sorts by ranges, in as many tasks as
+    there are. Without any, ``df`` as it is."""
+    sorts = []
+    for item in by:
+        name, _, way = item.partition(":")
+        if name in df.columns:
+            sorts.append(F.col(name).desc_nulls_last() if way == "desc" else F.col(name).asc_nulls_first())
+    return df.orderBy(*sorts) if sorts else df
+
+
 def distinct_entities(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct values of the entity columns (partial + final aggregation)."""
     return df.select(*cols).distinct()

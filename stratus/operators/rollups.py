@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratus.functions.numeric import mean_exact, sum_exact
 from stratus.session import materialize
-from stratus.operators.ranking import rank_within
+from stratus.operators.ranking import rank_top, rank_within
 
 
 def daily_rollup(df: DataFrame, entity: str, aggs: dict, *, date_col: str = "date",
@@ -63,10 +63,12 @@ def diurnal_range_rank(df: DataFrame, entity: str, value: str, *,
                        names: Sequence[str] = ("avg_temp_variation",
                                                "max_single_day_variation",
                                                "min_single_day_variation", "rank"),
-                       scale: int | None = None, daily: DataFrame | None = None) -> DataFrame:
+                       scale: int | None = None, daily: DataFrame | None = None,
+                       top: int | None = None) -> DataFrame:
     """Entities ranked by their mean day–night range (global ``rank``, desc).
 
-    Output: entity, mean, max and min daily range (2 decimals), rank."""
+    Output: entity, mean, max and min daily range (2 decimals), rank. With
+    ``top`` only the rows up to that rank, the others are never ranked."""
     avg_n, max_n, min_n, rank_n = names
     days = diurnal_range(df, entity, value, out="_range", date_col=date_col,
                          is_day_col=is_day_col, daily=daily)
@@ -74,6 +76,8 @@ def diurnal_range_rank(df: DataFrame, entity: str, value: str, *,
         F.round(mean_exact("_range", scale), 2).alias(avg_n),
         F.round(F.max("_range"), 2).alias(max_n),
         F.round(F.min("_range"), 2).alias(min_n))
+    if top:
+        return rank_top(per_entity, (avg_n, True), top, out=rank_n)
     return rank_within(per_entity, [(avg_n, True)], method="rank", out=rank_n)
 
 

@@ -4,10 +4,12 @@ Boolean results are three-valued where the inputs can be NULL."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.functions.numeric import deviation
+from stratus.functions.numeric import circular_gap, deviation, rise_pct
 
 # --- Fixed values: reference alert thresholds -------------------------------
 # Heat: humidity jump (max − min, percentage points) and humidity/temperature
@@ -29,6 +31,7 @@ FLOOD_BELOW_HIST = 2.0
 WIND_SPEED_RISE = 50.0
 WIND_GUST_ABOVE = 30.0
 WIND_DIR_CHANGE = 45.0
+FULL_CIRCLE = 360.0
 # ---------------------------------------------------------------------------
 
 
@@ -50,6 +53,14 @@ def heat_rule(df: DataFrame, *, min_h: str = "min_humidity", max_h: str = "max_h
                            .otherwise(low)))
 
 
+def _with_alerts(df: DataFrame, measures: dict, alerts: dict, out: str, every: bool) -> DataFrame:
+    """``df`` with the measures, one alert column per test of a measure, and
+    ``out``: all (``every``) or any of the alerts, three-valued."""
+    join = (lambda a, b: a & b) if every else (lambda a, b: a | b)
+    tested = df.withColumns(measures).withColumns(alerts)
+    return tested.withColumn(out, reduce(join, [F.col(name) for name in alerts]))
+
+
 def flood_rule(df: DataFrame, *, stream_cloud: str = "stream_avg_cloud",
                hist_cloud: str = "hist_avg_cloud", stream_pressure: str = "stream_avg_pressure",
                min_pressure: str = "stream_min_pressure", max_pressure: str = "stream_max_pressure",
@@ -57,37 +68,34 @@ def flood_rule(df: DataFrame, *, stream_cloud: str = "stream_avg_cloud",
     """Cloud anomaly (% of the historical mean; a zero mean divides by 1.0),
     pressure drop inside the window, pressure below the historical mean, and
     ``flood_risk`` = all three (three-valued AND)."""
-    _, anomaly = deviation(stream_cloud, hist_cloud, 3, zero_as=1.0)
-    return (df.withColumn("cloud_anomaly_pct", anomaly)
-              .withColumn("pressure_drop_hpa", F.round(F.col(max_pressure) - F.col(min_pressure), 3))
-              .withColumn("pressure_below_hist",
-                          F.round(F.col(hist_pressure) - F.col(stream_pressure), 3))
-              .withColumn("high_cloud_anomaly", F.col("cloud_anomaly_pct") > FLOOD_CLOUD_ANOMALY)
-              .withColumn("pressure_drop_alert", F.col("pressure_drop_hpa") > FLOOD_PRESSURE_DROP)
-              .withColumn("pressure_below_hist_alert",
-                          F.col("pressure_below_hist") >= FLOOD_BELOW_HIST)
-              .withColumn("flood_risk", F.col("high_cloud_anomaly") & F.col("pressure_drop_alert")
-                          & F.col("pressure_below_hist_alert")))
+    measures = {
+        "cloud_anomaly_pct": deviation(stream_cloud, hist_cloud, 3, zero_as=1.0)[1],
+        "pressure_drop_hpa": deviation(max_pressure, min_pressure, 3)[0],
+        "pressure_below_hist": deviation(hist_pressure, stream_pressure, 3)[0],
+    }
+    alerts = {
+        "high_cloud_anomaly": F.col("cloud_anomaly_pct") > FLOOD_CLOUD_ANOMALY,
+        "pressure_drop_alert": F.col("pressure_drop_hpa") > FLOOD_PRESSURE_DROP,
+        "pressure_below_hist_alert": F.col("pressure_below_hist") >= FLOOD_BELOW_HIST,
+    }
+    return _with_alerts(df, measures, alerts, "flood_risk", every=True)
 
 
 def wind_rule(df: DataFrame, *, avg_speed: str = "avg_wind_speed",
               min_speed: str = "min_wind_speed", max_speed: str = "max_wind_speed",
               max_gust: str = "max_gust", min_dir: str = "min_wind_dir",
               max_dir: str = "max_wind_dir") -> DataFrame:
-    """Speed rise % over the window minimum (NULL when the minimum is not
-    positive), gust % above the mean speed (NULL when the mean is not
-    positive), direction change = |max − min| mod 360 folded to ≤ 180, and
+    """Speed rise over the window minimum and gust over the mean speed (%,
+    NULL without a positive base), direction change the shorter way round, and
     ``wind_alert`` = any of the three (three-valued OR)."""
-    mn, mx, av = F.col(min_speed), F.col(max_speed), F.col(avg_speed)
-    raw = F.abs(F.col(max_dir) - F.col(min_dir)) % 360.0
-    return (df.withColumn("wind_speed_rise_pct",
-                          F.round(F.when(mn > 0, F.try_divide(mx - mn, mn) * 100.0), 2))
-              .withColumn("gust_above_avg_pct",
-                          F.round(F.when(av > 0, F.try_divide(F.col(max_gust) - av, av) * 100.0), 2))
-              .withColumn("wind_dir_change",
-                          F.round(F.when(raw > 180.0, F.lit(360.0) - raw).otherwise(raw), 2))
-              .withColumn("speed_alert", F.col("wind_speed_rise_pct") > WIND_SPEED_RISE)
-              .withColumn("gust_alert", F.col("gust_above_avg_pct") > WIND_GUST_ABOVE)
-              .withColumn("direction_alert", F.col("wind_dir_change") > WIND_DIR_CHANGE)
-              .withColumn("wind_alert", F.col("speed_alert") | F.col("gust_alert")
-                          | F.col("direction_alert")))
+    measures = {
+        "wind_speed_rise_pct": rise_pct(max_speed, min_speed),
+        "gust_above_avg_pct": rise_pct(max_gust, avg_speed),
+        "wind_dir_change": circular_gap(max_dir, min_dir, FULL_CIRCLE),
+    }
+    alerts = {
+        "speed_alert": F.col("wind_speed_rise_pct") > WIND_SPEED_RISE,
+        "gust_alert": F.col("gust_above_avg_pct") > WIND_GUST_ABOVE,
+        "direction_alert": F.col("wind_dir_change") > WIND_DIR_CHANGE,
+    }
+    return _with_alerts(df, measures, alerts, "wind_alert", every=False)

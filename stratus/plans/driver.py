@@ -16,7 +16,6 @@ SQL oracle bit for bit.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +30,17 @@ from stratus.operators.profiles import (
     calendar_profile, extreme_days_rank, flagged_days_rank, flagged_hours_rank,
     hot_day_cooccurrence, season_vs_entity_mean,
 )
-from stratus.operators.ranking import distinct_entities, top_k
+from stratus.operators.ranking import distinct_entities, rank_within
 from stratus.operators.rollups import diurnal_oscillation_rank, diurnal_range_rank
 from stratus.operators.rules import flood_rule, heat_rule, wind_rule
 from stratus.functions.calendar import utc_wall_clock
 from stratus.functions.numeric import mean_exact
 from stratus.operators.windows import latest_per_window, pane_sliding_stats
-from stratus.session import shared_folder
+from stratus.session import delete_path, materialize, scratch_path
 from stratus.sinks.writers import batch_sink
 from stratus.sources.events import read_event_stream
 from stratus.sources.tables import event_observations, shipment_observations, table
-from stratus.streaming.runner import start_window_job
+from stratus.streaming.runner import dropped_rows, start_window_job
 
 SCALE = 2  # decimals present in every driver-table measure
 
@@ -81,7 +80,17 @@ def q_diurnal_range_rank(spark, sf):
 
 
 def q_top_k_range(spark, sf):
-    return top_k(q_diurnal_range_rank(spark, sf), "rank", 10)
+    return diurnal_range_rank(_events(spark, sf), "user_id", "value", scale=SCALE, top=10,
+                              names=("avg_range", "max_day_range", "min_day_range", "rank"))
+
+
+def q_order_ranks(spark, sf):
+    """Ranks over an entity as large as the table: orders by total price."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    orders = rank_within(orders, [("o_totalprice", True)], method="rank", out="price_rank")
+    orders = rank_within(orders, ["o_orderpriority"], method="dense_rank", out="priority_rank")
+    return rank_within(orders, [("o_totalprice", True), "o_orderkey"], method="ntile", n=100,
+                       partition_by=["o_orderpriority"], out="price_percentile")
 
 
 def q_calendar_profile(spark, sf):
@@ -183,6 +192,14 @@ def q_pearson(spark, sf):
     return pearson(_ship(spark, sf), "l_quantity", "l_extendedprice", digits=10)
 
 
+def q_pearson_nulls(spark, sf):
+    """Either side missing in some rows."""
+    df = _ship(spark, sf).withColumns({
+        "x": F.when(F.col("l_quantity") > 5, F.col("l_quantity")),
+        "y": F.when(F.col("l_discount") < 0.07, F.col("l_extendedprice"))})
+    return pearson(df, "x", "y", by=["n_name"], digits=10)
+
+
 def q_pearson_by_entity(spark, sf):
     return pearson(_ship(spark, sf), "l_quantity", "l_extendedprice", by=["n_name"], digits=10)
 
@@ -229,14 +246,20 @@ def q_value_vs_baseline(spark, sf):
         "event_count": ("count", None),
     }, {"stream_avg_value": 3})
     base = q_monthly_baseline(spark, sf)
-    # baseline has ≤ (distinct years) × 12 rows: no entity key
-    out = versus_baseline(w, base, broadcast_baseline=True)
+    out = versus_baseline(w, base)
     out = add_deviation(out, "stream_avg_value", "hist_avg_quantity")
     return out.select("event_type", "window_start", "window_end", "hist_year", "hist_month",
                       "stream_avg_value", "hist_avg_quantity", "abs_deviation",
                       "pct_deviation", "event_count")
 
 
+def _order_baseline(spark, sf):
+    orders = table(spark, sf, "orders")
+    orders = orders.withColumns({"year": F.year("o_orderdate"),
+                                 "month": F.month("o_orderdate")})
+    return monthly_baseline(orders, {"hist_avg_totalprice": "o_totalprice"}, scale=SCALE)
+
+
 def q_k_vs_order_baseline(spark, sf):
     """Same operator on another pair (the pressure-vs-history job): 60/5
     windows of ``k`` against the monthly mean order total."""
@@ -244,17 +267,26 @@ def q_k_vs_order_baseline(spark, sf):
         "stream_avg_k": ("mean", "k"),
         "event_count": ("count", None),
     }, {"stream_avg_k": 3})
-    orders = table(spark, sf, "orders")
-    orders = orders.withColumns({"year": F.year("o_orderdate"),
-                                 "month": F.month("o_orderdate")})
-    base = monthly_baseline(orders, {"hist_avg_totalprice": "o_totalprice"}, scale=SCALE)
-    out = versus_baseline(w, base, broadcast_baseline=True)
+    out = versus_baseline(w, _order_baseline(spark, sf))
     out = add_deviation(out, "stream_avg_k", "hist_avg_totalprice")
     return out.select("event_type", "window_start", "window_end", "hist_year", "hist_month",
                       "stream_avg_k", "hist_avg_totalprice", "abs_deviation",
                       "pct_deviation", "event_count")
 
 
+FLOOD_COLUMNS = ("stream_avg_cloud", "hist_avg_cloud", "cloud_anomaly_pct",
+                 "stream_avg_pressure", "stream_min_pressure", "stream_max_pressure",
+                 "hist_avg_pressure", "pressure_drop_hpa", "pressure_below_hist",
+                 "high_cloud_anomaly", "pressure_drop_alert", "pressure_below_hist_alert",
+                 "flood_risk", "event_count")
+
+
+def _flood_baseline(spark, sf):
+    return monthly_baseline(_lineitem_months(spark, sf),
+                            {"hist_avg_cloud": "l_quantity",
+                             "hist_avg_pressure": "l_quantity"}, scale=SCALE)
+
+
 def q_flood_rule(spark, sf):
     w = _windows(spark, sf, "90 minutes", {
         "stream_avg_cloud": ("mean", "k"),
@@ -264,17 +296,9 @@ def q_flood_rule(spark, sf):
         "event_count": ("count", None),
     }, {"stream_avg_cloud": 3, "stream_avg_pressure": 3, "stream_min_pressure": 3,
         "stream_max_pressure": 3})
-    base = monthly_baseline(_lineitem_months(spark, sf),
-                            {"hist_avg_cloud": "l_quantity",
-                             "hist_avg_pressure": "l_quantity"}, scale=SCALE)
-    out = flood_rule(versus_baseline(w, base, broadcast_baseline=True))
-    return out.select(
-        "event_type", "window_start", "window_end", "hist_year", "hist_month",
-        "stream_avg_cloud", "hist_avg_cloud", "cloud_anomaly_pct",
-        "stream_avg_pressure", "stream_min_pressure", "stream_max_pressure",
-        "hist_avg_pressure", "pressure_drop_hpa", "pressure_below_hist",
-        "high_cloud_anomaly", "pressure_drop_alert", "pressure_below_hist_alert",
-        "flood_risk", "event_count")
+    out = flood_rule(versus_baseline(w, _flood_baseline(spark, sf)))
+    return out.select("event_type", "window_start", "window_end", "hist_year", "hist_month",
+                      *FLOOD_COLUMNS)
 
 
 def q_heat_rule(spark, sf):
@@ -290,9 +314,17 @@ def q_heat_rule(spark, sf):
                                "max_temp", "risk_level")
 
 
+WIND_COLUMNS = ("avg_wind_speed", "min_wind_speed", "max_wind_speed", "wind_speed_rise_pct",
+                "avg_gust", "max_gust", "gust_above_avg_pct", "avg_wind_dir",
+                "wind_dir_change", "speed_alert", "gust_alert", "direction_alert", "wind_alert")
+
+
+def _wind_inputs():
+    return {"gust": F.col("k").cast(T.DoubleType()), "dir": F.col("k") * 3.6}
+
+
 def q_wind_rule(spark, sf):
-    ev = _events(spark, sf).withColumns({"gust": F.col("k").cast(T.DoubleType()),
-                                         "dir": F.col("k") * 3.6})
+    ev = _events(spark, sf).withColumns(_wind_inputs())
     w = _windows(spark, sf, "30 minutes", {
         "avg_wind_speed": ("mean", "value"),
         "min_wind_speed": ("min", "value"),
@@ -305,32 +337,78 @@ def q_wind_rule(spark, sf):
     }, {k: 2 for k in ("avg_wind_speed", "min_wind_speed", "max_wind_speed", "avg_gust",
                        "max_gust", "avg_wind_dir", "min_wind_dir", "max_wind_dir")},
         events=ev)
-    return wind_rule(w).select(
-        "event_type", "window_start", "window_end", "avg_wind_speed", "min_wind_speed",
-        "max_wind_speed", "wind_speed_rise_pct", "avg_gust", "max_gust",
-        "gust_above_avg_pct", "avg_wind_dir", "wind_dir_change", "speed_alert",
-        "gust_alert", "direction_alert", "wind_alert")
+    return wind_rule(w).select("event_type", "window_start", "window_end", *WIND_COLUMNS)
+
+
+def q_entity_baseline(spark, sf):
+    """60/5 windows against the history of the same entity: its own monthly
+    mean (the entity-keyed comparison of the alert jobs)."""
+    ev = _events(spark, sf)
+    w = _windows(spark, sf, "60 minutes", {"stream_avg_value": ("mean", "value"),
+                                           "event_count": ("count", None)},
+                 {"stream_avg_value": 3})
+    base = monthly_baseline(ev, {"hist_avg_value": "value"}, entity="event_type", scale=SCALE)
+    base = base.withColumnRenamed("event_type", "hist_type")
+    out = versus_baseline(w, base, entity_pair=("event_type", "hist_type"))
+    out = add_deviation(out, "stream_avg_value", "hist_avg_value")
+    return out.select("event_type", "window_start", "window_end", "hist_year", "hist_month",
+                      "stream_avg_value", "hist_avg_value", "abs_deviation", "pct_deviation",
+                      "event_count")
+
+
+# --- the same jobs as streams -------------------------------------------------
+
+#: Files that one micro-batch of a replay takes at most.
+REPLAY_FILES = 1000
+#: Time slices of an ordered replay.
+REPLAY_SLICES = 3
+
+
+def time_slices(events: DataFrame, time_col: str, n: int) -> tuple[str, int]:
+    """Write ``events`` as ``n`` successive time slices into one folder, the
+    earliest first, so that a file stream reads them in that order. Returns the
+    folder and the slice length in seconds."""
+    spark = events.sparkSession
+    first, last = events.agg(F.min(time_col), F.max(time_col)).first()
+    path = scratch_path(spark, "slices")
+    seconds = int((last - first).total_seconds()) // n + 1 if first else 1
+    at = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
+                  - F.unix_micros(F.lit(first).cast("timestamp"))) / (seconds * 1_000_000))
+    for i in range(n if first else 0):
+        events.where(at == i).coalesce(1).write.mode("append").parquet(path)
+    if not first:
+        events.write.parquet(path)
+    return path, seconds
 
 
-def _stream_replay(spark, sf, size, aggs, *, transform=None, columns,
-                   extra_keys=()):
+def _stream_replay(spark, sf, size, aggs, *, transform=None, columns, extra_keys=(),
+                   extra=None, slices=0):
     """Replay ``events`` as a file stream (``availableNow``) through the
     watermarked window job — stateful aggregation, update mode,
     ``foreachBatch`` (optionally applying ``transform`` per micro-batch, as
     the alert jobs do) into an idempotent Parquet sink in the shared folder —
-    and return the last emission of every window. With one replayed file
-    nothing is late, so the result equals the batch windows."""
-    base = shared_folder(spark)
-    if base is None:
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder for stream output")
-    run = f"{base.rstrip('/')}/stratus-streams/{uuid.uuid4().hex}"
-    stream = read_event_stream(spark, "files", path=sf, file_format="parquet",
-                               file_schema=table(spark, sf, "events").schema,
-                               options={"pathGlobFilter": "events.parquet"})
+    and return the last emission of every window.
+
+    The table may be a file or a folder of files. A micro-batch takes at most
+    ``REPLAY_FILES`` of them; a table so large that it needs more than one
+    should be replayed in time order: with ``slices`` it is dealt into that many
+    successive slices first, one micro-batch each, and the watermark covers
+    the disorder inside a slice. Rows that come too late for their windows fail
+    the replay, they are never dropped unseen."""
+    run = scratch_path(spark, "replay")
+    events = table(spark, sf, "events")
+    # written as a pattern, which a file stream takes for a file and for a folder
+    path, watermark = f"{sf.rstrip('/')}/events.{{parquet}}", "5 minutes"
+    if slices:
+        path, seconds = time_slices(events, "ts", slices)
+        watermark = f"{seconds} seconds"
+    stream = read_event_stream(spark, "files", path=path, file_format="parquet",
+                               file_schema=events.schema,
+                               max_per_trigger=1 if slices else REPLAY_FILES)
     stream = (stream.withColumnRenamed("ts", "event_time")
                     .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
-    q = start_window_job(stream, aggs=aggs, size=size, slide="5 minutes",
-                         watermark="5 minutes",
+    q = start_window_job(stream.withColumns(extra or {}), aggs=aggs, size=size,
+                         slide="5 minutes", watermark=watermark,
                          sink=batch_sink("parquet", path=f"{run}/out", idempotent=True,
                                          transform=transform),
                          checkpoint=f"{run}/checkpoint", entity="event_type",
@@ -338,22 +416,35 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns,
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if late := dropped_rows(q):
+        raise RuntimeError(f"{late} rows came after their windows had closed; "
+                           "replay the table in time order (slices)")
     emitted = spark.read.parquet(f"{run}/out").drop("window_end")
     last = latest_per_window(emitted, keys=("event_type", "window_start", *extra_keys))
     start = utc_wall_clock("window_start")
-    return last.select("event_type", start.alias("window_start"),
-                       (start + F.expr(f"INTERVAL {size}")).alias("window_end"),
-                       *extra_keys, *columns)
+    last = materialize(last.select(
+        "event_type", start.alias("window_start"),
+        (start + F.expr(f"INTERVAL {size}")).alias("window_end"), *extra_keys, *columns), "last")
+    delete_path(spark, run)
+    if slices:
+        delete_path(spark, path)
+    return last
+
+
+def _value_aggs():
+    return {"avg_value": F.round(mean_exact("value", SCALE), 3), "min_value": F.min("value"),
+            "max_value": F.max("value"), "event_count": F.count(F.lit(1))}
 
 
 def q_stream_window_replay(spark, sf):
     """The streaming window job itself on ``events`` (60/5)."""
-    return _stream_replay(spark, sf, "60 minutes", {
-        "avg_value": F.round(mean_exact("value", SCALE), 3),
-        "min_value": F.min("value"),
-        "max_value": F.max("value"),
-        "event_count": F.count(F.lit(1)),
-    }, columns=("avg_value", "min_value", "max_value", "event_count"))
+    return _stream_replay(spark, sf, "60 minutes", _value_aggs(), columns=tuple(_value_aggs()))
+
+
+def q_stream_ordered_replay(spark, sf):
+    """The same in several micro-batches, with a moving watermark."""
+    return _stream_replay(spark, sf, "60 minutes", _value_aggs(), columns=tuple(_value_aggs()),
+                          slices=REPLAY_SLICES)
 
 
 def q_stream_heat_replay(spark, sf):
@@ -369,6 +460,53 @@ def q_stream_heat_replay(spark, sf):
                                      "humidity_jump", "avg_temp", "max_temp", "risk_level"))
 
 
+def _history_replay(spark, sf, base, stream, hist, aggs, size="60 minutes"):
+    """Windows compared with a baseline inside the sink."""
+    base = materialize(base, "baseline")
+
+    def compare(windows):
+        return add_deviation(versus_baseline(windows, base), stream, hist)
+    return _stream_replay(spark, sf, size, aggs, transform=compare,
+                          extra_keys=("hist_year", "hist_month"),
+                          columns=(stream, hist, "abs_deviation", "pct_deviation", "event_count"))
+
+
+def q_stream_value_history_replay(spark, sf):
+    return _history_replay(spark, sf, q_monthly_baseline(spark, sf), "stream_avg_value",
+                           "hist_avg_quantity", {
+        "stream_avg_value": F.round(mean_exact("value", SCALE), 3),
+        "event_count": F.count(F.lit(1))})
+
+
+def q_stream_k_history_replay(spark, sf):
+    return _history_replay(spark, sf, _order_baseline(spark, sf), "stream_avg_k",
+                           "hist_avg_totalprice", {
+        "stream_avg_k": F.round(mean_exact("k", SCALE), 3),
+        "event_count": F.count(F.lit(1))})
+
+
+def q_stream_flood_replay(spark, sf):
+    base = materialize(_flood_baseline(spark, sf), "baseline")
+    return _stream_replay(spark, sf, "90 minutes", {
+        "stream_avg_cloud": F.round(mean_exact("k", SCALE), 3),
+        "stream_avg_pressure": F.round(mean_exact("value", SCALE), 3),
+        "stream_min_pressure": F.round(F.min("value"), 3),
+        "stream_max_pressure": F.round(F.max("value"), 3),
+        "event_count": F.count(F.lit(1)),
+    }, transform=lambda w: flood_rule(versus_baseline(w, base)),
+        extra_keys=("hist_year", "hist_month"), columns=FLOOD_COLUMNS)
+
+
+def q_stream_wind_replay(spark, sf):
+    mean, low, high = (lambda c: F.round(mean_exact(c, SCALE), 2), lambda c: F.round(F.min(c), 2),
+                       lambda c: F.round(F.max(c), 2))
+    return _stream_replay(spark, sf, "30 minutes", {
+        "avg_wind_speed": mean("value"), "min_wind_speed": low("value"),
+        "max_wind_speed": high("value"), "avg_gust": mean("gust"), "max_gust": high("gust"),
+        "avg_wind_dir": mean("dir"), "min_wind_dir": low("dir"), "max_wind_dir": high("dir"),
+    }, transform=wind_rule, columns=WIND_COLUMNS, extra=_wind_inputs())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich": q_enrich,
     "diurnal_range_rank": q_diurnal_range_rank,
@@ -396,4 +534,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wind_rule": q_wind_rule,
     "stream_window_replay": q_stream_window_replay,
     "stream_heat_replay": q_stream_heat_replay,
+    "stream_ordered_replay": q_stream_ordered_replay,
+    "stream_value_history_replay": q_stream_value_history_replay,
+    "stream_k_history_replay": q_stream_k_history_replay,
+    "stream_flood_replay": q_stream_flood_replay,
+    "stream_wind_replay": q_stream_wind_replay,
+    "order_ranks": q_order_ranks,
+    "pearson_nulls": q_pearson_nulls,
+    "entity_baseline": q_entity_baseline,
 }

@@ -369,3 +369,36 @@ FROM A"""
 # batch windows.
 SQL["stream_window_replay"] = SQL["sliding_stats"]
 SQL["stream_heat_replay"] = SQL["heat_rule"]
+SQL["stream_ordered_replay"] = SQL["sliding_stats"]
+SQL["stream_value_history_replay"] = SQL["stream_vs_baseline"]
+SQL["stream_k_history_replay"] = SQL["stream_vs_baseline_orders"]
+SQL["stream_flood_replay"] = SQL["flood_rule"]
+SQL["stream_wind_replay"] = SQL["wind_rule"]
+
+SQL["order_ranks"] = """
+SELECT o_orderkey, o_orderpriority, o_totalprice,
+       CAST(rank() OVER (ORDER BY o_totalprice DESC) AS INTEGER) AS price_rank,
+       CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS priority_rank,
+       CAST(ntile(100) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)
+            AS INTEGER) AS price_percentile
+FROM orders"""
+
+SQL["pearson_nulls"] = f"""
+WITH {_L},
+N AS (SELECT n_name, CASE WHEN l_quantity > 5 THEN l_quantity END AS x,
+             CASE WHEN l_discount < 0.07 THEN l_extendedprice END AS y FROM L)
+SELECT n_name, {_r('corr(x, y)', 10)} AS pearson_correlation FROM N GROUP BY n_name"""
+
+SQL["entity_baseline"] = f"""
+WITH {_EV},
+{_windows(60, f"{_r(_mean('value'), 3)} AS stream_avg_value, COUNT(*) AS event_count")},
+B AS (SELECT event_type, CAST(year(ts) AS INTEGER) AS hist_year,
+             CAST(month(ts) AS INTEGER) AS hist_month, {_r(_mean('value'), 3)} AS hist_avg_value
+      FROM events GROUP BY ALL)
+SELECT W.event_type, W.window_start, W.window_end, B.hist_year, B.hist_month,
+       W.stream_avg_value, B.hist_avg_value,
+       {_r('W.stream_avg_value - B.hist_avg_value', 3)} AS abs_deviation,
+       {_r('(W.stream_avg_value - B.hist_avg_value) / NULLIF(B.hist_avg_value, 0) * 100.0', 3)}
+         AS pct_deviation,
+       W.event_count
+FROM W JOIN B ON month(W.window_start) = B.hist_month AND W.event_type = B.event_type"""

@@ -219,6 +219,12 @@ def batch_all(obs: DataFrame, write: Callable[[str, DataFrame], None],
             scale=scale))
     if any(j in HOURS_JOBS for j in jobs):
         hours = materialize(flagged_hours(obs, CITY, "is_sunny_hour"))
+    detail, summary = "temp_precipitation_correlation", "temp_precipitation_quartile_summary"
+    if detail in jobs and summary in jobs:
+        # both from one per-city table
+        write_quartile_results(obs, lambda df: write(detail, df), lambda df: write(summary, df),
+                               scale)
+        jobs = [j for j in jobs if j not in (detail, summary)]
     for job in jobs:
         if job in DAILY_JOBS:
             out = BATCH_JOBS[job](obs, scale, daily=daily)
@@ -252,16 +258,13 @@ class StreamJob:
 
 def _vs_history(stream_col: str, hist_col: str) -> Callable:
     def post(windows: DataFrame, baseline: DataFrame | None) -> DataFrame:
-        # planner broadcasts the cached baseline only under its size threshold
-        out = versus_baseline(windows, baseline, entity_pair=("city", CITY),
-                              broadcast_baseline=False)
+        out = versus_baseline(windows, baseline, entity_pair=("city", CITY))
         return add_deviation(out, stream_col, hist_col)
     return post
 
 
 def _flood_post(windows: DataFrame, baseline: DataFrame | None) -> DataFrame:
-    return flood_rule(versus_baseline(windows, baseline, entity_pair=("city", CITY),
-                                      broadcast_baseline=False))
+    return flood_rule(versus_baseline(windows, baseline, entity_pair=("city", CITY)))
 
 
 STREAM_JOBS: dict[str, StreamJob] = {

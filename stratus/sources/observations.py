@@ -34,18 +34,27 @@ RAW_HOURLY_TYPES = {
 
 
 def read_observations_csv(spark: SparkSession, path: str | list[str],
-                          types: dict | None = None, sep: str = ",") -> DataFrame:
+                          types: dict | None = None, sep: str = ",",
+                          infer_other: bool = False) -> DataFrame:
     """Read raw delimited observations with a header row.
 
     No inference pass over the data: every column is read as text and the
     known columns are converted by name with ``try_cast`` (a malformed number
-    becomes NULL, like a PERMISSIVE read, instead of failing the job). Column
-    order in the file does not matter. Timestamps stay text here; ``enrich``
-    parses them.
+    becomes NULL, like a PERMISSIVE read, instead of failing the job). The
+    order of the columns is free, but all files read together must share it: a
+    file whose header differs from the first one's fails the read (values
+    would land in the wrong columns). Timestamps stay text here; ``enrich``
+    parses them. ``infer_other`` gives columns outside ``types`` the type
+    that Spark infers, at the price of a pass over the data; otherwise they
+    stay text.
     """
     types = RAW_HOURLY_TYPES if types is None else types
-    raw = (spark.read.option("header", True).option("sep", sep)
-           .option("mode", "PERMISSIVE").csv(path))
+    reader = (spark.read.option("header", True).option("sep", sep)
+              .option("mode", "PERMISSIVE").option("enforceSchema", False))
+    raw = reader.csv(path)
+    if infer_other and set(raw.columns) - set(types):
+        guessed = reader.option("inferSchema", True).csv(path).schema
+        types = {f.name: f.dataType for f in guessed} | types
     cols = []
     for name in raw.columns:
         dt = types.get(name)

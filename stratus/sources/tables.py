@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.calendar import day_flag, season_of, season_year
-from stratus.operators.joins import join_dimension, source_rows
+from stratus.operators.joins import join_dimension
 
 
 _handles: dict[tuple[str, str], DataFrame] = {}
@@ -53,20 +53,14 @@ def shipment_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ supplier ⋈ nation with calendar features of the ship date.
 
     Both dimensions go through ``join_dimension``: a side is broadcast only
-    while its measured row count (Parquet footers, no scan) is under the
-    bound. nation has 25 rows at every scale; supplier grows with the data
-    and beyond the bound is joined by shuffle on the supplier key. Only the
-    used columns are read."""
+    while its files are within the byte bound; beyond it the join is shuffled
+    on the supplier key. Only the used columns are read."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    sup_all = table(spark, sf_dir, "supplier")
-    sup = sup_all.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    nat_all = table(spark, sf_dir, "nation")
-    nat = nat_all.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    base = sf_dir.rstrip("/")
-    sup_nat = join_dimension(sup, nat, "s_nationkey",
-                             dim_rows=source_rows(nat_all, f"{base}/nation.parquet"))
-    sup_nat = sup_nat.select("l_suppkey", "n_name")
-    rows = source_rows(sup_all, f"{base}/supplier.parquet")
-    obs = join_dimension(li, sup_nat, "l_suppkey", dim_rows=rows).drop("l_suppkey")
+    sup = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nat = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    sup_nat = join_dimension(sup, nat, "s_nationkey").select("l_suppkey", "n_name")
+    obs = join_dimension(li, sup_nat, "l_suppkey", source=sup).drop("l_suppkey")
     return add_calendar(obs, "l_shipdate")

@@ -8,8 +8,9 @@ that applies stateless post-processing (rules, baseline join) per batch.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +36,25 @@ def window_stream(events: DataFrame, *, aggs: Mapping[str, Column], size: str, s
                          watermark=watermark)
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, str]):
+    """Session settings for the length of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for their window and were dropped so far."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress
+               for op in p.stateOperators)
+
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,13 +78,13 @@ def start_window_job(events: DataFrame, *, aggs: Mapping[str, Column], size: str
     are ignored by Spark for that checkpoint."""
     if not checkpoint:
         raise ValueError("a checkpoint location is required")
-    spark = events.sparkSession
-    if state_store == "rocksdb":
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    elif state_store is not None:
+    if state_store not in (None, "rocksdb"):
         raise ValueError("state_store is 'rocksdb' or None")
+    settings = {}
+    if state_store:
+        settings["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
     if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
     windows = window_stream(events, aggs=aggs, size=size, slide=slide, watermark=watermark,
                             time_col=time_col, entity=entity, entities=entities)
     writer = (windows.writeStream.outputMode("update").foreachBatch(sink)
@@ -73,4 +93,5 @@ def start_window_job(events: DataFrame, *, aggs: Mapping[str, Column], size: str
         writer = writer.queryName(query_name)
     if trigger:
         writer = writer.trigger(**dict(trigger))
-    return writer.start()
+    with _settings(events.sparkSession, settings):
+        return writer.start()       # the query runs in a copy of the session as it is now

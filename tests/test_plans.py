@@ -4,7 +4,7 @@ broadcast side, and scans read only the needed columns."""
 
 import pytest
 
-import __spark_entry__ as E
+from stratus.plans.driver import QUERIES as Q
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
@@ -16,9 +16,9 @@ def _executed_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(Q))
 def test_plan_shape(spark, name):
-    plan = _executed_plan(E.queries()[name](spark, SF_SMALL))
+    plan = _executed_plan(Q[name](spark, SF_SMALL))
     for node in FORBIDDEN:
         assert node not in plan, f"{name}: {node}"
     for line in plan.splitlines():
@@ -27,7 +27,7 @@ def test_plan_shape(spark, name):
 
 
 def test_lineitem_scan_is_pruned(spark):
-    plan = _executed_plan(E.queries()["calendar_profile"](spark, SF_SMALL))
+    plan = _executed_plan(Q["calendar_profile"](spark, SF_SMALL))
     scan = [ln for ln in plan.splitlines() if "lineitem.parquet" in ln][0]
     assert "l_orderkey" not in scan and "l_returnflag" not in scan
     assert "BroadcastHashJoin" in plan

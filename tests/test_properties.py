@@ -28,8 +28,7 @@ def test_rank_within_matches_window(spark, rows, desc, method, grouped):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)],
                                "id long, g string, v double")
     parts = ["g"] if grouped else []
-    mine = rank_within(df, [("v", desc)], partition_by=parts, method=method, out="r",
-                       checkpoint=False)
+    mine = rank_within(df, [("v", desc)], partition_by=parts, method=method, out="r")
     order = F.col("v").desc() if desc else F.col("v").asc()
     w = Window.partitionBy(*parts).orderBy(order) if parts else Window.orderBy(order)
     fn = F.rank() if method == "rank" else F.dense_rank()
@@ -43,8 +42,7 @@ def test_rank_within_matches_window(spark, rows, desc, method, grouped):
 def test_ntile_matches_window(spark, rows):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)],
                                "id long, g string, v double")
-    mine = rank_within(df, ["v", "id"], partition_by=["g"], method="ntile", n=3, out="q",
-                       checkpoint=False)
+    mine = rank_within(df, ["v", "id"], partition_by=["g"], method="ntile", n=3, out="q")
     want = {r.id: r.q for r in df.withColumn(
         "q", F.ntile(3).over(Window.partitionBy("g").orderBy("v", "id"))).collect()}
     assert {r.id: r.q for r in mine.collect()} == want

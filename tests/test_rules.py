@@ -182,10 +182,10 @@ def test_lag_change_first_row_and_gaps(spark):
 def test_rank_and_dense_rank_on_ties(spark):
     from stratus.operators.ranking import rank_within
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 3.0), ("d", 1.0)], "e string, v double")
-    for bound in (0, 10):
+    for ranges in (1, 10):
         r = {x.e: x.r for x in rank_within(df, [("v", True)], out="r",
-                                            single_task_max_rows=bound).collect()}
+                                            ranges=ranges).collect()}
         d = {x.e: x.r for x in rank_within(df, [("v", True)], method="dense_rank", out="r",
-                                            single_task_max_rows=bound).collect()}
+                                            ranges=ranges).collect()}
         assert r == {"a": 1, "b": 1, "c": 3, "d": 4}
         assert d == {"a": 1, "b": 1, "c": 2, "d": 3}
