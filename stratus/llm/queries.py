@@ -149,4 +149,23 @@ SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM s""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4
+                  THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(
+                      range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g
+              FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) AS n,
+                     any_value(b.n) AS m
+              FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE 100 * k >= 85 * (n + m - k)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents
+              UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id
+        FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+             USING (doc_id)""",
 }
