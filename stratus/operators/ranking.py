@@ -5,16 +5,16 @@ every row in one task, and ``Window.partitionBy(g)`` puts a whole group in
 one task. :func:`rank_within` computes the same numbers from a range sort, by
 the same steps at every size:
 
-1. the input is written once to the shared folder, so each branch below
-   reads the same rows whatever is recomputed after an executor loss;
+1. the input is dealt over tasks by a range partitioning on group, order
+   columns and all others (Spark samples it, any orderable type; a value tied by
+   a third of all rows spreads over ranges) and written once to the shared
+   folder with the number of the range. From here on each branch reads the
+   same rows and ranges whatever is recomputed after an executor loss;
 2. it is reduced to distinct (group, order columns) keys with their
-   multiplicity — a value tied by a third of all rows becomes one key;
-3. the keys are dealt over tasks by a range partitioning on the whole key
-   (Spark samples it, any orderable type) and written with the number of
-   their range, so ranges stay fixed from here on;
-4. running counts inside each (group, range), plus the totals of the ranges
+   multiplicity and first range, map side;
+3. running counts inside each (group, range), plus the totals of the ranges
    before it (groups × ranges rows), give rank and dense rank;
-5. the ranks are joined back on the key (for ``row_number`` and ``ntile`` the
+4. the ranks are joined back on the key (for ``row_number`` and ``ntile`` the
    key is the whole row, so nothing is joined back).
 """
 
@@ -72,11 +72,12 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     sorts = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
     key = parts + [c for c, _ in order if c not in parts]
 
-    rows = df if whole_row else materialize(df, "rank-rows")
-    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
-    by = [F.col(p) for p in parts] + sorts
-    keys = keys.repartitionByRange(ranges, *by) if ranges else keys.repartitionByRange(*by)
-    keys = materialize(keys.withColumn("_range", F.spark_partition_id()), "rank-keys")
+    spread = [F.col(f.name) for f in df.schema.fields
+              if f.name not in key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    by = [F.col(p) for p in parts] + sorts + spread
+    rows = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    rows = materialize(rows.withColumn("_range", F.spark_partition_id()), "rank-rows")
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.min("_range").alias("_range"))
 
     within = Window.partitionBy(*parts, "_range").orderBy(*sorts)
     before = F.sum("_m").over(within.rowsBetween(Window.unboundedPreceding, -1))
