@@ -15,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, turn: Column, n: int, total: int, *ties: str,
+                over: int = 4) -> DataFrame:
+    """The ``n`` rows of smallest 64-bit hash ``turn`` (added as a column;
+    ``ties`` order equal hashes) of a table of about ``total`` rows.
+
+    A bound on the hash that about ``over * n`` rows meet comes first, so few
+    rows are sorted however large the table is. With filters in ``df`` that
+    leave a part of the ``total`` rows, ``over`` should be as much larger."""
+    share = min(1.0, over * n / max(total, 1))
+    bound = min(2 ** 63 - 1, int(-2 ** 63 + share * 2 ** 64))
+    return (df.withColumn("turn", turn).where(F.col("turn") <= F.lit(bound))
+            .orderBy("turn", *ties).limit(n))
+
+
 def whole_text(col: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.llm.common import hash_sample
 from stratus.session import materialize
 
 SAMPLE = 8192
@@ -205,7 +206,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
                 .select("query_id", F.lit(1).alias("rank"), "vec_id", "score"))
     rows = rows.where(F.size("vector") == size.d)
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    learn = (rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample)
+    learn = (hash_sample(rows, F.xxhash64(F.lit(SEED), "id"), sample, total, "id")
              .select("vector").toArrow())                                # bounded by ``sample``
     flat = learn["vector"].combine_chunks().flatten().to_numpy().astype(np.float64)
     model = spark.sparkContext.broadcast(Codes(flat.reshape(-1, size.d), k))

@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import whole_text
+from stratus.llm.common import hash_sample, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, WINDOWS = 3000, 1536
+#: Documents looked at per sampled one, as most hold no digit and no at sign.
+OVER = 32
 WIDTH, STRIDE = 128, 64
 #: Sizes of character vectors and of the LSTM state per direction.
 EMBED, HIDDEN = 12, 16
@@ -372,10 +374,9 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
         windows: int = WINDOWS) -> bytes | None:
     """Weights trained on a bounded sample; None without any example."""
     text = whole_text(text_col)
-    some = (docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]"))
-            .select("text", F.xxhash64(F.lit(SEED), "text").alias("turn"))
-            .orderBy("turn").limit(sample))
-    examples = (some.mapInPandas(_examples, "turn long, chars binary, tags binary")
+    some = hash_sample(docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")),
+                       F.xxhash64(F.lit(SEED), "text"), sample, docs.count(), over=OVER)
+    examples = (some.select("text", "turn").mapInPandas(_examples, "turn long, chars binary, tags binary")
                 .orderBy("turn", "chars").limit(windows))
     learned = examples.repartition(1).sortWithinPartitions("turn", "chars").mapInPandas(
         _fit, "weights binary").collect()                 # bounded sample, one row

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import whole_text
+from stratus.llm.common import hash_sample, whole_text
 from stratus.session import materialize
 
 BITS = 18
@@ -139,11 +139,10 @@ def _train(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Weights (bias last) learned from at most ``sample`` rows of ``labels``."""
-    turn = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-              .select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"),
-                      turn.alias("turn"))
-              .orderBy("turn", "_id", "label").limit(sample))
+    turn = F.xxhash64(F.col("_id").cast("string"))
+    known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+             .select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")))
+    chosen = hash_sample(known, turn, sample, known.count(), "_id", "label")
     chosen = F.broadcast(materialize(chosen, "labelled"))      # at most ``sample`` rows
     texts = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
              .join(chosen, "_id").select("turn", "label", "text"))

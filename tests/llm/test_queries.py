@@ -47,3 +47,17 @@ def test_columns_rows_and_sql(spark, name):
     if name in SQL:
         cur = con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})")
         assert sorted(map(str, cur.fetchall())) == sorted(map(str, rows))
+
+
+def test_hash_sample_takes_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from stratus.llm.common import hash_sample
+    df = spark.range(5000)
+    turn = F.xxhash64("id")
+    want = [r.id for r in df.orderBy(turn).limit(50).collect()]
+    for total in (5000, 40, 0):
+        assert [r.id for r in hash_sample(df, turn, 50, total).orderBy("turn").collect()] == want
+    part = df.where("id % 10 = 0")
+    assert hash_sample(part, turn, 50, 5000, over=40).count() == 50
+    assert hash_sample(part, turn, 9000, 5000).count() == 500
