@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps from one task to the next (caches, tables),
+    made by ``make()``: only that of the operator it ran last, so operators
+    that follow each other don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def hash_sample(df: DataFrame, turn: Column, n: int, total: int, *ties: str,
                 over: int = 4) -> DataFrame:
     """The ``n`` rows of smallest 64-bit hash ``turn`` (added as a column;

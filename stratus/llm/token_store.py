@@ -29,17 +29,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratus.llm.common import whole_text
+from stratus.llm.common import whole_text, worker_state
 from stratus.session import delete_path, materialize, scratch_path
 
 BLOCK = 1 << 16
@@ -47,59 +51,116 @@ MARK = 128
 #: Bits of the longest code, unless the ids that occur need more.
 LIMIT = 16
 END = 1
-#: Words whose ids a Python worker keeps; a full cache is emptied.
-CACHE = 1 << 18
+#: Pieces whose ids a Python worker keeps in each of two generations.
+CACHE = 3 << 16
 #: Rows encoded at a time.
 ROWS = 256
 
+_ASCII_BLANK = re.compile("[\\x20\\x09-\\x0D]+")
+
 # --------------------------------------------------------------------------- ids
 
 
+# --- Fixed value: the pieces of the tokenizers that are taken word by word ------
+PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# -------------------------------------------------------------------------------
+#: The same pieces in a text that is not lower-cased yet.
+_ANY_CASE = (r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"
+             r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same pieces in lower-cased Latin-1, for Python's faster re.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]"
+                    r"|[^\x20\x09-\x0D\x85\xA0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
+
 class WordEncoder:
-    """Ids of whole texts, from the tokenizers library, word by word.
+    """Ids of whole texts, from the tokenizers library.
 
-    Sound for tokenizers that drop white space and treat words alone: no
-    piece, normalisation or special token reaches over ASCII white space.
-    :meth:`check` refuses others."""
+    The tokenizer drops white space and encodes each piece (letters, a digit,
+    other signs) alone, so texts are split into pieces; known pieces come from
+    a cache, and new ones go through the library together, separated by
+    spaces, and are told apart by the end-of-word suffix of their last token.
+    Words in which normalising or special tokens could reach over a piece's edge
+    are encoded whole.
+    :meth:`check` refuses tokenizers of another kind."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
-        self.check(json.loads(spec))
+        spec_ = json.loads(spec)
+        self.check(spec_)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        suffix = spec_["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+        for token, i in self.tokenizer.get_vocab(True).items():
+            self.last[i] = token.endswith(suffix)
+        self.pieces = regex.compile(_ANY_CASE)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def check(spec: dict) -> None:
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
-        split = [s for s in steps if s.get("type") == "Split"]
         norm = spec.get("normalizer") or {}
-        safe = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "Sequence"}
-        kinds = {norm.get("type", "NFC"), *(n["type"] for n in norm.get("normalizers", []))}
+        kinds = [n["type"] for n in norm.get("normalizers", [norm] if norm else [])]
         alone = all(not (t["lstrip"] or t["rstrip"] or t["single_word"])
-                    and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-        if not (split and split[0].get("invert") and split[0].get("behavior") == "Removed"
-                and kinds <= safe and alone):
+                    and t["content"].startswith("<|") for t in spec["added_tokens"])
+        if not (steps[0].get("type") == "Split" and steps[0].get("invert")
+                and steps[0]["behavior"] == "Removed" and steps[0]["pattern"]["Regex"] == PIECES
+                and kinds == ["NFC", "Replace", "Lowercase"] and alone
+                and spec["model"].get("end_of_word_suffix")):
             raise ValueError("the tokenizer does not treat words alone")
 
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, from one call of the library (no offsets needed)."""
+        ids = np.array(self.tokenizer.encode_batch_fast(
+            [" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new) or len(ids) != (ends[-1] if len(ends) else 0):
+            found = [self._whole(p) for p in new]
+        else:
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            found = [data[i:j] for i, j in zip(cuts, cuts[1:])]
+        self.known.update(zip(new, found))
+
+    def _keys(self, text: str) -> list[str]:
+        """Pieces of a text; words that are encoded whole, with a space before."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _LATIN.findall(text.lower())        # NFC; lower case sign by sign
+            except UnicodeEncodeError:
+                if "İ" not in text and is_normalized("NFC", text):
+                    return self.pieces.findall(text)
+        keys: list[str] = []
+        for word in _ASCII_BLANK.split(text):
+            if "<|" in word or "İ" in word or not is_normalized("NFC", word):
+                keys.append(" " + word)
+            else:
+                keys += self.pieces.findall(word)
+        return keys
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode("utf-8").split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list({w for ws in words for w in ws})
+        keys = [self._keys(t) for t in texts]
+        if len(self.known) >= CACHE:
+            self.old, self.known = self.known, {}
+        new = []
+        for key in set().union(*keys).difference(self.known):
+            if key in self.old:
+                self.known[key] = self.old[key]
+            elif key[0] == " ":
+                self.known[key] = self._whole(key[1:])
+            else:
+                new.append(key)
+        new.sort()
         for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(
-                    [w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new[at:at + 4096])
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
-
-
-_encoders: dict[int, WordEncoder] = {}
+        return [np.frombuffer(b"".join(map(get, ks)), "<u4") for ks in keys]
 
 
 def _to_ids(spec, end: int, narrow: bool):
@@ -107,14 +168,12 @@ def _to_ids(spec, end: int, narrow: bool):
     kind = "<u2" if narrow else "<u4"
 
     def run(batches):
-        key = hash(spec.value)
-        if key not in _encoders:
-            _encoders[key] = WordEncoder(spec.value)
+        encoder = worker_state(("words", hash(spec.value)), lambda: WordEncoder(spec.value))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 ids = [np.append(x, np.uint32(end)).astype(kind).tobytes()
-                       for x in _encoders[key].encode(some.column(2).to_pylist())]
+                       for x in encoder.encode(some.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(ids, pa.binary())],
                     ["doc_id", "row", "ids"])

@@ -14,7 +14,7 @@ from stratus.session import scratch_path
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, " ", "Hello World", "don't WE'LL", "a<|endoftext|>b <|startoftext|>", "ΑΣ ΑΣΑ Σ",
          "é é ́e", "a\x1cb\x85c  d", "東京 😀", "x" * 3000, "1234 5,6", "İstanbul ﬁ",
-         "<|endoftext", "\x00\x01"]
+         "<|endoftext", "\x00\x01", "İ.x İ", "DON'T'LL o'Reilly'S 'ſ K", "e\u0301. a\u0301b"]
 
 
 def test_words_encode_like_whole_texts():
@@ -22,6 +22,10 @@ def test_words_encode_like_whole_texts():
     random.seed(5)
     alphabet = list("aeinorst hldTHE   \n\t'.,0123$*<|>") + ["é", "ß", "́", "Σ", " ", " the", "ing"]
     texts = [x or "" for x in TEXTS] + ["".join(random.choices(alphabet, k=300)) for _ in range(150)]
+    latin = [chr(c) for c in range(256)]
+    texts += ["".join(random.choices(latin, k=200)) for _ in range(200)]
+    wide = latin + [chr(random.randrange(0x100, 0xD000)) for _ in range(400)]
+    texts += ["".join(random.choices(wide, k=60)) for _ in range(300)]
     encoder = S.WordEncoder(open(PATH, encoding="utf-8").read())
     for text, ids in zip(texts, encoder.encode(texts)):
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text[:60]
