@@ -52,9 +52,9 @@ MARK = 128
 LIMIT = 16
 END = 1
 #: Pieces whose ids a Python worker keeps in each of two generations.
-CACHE = 3 << 16
+CACHE = 5 << 16
 #: Rows encoded at a time.
-ROWS = 256
+ROWS = 512
 
 _ASCII_BLANK = re.compile("[\\x20\\x09-\\x0D]+")
 
@@ -242,20 +242,27 @@ class Code:
             self.symbol[first:first + (1 << spare)] = i
             self.width[first:first + (1 << spare)] = self.lengths[i]
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(bits, bit offset of every MARK-th id)."""
-        if not len(ids):
-            return b"", np.zeros(0, "<u4")
-        sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """For every text of ``ids`` (lengths ``sizes``): its bits, which begin
+        on a byte, and the bit offset of every MARK-th id."""
+        widths = self.lengths[ids]
+        ends = np.cumsum(widths)
+        last = np.cumsum(sizes)
+        upto = np.append(0, ends)[np.append(0, last)]           # bits before each text
+        inside = ends - widths - np.repeat(upto[:-1], sizes)
+        spans = (np.diff(upto) + 7) // 8
+        base = np.cumsum(spans) - spans
+        starts = inside + np.repeat(8 * base, sizes)
         word = starts >> 5
-        value = self.codes[ids] << (64 - sizes - (starts & 31)).astype(np.uint64)
+        value = self.codes[ids] << (64 - widths - (starts & 31)).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        out = np.zeros(int(word[-1]) + 2, np.uint64)
-        out[word[first]] = np.bitwise_or.reduceat(value >> np.uint64(32), first)
-        out[word[first] + 1] |= np.bitwise_or.reduceat(value & np.uint64(0xFFFFFFFF), first)
-        return out.astype(">u4").tobytes()[:(int(ends[-1]) + 7) // 8], starts[::MARK].astype("<u4")
+        out = np.zeros(int(word[-1]) + 2 if len(word) else 0, np.uint64)
+        if len(word):
+            out[word[first]] = np.bitwise_or.reduceat(value >> np.uint64(32), first)
+            out[word[first] + 1] |= np.bitwise_or.reduceat(value & np.uint64(0xFFFFFFFF), first)
+        data = out.astype(">u4").tobytes()
+        return [(data[b:b + n], inside[e - k:e:MARK].astype("<u4"))
+                for b, n, e, k in zip(base.tolist(), spans.tolist(), last.tolist(), sizes.tolist())]
 
     def decode(self, bits: bytes, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of a block, all checkpoints in step."""
@@ -288,32 +295,6 @@ def _histogram(kind: str, places: int):
     return run
 
 
-def _to_codes(kind: str, shared):
-    """Rows (doc_id, row, piece, size, bits, marks): a text's codes, in pieces
-    of at most BLOCK ids."""
-    def run(batches):
-        code = Code(shared.value)
-        for batch in batches:
-            at, piece, size, bits, marks = [], [], [], [], []
-            for i, data in enumerate(batch.column(2)):
-                ids = np.frombuffer(data.as_buffer(), kind)
-                for p, start in enumerate(range(0, len(ids), BLOCK)):
-                    some = ids[start:start + BLOCK]
-                    b, m = code.encode(some)
-                    at.append(i)
-                    piece.append(p)
-                    size.append(len(some))
-                    bits.append(b)
-                    marks.append(m.tobytes())
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick),
-                 pa.array(piece, pa.int32()), pa.array(size, pa.int32()),
-                 pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
-                ["doc_id", "row", "piece", "size", "bits", "marks"])
-    return run
-
-
 class _Packer:
     """Collects coded pieces of one range and gives out blocks."""
 
@@ -323,7 +304,7 @@ class _Packer:
     def block(self) -> pa.RecordBatch:
         ids, rows, pieces, sizes, bits, marks = zip(*self.held)
         starts = np.cumsum([0, *map(len, bits)])[:-1] * 8
-        placed = [np.frombuffer(m, "<u4") + np.uint32(s) for m, s in zip(marks, starts)]
+        placed = [m + np.uint32(s) for m, s in zip(marks, starts)]
         names = ["part", "seq", "before", "doc_ids", "rows", "pieces", "sizes", "marks", "bits"]
         out = pa.RecordBatch.from_arrays([
             pa.array([self.part], pa.int32()), pa.array([self.seq], pa.int64()),
@@ -337,19 +318,34 @@ class _Packer:
         return out
 
 
-def _pack(batches):
-    packer, total = None, 0
-    for batch in batches:
-        if packer is None:
-            packer = _Packer(TaskContext.get().partitionId(), batch.schema.field(0).type)
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if packer.held and total + row[3] > BLOCK:
-                yield packer.block()
-                total = 0
-            packer.held.append(row)
-            total += row[3]
-    if packer is not None and packer.held:
-        yield packer.block()
+def _to_blocks(kind: str, shared):
+    """Code the texts of one range, in order, and pack them into blocks; a text
+    longer than a block is cut into pieces."""
+    def run(batches):
+        code, packer, total = Code(shared.value), None, 0
+        for batch in batches:
+            if packer is None:
+                packer = _Packer(TaskContext.get().partitionId(), batch.schema.field(0).type)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                keys, cut = [], []
+                for doc_id, row, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(),
+                                             some.column(2)):
+                    ids = np.frombuffer(data.as_buffer(), kind)
+                    for piece, start in enumerate(range(0, len(ids), BLOCK)):
+                        keys.append((doc_id, row, piece))
+                        cut.append(ids[start:start + BLOCK])
+                sizes = np.array([len(c) for c in cut], np.int64)
+                for key, size, (bits, marks) in zip(
+                        keys, sizes.tolist(), code.encode(np.concatenate(cut), sizes)):
+                    if packer.held and total + size > BLOCK:
+                        yield packer.block()
+                        total = 0
+                    packer.held.append((*key, size, bits, marks))
+                    total += size
+        if packer is not None and packer.held:
+            yield packer.block()
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id",
@@ -376,13 +372,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     lengths = code_lengths(counts)
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "length": lengths[lengths > 0].astype(int)})
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc(), F.col("piece").asc()]
-    coded = ids.mapInArrow(
-        _to_codes(kind, spark.sparkContext.broadcast(lengths)),
-        f"doc_id {id_type}, row long, piece int, size int, bits binary, marks binary")
-    (coded.repartitionByRange(*order).sortWithinPartitions(*order)
-     .mapInArrow(_pack, f"part int, seq long, before long, doc_ids array<{id_type}>, "
-                 "rows array<long>, pieces array<int>, sizes array<int>, marks binary, bits binary")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
+    (ids.repartitionByRange(*order).sortWithinPartitions(*order)
+     .mapInArrow(_to_blocks(kind, spark.sparkContext.broadcast(lengths)),
+                 f"part int, seq long, before long, doc_ids array<{id_type}>, rows array<long>, "
+                 "pieces array<int>, sizes array<int>, marks binary, bits binary")
      .write.parquet(f"{path}/blocks"))
     delete_path(spark, ids_path)
 

@@ -79,7 +79,7 @@ def test_blocks_round_trip():
     assert not any(a != b and b.startswith(a) for a in list(codes)[:80] for b in codes)
     for sizes in ([], [1], [0, 5, 0], [128, 129, 127, 1], [70000], [3] * 50):
         ids = [rng.integers(0, 900, s) for s in sizes]
-        made = [code.encode(x) for x in ids]
+        made = code.encode(np.concatenate([*ids, np.zeros(0, np.int64)]), np.array(sizes, np.int64))
         plain = ["".join(format(int(code.codes[i]), f"0{code.lengths[i]}b") for i in x) for x in ids]
         assert [b for b, _ in made] == [
             bytes(int(p[k:k + 8].ljust(8, "0"), 2) for k in range(0, len(p), 8)) for p in plain]
