@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import whole_text
+from stratus.llm.common import tidy, whole_text, worker_state
 
 # --- Fixed values: the byte-level pre-tokenizer's pattern --------------------
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -214,28 +214,35 @@ class Encoder:
     def _pack(ids) -> bytes:
         return array("i", ids).tobytes()
 
+    def _merged(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) > SHORT:
+            stream = Transducer(self.vocabulary)
+            return self._pack(stream.feed(data)) + self._pack(stream.finish())
+        return self._pack(merge(self.vocabulary, data))
+
     def _piece(self, piece: str) -> bytes:
-        got = self.by_piece.get(piece)
+        """Ids of one piece; a piece with a space before it is kept as a word."""
+        if piece[0] == " " and len(piece) > 1:
+            return self.by_word.get(piece[1:]) or self._word(piece[1:], (piece,))
+        got = self.by_piece.get(piece) or self.old_pieces.get(piece)
         if got is None:
-            got = self.old_pieces.get(piece)
-            if got is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                if len(data) > SHORT:
-                    stream = Transducer(self.vocabulary)
-                    return self._pack(stream.feed(data)) + self._pack(stream.finish())
-                got = self._pack(merge(self.vocabulary, data))
-            if len(self.by_piece) >= CACHE:
-                self.old_pieces, self.by_piece = self.by_piece, {}
-            self.by_piece[piece] = got
+            got = self._merged(piece)
+            if len(piece) <= SHORT:
+                if len(self.by_piece) >= CACHE:
+                    self.old_pieces, self.by_piece = self.by_piece, {}
+                self.by_piece[piece] = got
         return got
 
     def _span(self, text: str) -> bytes:
         return b"".join([self._piece(p) for p in self.pieces.findall(text)])
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, parts=None) -> bytes:
+        """Ids of a word with the space before it."""
         got = self.old_words.get(word)
         if got is None:
-            got = self._span(" " + word)
+            parts = parts or self.pieces.findall(" " + word)
+            got = self._merged(parts[0]) if len(parts) == 1 else b"".join(map(self._piece, parts))
         if len(word) <= SHORT:
             if len(self.by_word) >= CACHE:
                 self.old_words, self.by_word = self.by_word, {}
@@ -298,16 +305,10 @@ class Decoder:
         return "".join([*out, self.feed([], True)])
 
 
-_ready: dict[int, Vocabulary | Encoder] = {}
-
-
 def _worker(kind, spec):
-    """One vocabulary and encoder per Python worker and broadcast."""
-    key = (kind, hash(spec))
-    if key not in _ready:
-        _ready[key] = Vocabulary(spec) if kind is Vocabulary else Encoder(
-            _worker(Vocabulary, spec))
-    return _ready[key]
+    """One vocabulary or encoder per Python worker and tokenizer."""
+    make = {Vocabulary: lambda: Vocabulary(spec), Encoder: lambda: Encoder(Vocabulary(spec))}
+    return worker_state((kind.__name__, hash(spec)), make[kind])
 
 
 def _slices(batches) -> Iterator[pa.RecordBatch]:
@@ -344,7 +345,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 
     schema = T.StructType([docs.schema[c] for c in keep]).add(out, T.ArrayType(T.IntegerType()))
     return docs.select(*[F.col(f"`{c}`") for c in keep],
-                       whole_text(text_col).alias("text")).mapInArrow(run, schema)
+                       whole_text(text_col).alias("text")).mapInArrow(
+                           tidy(run, keep=True), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -362,4 +364,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
             yield _with(batch, pa.array(texts, pa.string()), out)
 
     schema = T.StructType(list(tokens.schema.fields)).add(out, T.StringType())
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(tidy(run, keep=True), schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,22 @@ def worker_state(key, make: Callable):
     return _kept[key]
 
 
+def tidy(run: Callable, keep: bool = False) -> Callable:
+    """``run`` (a function over Arrow batches), after which the Python worker
+    gives free memory back to the system, so that it holds little while it
+    waits. Unless ``keep``, what it kept for the next task goes too."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if not keep:
+                _kept.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):     # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return tidied
+
+
 def hash_sample(df: DataFrame, turn: Column, n: int, total: int, *ties: str,
                 over: int = 4) -> DataFrame:
     """The ``n`` rows of smallest 64-bit hash ``turn`` (added as a column;

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import whole_text
+from stratus.llm.common import tidy, whole_text, worker_state
 from stratus.llm.components import components
 from stratus.session import materialize
 
@@ -69,13 +69,13 @@ CACHE = 1 << 18
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                          0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "<u8")
-_hashes: dict[bytes, bytes] = {}
 
 
 def _hash(word: bytes) -> bytes:
-    if len(_hashes) >= CACHE:
-        _hashes.clear()
-    got = _hashes[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+    hashes = worker_state("ngrams", dict)
+    if len(hashes) >= CACHE:
+        hashes.clear()
+    got = hashes[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
     return got
 
 
@@ -88,7 +88,7 @@ def ngrams(words: list[bytes], n: int = WORDS) -> np.ndarray:
     """Distinct n-gram hashes, ascending."""
     if not words:
         return np.zeros(0, "<u8")
-    known = _hashes.get
+    known = worker_state("ngrams", dict).get
     h = np.frombuffer(b"".join([known(w) or _hash(w) for w in words]), "<u8")
     n = min(n, len(h))
     grams = np.full(len(h) - n + 1, np.uint64(n))
@@ -266,7 +266,7 @@ class NgramJoin:
     def profile(self) -> tuple[DataFrame, np.ndarray]:
         """(rows doc_id, digest, n; count sketch of all n-grams)."""
         both = materialize(self.docs.mapInArrow(
-            _profile(self.n), f"doc_id {self.id_type}, digest binary, n int, part int, "
+            tidy(_profile(self.n)), f"doc_id {self.id_type}, digest binary, n int, part int, "
             "counts binary"), "profile")
         counts = np.zeros(SKETCH, "<i4")
         width = SKETCH // PARTS
@@ -279,7 +279,7 @@ class NgramJoin:
         """One row per distinct text: node, digest, n, doc_id (its smallest),
         prefix, bins. Written, so the node numbers are fixed."""
         rows = self.docs.mapInArrow(
-            _prefixes(self.n, self.percent, self.spark.sparkContext.broadcast(sketch)),
+            tidy(_prefixes(self.n, self.percent, self.spark.sparkContext.broadcast(sketch))),
             f"doc_id {self.id_type}, digest binary, n int, prefix array<long>, bins array<int>")
         return materialize(
             rows.groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"),
@@ -302,7 +302,7 @@ class NgramJoin:
                  .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
         field[marks["word"].to_numpy()] = marks["bits"].to_numpy()
         found = self.docs.mapInArrow(
-            _gathered(_sets(self.n, self.spark.sparkContext.broadcast(field))),
+            tidy(_gathered(_sets(self.n, self.spark.sparkContext.broadcast(field)))),
             "digest binary, grams binary")
         found = found.groupBy("digest").agg(F.first("grams").alias("grams"))
         return materialize(wanted.join(found, "digest").select("node", "grams"), "sets")
@@ -329,7 +329,7 @@ class NgramJoin:
         right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
         return materialize(
             pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
-            .mapInArrow(_verify(self.percent), "a long, b long"), "links")
+            .mapInArrow(tidy(_verify(self.percent)), "a long, b long"), "links")
 
     def star_pairs(self, members: DataFrame) -> DataFrame:
         """For every node and kind of centre one pair: with the centre it has

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import hash_sample, whole_text
+from stratus.llm.common import hash_sample, tidy, whole_text, worker_state
 from stratus.session import materialize
 
 BITS = 18
@@ -57,15 +57,13 @@ def shape(word: str) -> str:
     return _RUN.sub(r"\1\1", _DIGITS.sub("9", word))[:12]
 
 
-_hashes: dict[str, bytes] = {}
-
-
 def _hash(word: str) -> bytes:
     """16 bytes: hash of the word and of its shape."""
-    if len(_hashes) >= CACHE:
-        _hashes.clear()
+    hashes = worker_state("quality", dict)
+    if len(hashes) >= CACHE:
+        hashes.clear()
     data = word.encode("utf-8", "surrogatepass")
-    got = _hashes[word] = (xxhash.xxh3_64_intdigest(data).to_bytes(8, "little")
+    got = hashes[word] = (xxhash.xxh3_64_intdigest(data).to_bytes(8, "little")
                            + xxhash.xxh3_64_intdigest(b"shape:" + shape(word).encode(
                                "utf-8", "surrogatepass")).to_bytes(8, "little"))
     return got
@@ -73,7 +71,7 @@ def _hash(word: str) -> bytes:
 
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a whole text, places ascending."""
-    known = _hashes.get
+    known = worker_state("quality", dict).get
     both = np.frombuffer(b"".join([known(w) or _hash(w) for w in text.split()]), "<u8")
     if not len(both):
         return np.zeros(0, np.int64), np.zeros(0)
@@ -177,7 +175,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
                                              [*batch.schema.names, out])
 
     schema = T.StructType(list(docs.schema.fields)).add(out, T.DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
