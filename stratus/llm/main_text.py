@@ -4,7 +4,10 @@ A page is cut into tags and text once, tolerant of broken markup, and becomes
 a tree of its block elements. Parts that are never article text (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments; told by element, role, class and id words, or hidden) are set
-aside. Every paragraph then passes points to its ancestors: one, one for
+aside; such a part ends where HTML ends it, also without its own end tag. A
+wrapper that only a class or id word names is judged by what it holds: it stays
+if it holds an article or main element, or most of the page's paragraph
+points while no such element stands elsewhere. Every paragraph then passes points to its ancestors: one, one for
 each comma and one for each hundred characters (three at most), less its share
 of link text; its parent gets all of them, the grandparent half, the ones above a
 third, a quarter and a fifth. A container's score is discounted by its own
@@ -25,6 +28,7 @@ results; other columns pass through. Work and memory are linear in the page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -50,8 +54,19 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense b
                   "widget widgets".split())
 GOOD = frozenset("article articlebody blog body content entry hentry main page post story "
                  "text".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+COMMENTS = frozenset("combx comment comments disqus remark replies respond shoutbox".split())
+ROW = frozenset("tr td th caption colgroup".split())
+ROWS = ROW | {"tbody", "thead", "tfoot"}
+CELL = frozenset("td th caption colgroup".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": ROW, "td": CELL,
+          "th": CELL, "tbody": ROWS, "thead": ROWS, "tfoot": ROWS, "option": {"option"},
+          "button": {"button"}}
+LISTS = frozenset("ul ol dl menu table select".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta".split())
+P_ENDS = frozenset("address article aside blockquote center dd details dialog dir div dl dt "
+                   "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li "
+                   "main menu nav ol p pre search section summary table tbody td tfoot th thead "
+                   "tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG_POINTS = {"article": 25, "main": 25, "div": 5, "section": 2, "pre": 3, "td": 3,
               "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "th": -5}
@@ -62,6 +77,10 @@ SHORT = 25
 #: What each further ancestor gets of a paragraph's points.
 SHARES = (1.0, 0.5, 1 / 3, 1 / 4, 1 / 5)
 
+#: Above this share of the page's points a named wrapper is the article: its name
+#: only mentions a part (has-sidebar), or is that of a part (sidebar).
+MENTIONS, NAMES = 2 / 3, 0.95
+
 _TOKEN = re.compile(
     r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
     r"(?:(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|[^>]*(?:>|\Z))"
@@ -73,12 +92,17 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 class Node:
     __slots__ = ("tag", "parent", "parts", "size", "links", "commas", "own", "own_links",
-                 "score", "candidate", "article", "soft")
+                 "score", "candidate", "article", "soft", "share", "nested", "proper", "points",
+                 "holds", "gone")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.size = self.links = self.commas = self.own = self.own_links = 0
         self.score, self.candidate, self.article, self.soft = 0.0, False, False, False
+        self.share = None             # of a named wrapper: the share above which it stays
+        self.nested = False           # inside an article element
+        self.proper = False           # an article or main element without a name of WORDS
+        self.points, self.holds, self.gone = 0.0, False, False
 
     def density(self) -> float:
         return self.links / self.size if self.size else 0.0
@@ -90,21 +114,31 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _set_aside(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
+    """Whether a part is never article text, whatever it holds."""
     if tag in ASIDE or tag == "header" and not inside_article:
         return True
-    if not attrs:
-        return False
-    if (attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-            or "style" in attrs and _NOT_SHOWN.search(attrs["style"])):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    for name in names:
+    return bool(attrs) and bool(
+        attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+        or "style" in attrs and _NOT_SHOWN.search(attrs["style"]))
+
+
+def _named(attrs: dict[str, str]) -> list[list[str]]:
+    """Words of the class and id names that tell a part to set aside."""
+    found = []
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = _NAMES.findall(name)
         if WORDS.intersection(words) and not (GOOD.intersection(words) and words[-1] in GOOD):
-            return True
-    return False
+            found.append(words)
+    return found
+
+
+def _judge(node: Node, attrs: dict[str, str], named: list[list[str]]) -> None:
+    """What a named wrapper must hold to stay."""
+    good = GOOD.intersection(_NAMES.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    own = [words for words in named if words[0] in WORDS]
+    node.share = NAMES if own and not good else MENTIONS
+    # an article element inside reader comments, or inside an article, is a comment
+    node.nested |= not good and any(words[0] in COMMENTS for words in own)
 
 
 def _bonus(tag: str, attrs: dict[str, str]) -> float:
@@ -119,7 +153,9 @@ class Tree:
         self.root = self.here = Node("#root", None)
         self.nodes = [self.root]
         self.link = 0                 # open links
-        self.aside: list[str] = []    # open elements of a part set aside
+        self.inlines: Counter[str] = Counter()        # open inline elements of the block
+        self.top: Node | None = None  # the part set aside that is open
+        self.inside: Counter[str] = Counter()         # its open elements
         at = 0
         lower = None
         for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -146,8 +182,10 @@ class Tree:
             self._text(page[at:])
 
     def _text(self, text: str) -> None:
-        if self.aside:
-            return
+        if self.top is not None:
+            if self.top.tag != "head" or not text.strip():
+                return
+            self._up(self.top)                        # text begins the body
         if "&" in text:
             text = unescape(text)
         here = self.here
@@ -159,61 +197,112 @@ class Tree:
             here.own_links += n
 
     def _open(self, tag: str, attrs: str) -> None:
-        if self.aside:
-            # only the elements that can end the part are followed
-            if tag not in VOID and tag == self.aside[0]:
-                self.aside.append(tag)
+        if self.top is not None and self.top.tag == "head":
+            if tag in IN_HEAD:
+                return
+            self._up(self.top)
+        if tag not in INLINE and (tag not in VOID or tag == "hr"):
+            self._imply(tag)
+        elif self.top is not None and (self.top.tag == tag == "a" or tag in ("rt", "rp")
+                                       and self.top.tag in ("rt", "rp")):
+            self._up(self.top)
+        if self.top is not None:
+            if tag not in VOID:
+                self.inside[tag] += 1
+                if tag not in INLINE:
+                    self.here = Node(tag, self.here)
             return
         if tag == "br" or tag == "hr":
             self.here.parts.append(" ")
             return
         if tag in VOID:
             return
-        named = _attributes(attrs) if attrs.strip(" /") else {}
-        if tag not in INLINE:
-            self._imply(tag)
-        if _set_aside(tag, named, self.here.article):
-            if tag != "form":
-                self.aside.append(tag)
-                self.here.parts.append(" ")
-                return
+        attributes = _attributes(attrs) if attrs.strip(" /") else {}
+        aside = _set_aside(tag, attributes, self.here.article)
+        named = _named(attributes) if attributes and tag not in ("html", "body") else []
+        if tag != "form" and (aside or named and (
+                tag in INLINE or tag == "p" or tag in HEADINGS)):
+            self.here.parts.append(" ")
+            self.top = self.here = Node(tag, self.here)
+            self.inside = Counter([tag])
+            return
         if tag in INLINE:
+            self.inlines[tag] += 1
             self.link += tag == "a"
             return
         node = Node(tag, self.here)
-        node.score = _bonus(tag, named)
+        node.score = _bonus(tag, attributes)
         node.article = self.here.article or tag in ("article", "main")
+        node.nested = self.here.nested or self.here.tag == "article"
         node.soft = tag == "form"
+        if tag in ("article", "main"):
+            node.proper = not named and not node.nested
+        elif named and tag != "form":
+            _judge(node, attributes, named)
         self.here.parts.append(node)
         self.nodes.append(node)
         self.here = node
 
     def _imply(self, tag: str) -> None:
         """End tags that a start tag implies."""
-        if self.here.tag == "p":
-            self._up(self.here)
-        if tag in CLOSES:
-            node = self.here
-            while node.parent is not None and node.tag not in ("ul", "ol", "dl", "table", "select"):
-                if node.tag in CLOSES[tag]:
-                    self._up(node)
-                    break
-                node = node.parent
+        node = self.here
+        if node is self.top and node.tag in INLINE:
+            node = node.parent
+        if node.tag == "p" and (self.top is None or tag in P_ENDS):
+            self._up(node)
+        elif node.tag in HEADINGS and tag in HEADINGS:
+            self._up(node)
+        if tag not in CLOSES:
+            return
+        node, steps = self.here, 0
+        while node.parent is not None and steps < 512:
+            if node.tag in CLOSES[tag]:
+                while node.parent.tag in CLOSES[tag]:
+                    node = node.parent
+                self._up(node)
+                return
+            if node.tag == "table" or tag not in ROWS and (node.tag in LISTS or (
+                    self.top is not None and node.tag not in INLINE
+                    and node.tag not in ("address", "div", "p"))):
+                return
+            node, steps = node.parent, steps + 1
 
     def _up(self, node: Node) -> None:
+        """End ``node`` and what is open in it."""
+        at = self.here
+        if self.top is not None:
+            while self.top is not None and at is not node.parent:
+                self.inside[at.tag] -= 1
+                if at is self.top:
+                    self.top = None
+                at = at.parent
+            self.here = at
+            if at is node.parent:
+                return
         self.here = node.parent
         self.link = 0
+        self.inlines.clear()
 
     def _close(self, tag: str) -> None:
-        if self.aside:
-            if tag == self.aside[0] or tag in ("body", "html"):
-                self.aside.pop()
-            return
         if tag in INLINE:
-            if tag == "a" and self.link:
-                self.link -= 1
+            self._close_inline(tag)
             return
         node, steps = self.here, 0
+        if node.tag in HEADINGS and tag in HEADINGS:
+            tag = node.tag
+        if self.top is not None:
+            if self.inside[tag] > 0:
+                while node.tag != tag:
+                    node = node.parent
+                self._up(node)
+                return
+            if tag in ("body", "html"):
+                self._up(self.top)
+                node = self.here
+            elif self.inside["table"] > 0:
+                return                                # a stray end tag
+            else:
+                node = self.top.parent
         while node.parent is not None and steps < 512:
             if node.tag == tag:
                 self._up(node)
@@ -223,6 +312,22 @@ class Tree:
                 return                                # a stray end tag
             node, steps = node.parent, steps + 1
 
+    def _close_inline(self, tag: str) -> None:
+        if self.top is not None:
+            if self.inside[tag] > 0:
+                if tag == self.top.tag and self.inside[tag] == 1:
+                    self._up(self.top)
+                else:
+                    self.inside[tag] -= 1
+                return
+            if self.top.tag not in INLINE or self.inlines[tag] <= 0:
+                return
+            self._up(self.top)                        # an element around it ends
+        if self.inlines[tag] > 0:
+            self.inlines[tag] -= 1
+        if tag == "a" and self.link:
+            self.link -= 1
+
 
 def _measure(nodes: list[Node]) -> None:
     for node in nodes:
@@ -233,14 +338,46 @@ def _measure(nodes: list[Node]) -> None:
             node.parent.links += node.links
 
 
+def _points(node: Node) -> float:
+    """Points of the text that stands in ``node`` itself."""
+    if not node.own or node.tag in HEADINGS or node.tag == "title":
+        return 0.0
+    points = node.own / 100
+    if node.own >= SHORT:
+        points = 1 + node.commas + min(points, 3)
+    return points * (1 - node.own_links / node.own)
+
+
+def _leave_out(nodes: list[Node]) -> list[Node]:
+    """Nodes without the named wrappers that are not the article."""
+    if not any(node.share for node in nodes):
+        return nodes
+    for node in reversed(nodes):
+        node.points += _points(node)
+        if node.parent is not None:
+            node.parent.points += node.points
+            node.parent.holds |= node.holds or node.proper
+    open_to = {}                      # node: not in a wrapper that is still to be judged
+    for node in nodes:
+        if node.share and node.holds and not node.nested:
+            node.share = None
+        open_to[node] = not node.share and (node.parent is None or open_to[node.parent])
+    clear = sum(n.proper and open_to[n] and n.points > 0 for n in nodes)
+    above = {}                        # node: how many of those stand around it
+    for node in nodes:
+        up = node.parent
+        above[node] = (above[up] + (up.proper and open_to[up] and up.points > 0)
+                       if up is not None else 0)
+        node.gone = up is not None and up.gone or bool(node.share) and (
+            above[node] < clear or node.points <= node.share * nodes[0].points)
+    return [node for node in nodes if not node.gone]
+
+
 def _give_points(nodes: list[Node]) -> None:
     for node in nodes:
+        points = _points(node)
         if not node.own or node.tag in HEADINGS or node.tag == "title":
             continue
-        points = node.own / 100
-        if node.own >= SHORT:
-            points = 1 + node.commas + min(points, 3)
-        points *= 1 - node.own_links / node.own
         # text that stands in a container itself counts for the container
         up = node.parent if node.tag in ("p", "pre", "li", "dd", "dt", "td", "th") else node
         for share in SHARES:
@@ -254,6 +391,8 @@ def _give_points(nodes: list[Node]) -> None:
 def _kept(node: Node, best: Node, floor: float) -> bool:
     if node is best:
         return True
+    if node.gone:
+        return False
     if node.candidate and node.tag not in ("p",) and node.score * (1 - node.density()) >= floor:
         return True
     if node.tag in HEADINGS:
@@ -267,7 +406,7 @@ def _has_article(node: Node) -> bool:
     held = [node]
     while held:
         for part in held.pop().parts:
-            if isinstance(part, Node):
+            if isinstance(part, Node) and not part.gone:
                 if part.tag in ("article", "main"):
                     return True
                 held.append(part)
@@ -282,7 +421,8 @@ def _collect(start: Node, out: list[str]) -> None:
             out.append(part)
             continue
         if part is not start:
-            if part.soft and not _has_article(part):
+            if part.gone or part.soft and not _has_article(part):
+                out.append(" ")
                 continue
             if (part.tag in ("ul", "ol", "dl", "div", "section", "table") and part.size
                     and part.density() > 0.5):
@@ -297,10 +437,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    _measure(tree.nodes)
-    _give_points(tree.nodes)
+    nodes = _leave_out(tree.nodes)
+    _measure(nodes)
+    _give_points(nodes)
     best, most = tree.root, 0.0
-    for node in tree.nodes[1:]:
+    for node in nodes[1:]:
         if node.candidate and node.tag not in ("html", "body"):
             score = node.score * (1 - node.density())
             if score > most:

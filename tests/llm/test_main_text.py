@@ -59,6 +59,62 @@ def test_cases(page, text):
     assert main_text(page) == text
 
 
+P = f"<p>{LONG}</p>"
+#: Parts set aside that end without an end tag of their own.
+OPEN_ASIDES = [
+    (f"<html><head><title>T</title><body><article>{P}</article></body>", LONG),
+    (f"<head><title>T</title><meta charset=x><article>{P}</article>", LONG),
+    ("<head><title>T</title>bare text", "bare text"),
+    (f"<article><p class=ad>no<p>{LONG}<p class=notice>no<div>b</div><p class=ad>no<h2>T</h2>x"
+     "</article>", f"{LONG} b T x"),
+    (f"<article><p class=ad>no <button>no</button> no</p>{P}</article>", LONG),
+    (f"<article>{P}<ul><li>a<li class=share>no<li>b<li hidden>no</ul>c</article>", f"{LONG} a b c"),
+    (f"<article>{P}<dl><dt hidden>no<dd>y<dt>z</dl>c</article>", f"{LONG} y z c"),
+    (f"<article>{P}<table><thead hidden><tr><th>no<tbody><tr class=ad><td>no<tr><td>y"
+     "<td class=ad><ul><li>no<td>z</table>c</article>", f"{LONG} y z c"),
+    (f"<article><div><nav>no</div>{P}</article>", LONG),
+    (f"<div><nav><table><tr><td>no</div>no</table>no</nav>{P}</div>", LONG),
+    (f"<article><p>{LONG} <b>x <span class=ad>no</b> y <span class=ad>no<p>b</article>",
+     f"{LONG} x y b"),
+    (f"<article><p>{LONG} <a class=share>no<a href=x>yes</a> b</article>", f"{LONG} yes b"),
+    (f"<article><p>{LONG} <span class=ad>no<span>no</span>no</span> b</article>", f"{LONG} b"),
+]
+#: Wrappers that a class or id word names.
+WRAPPERS = [
+    (f"<div class='page has-sidebar'><article>{P}</article></div>", LONG),
+    (f"<div class='page has-sidebar'><div>{P * 3}</div><div class=sidebar>{P}</div></div>",
+     " ".join([LONG] * 3)),
+    (f"<div class=sidebar-layout><div>{P * 3}</div></div>", " ".join([LONG] * 3)),
+    (f"<main><div class=with-sidebar>{P * 3}</div></main>", " ".join([LONG] * 3)),
+    (f"<div class=with-sidebar><article>{P * 3}</article></div><article>{P}</article>",
+     " ".join([LONG] * 3)),
+    (f"<div class='post share'>{P * 3}</div><div><a href=/>x</a></div>", " ".join([LONG] * 3)),
+    (f"<article>{P}<div id=comments>{P * 3}<article>{P}</article></div></article>", LONG),
+    (f"<div id=content>{P}</div><div id=comments>{P * 9}<article>{P}</article></div>", LONG),
+    (f"<div class=with-sidebar><article>{P}</article><div id=comments><article class=comment>"
+     f"{P * 3}</article></div></div>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", OPEN_ASIDES)
+def test_open_asides_end_where_html_ends_them(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page,text", WRAPPERS)
+def test_named_wrappers_are_judged_by_what_they_hold(page, text):
+    assert main_text(page) == text
+
+
+def test_asides_take_linear_time():
+    for page in ("<nav>" + "<div>" * 60000 + "</p>" * 60000, "<div class=ad>" * 60000 + "x",
+                 "<span class=ad>" * 60000 + "</i>" * 60000, "<p class=ad>x" * 60000,
+                 "<li class=ad>x" * 60000, "<div>" * 60000 + "<li hidden></li>" * 20000):
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 8
+
+
 def test_time_is_linear():
     for page in ("<div>" * 60000 + "x", "<p>" * 60000, "<a href='" * 20000, "<!--" * 50000,
                  "<script>" * 20000, "</div>" * 60000, "<b>" * 60000 + "&" * 60000,
