@@ -12,8 +12,10 @@ each comma and one for each hundred characters (three at most), less its share
 of link text; its parent gets all of them, the grandparent half, the ones above a
 third, a quarter and a fifth. A container's score is discounted by its own
 link density. The best container is kept, widened to the article element
-around it, else with those siblings that score a fifth of it or read like text
-or a heading. Inside, lists and boxes that are mostly links are left out.
+around it. Without one, it is kept with those siblings that score a fifth of it,
+are a heading or read like text (under a quarter of it link text, however
+short) and with the text between them; so on for the siblings of its parent, as
+long as the parent's own text reads like text. Inside, lists and boxes that are mostly links are left out.
 
 Character references are decoded; white space inside a block becomes one
 space; blocks are joined in page order by one space. Nothing else is dropped
@@ -28,7 +30,7 @@ results; other columns pass through. Work and memory are linear in the page.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from html import unescape
 
 import pyarrow as pa
@@ -74,6 +76,8 @@ TAG_POINTS = {"article": 25, "main": 25, "div": 5, "section": 2, "pre": 3, "td":
 
 #: A paragraph shorter than this counts by its length alone.
 SHORT = 25
+#: From this share of link text on, a sibling is links, not text.
+LINKED = 0.25
 #: What each further ancestor gets of a paragraph's points.
 SHARES = (1.0, 0.5, 1 / 3, 1 / 4, 1 / 5)
 
@@ -389,17 +393,15 @@ def _give_points(nodes: list[Node]) -> None:
 
 
 def _kept(node: Node, best: Node, floor: float) -> bool:
-    if node is best:
-        return True
     if node.gone:
         return False
     if node.candidate and node.tag not in ("p",) and node.score * (1 - node.density()) >= floor:
         return True
     if node.tag in HEADINGS:
         return True
-    if node.tag == "p":
-        return node.density() < 0.25 if node.size > 80 else (node.size > 0 and node.links == 0)
-    return False
+    # articles beside an article are pages of their own
+    return (best.tag != "article" and not node.soft and node.size > 0
+            and node.density() < LINKED)
 
 
 def _has_article(node: Node) -> bool:
@@ -413,7 +415,7 @@ def _has_article(node: Node) -> bool:
     return False
 
 
-def _collect(start: Node, out: list[str]) -> None:
+def _collect(start: Node, out: list[str] | deque[str]) -> None:
     held: list = [start]
     while held:
         part = held.pop()
@@ -432,6 +434,28 @@ def _collect(start: Node, out: list[str]) -> None:
         held.extend(reversed(part.parts))
 
 
+def _add_siblings(best: Node, floor: float, out: deque[str]) -> None:
+    """Put the text beside ``best`` that belongs to it around its own."""
+    level = best
+    while True:
+        around = level.parent
+        between = best.tag != "article" and around.own_links < LINKED * around.own
+        before: list[str] = []
+        to: list[str] | deque[str] = before
+        for part in around.parts:
+            if part is level:
+                to = out
+            elif isinstance(part, str):
+                to.append(part if between else " ")
+            elif _kept(part, best, floor) and (best.tag != "article" or part.tag == "article"):
+                _collect(part, to)
+        out.extendleft(reversed(before))
+        if (best.tag == "article" or around.parent is None or around.tag in ("html", "body")
+                or around.size > level.size and around.density() >= LINKED):
+            return
+        level = around
+
+
 def main_text(page: str | None) -> str:
     """The article's text of one page."""
     if not page:
@@ -449,17 +473,12 @@ def main_text(page: str | None) -> str:
     wide = best
     while wide.parent is not None and wide.tag not in ("article", "main"):
         wide = wide.parent
-    out: list[str] = []
     if wide.parent is not None:
         best = wide
-    if best.parent is None or best.tag == "main":
-        _collect(best, out)
-    else:
-        floor = max(10.0, most * 0.2)
-        for part in best.parent.parts:
-            if isinstance(part, Node) and _kept(part, best, floor) and (
-                    part is best or best.tag != "article" or part.tag == "article"):
-                _collect(part, out)
+    out: deque[str] = deque()
+    _collect(best, out)
+    if best.parent is not None and best.tag != "main":
+        _add_siblings(best, max(10.0, most * 0.2), out)
     return " ".join("".join(out).split())
 
 

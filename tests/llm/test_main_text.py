@@ -96,6 +96,32 @@ WRAPPERS = [
 ]
 
 
+FIVE, SHORT = P * 5, "A short part of the article, as it stands there."
+TEXT = " ".join([LONG] * 5)
+LINKS = "<div><a href=/>one</a> <a href=/>two</a> x</div>"
+#: Pages of several parts without an article element.
+SECTIONS = [
+    (f"<div><section>{FIVE}</section><section><p>{SHORT}</p></section></div>", f"{TEXT} {SHORT}"),
+    (f"<div><section><p>Yes.</p></section><section>{FIVE}</section>{LINKS}</div>", f"Yes. {TEXT}"),
+    (f"<div><section>{FIVE}</section><blockquote>a, b</blockquote><table><tr><td>c<td>d</table>"
+     "<ul><li>e</ul><pre>f</pre><p>g <a href=/>h</a> and more of the text</p></div>",
+     f"{TEXT} a, b c d e f g h and more of the text"),
+    (f"<div>in front<section>{FIVE}</section>in the end</div>", f"in front {TEXT} in the end"),
+    (f"<div><div><h2>A</h2><div>{FIVE}</div></div><div><h2>B</h2><div>{SHORT}</div></div></div>",
+     f"A {TEXT} B {SHORT}"),
+    (f"<body>{LINKS * 9}<div><div><section>{FIVE}</section></div><div><section>{SHORT}</section>"
+     f"</div></div><div class=sidebar>no</div><form>no</form></body>", f"{TEXT} {SHORT}"),
+    (f"<table><tr><td>{FIVE}<tr><td>{SHORT}</table>", f"{TEXT} {SHORT}"),
+    ("".join(f"<section><h2>{i}</h2><p>{SHORT}</p></section>" for i in range(6)),
+     " ".join(f"{i} {SHORT}" for i in range(6))),
+]
+
+
+@pytest.mark.parametrize("page,text", SECTIONS)
+def test_siblings_that_read_like_text_stay(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", OPEN_ASIDES)
 def test_open_asides_end_where_html_ends_them(page, text):
     assert main_text(page) == text
