@@ -3,7 +3,7 @@ CRF transitions that adds what the patterns miss.
 
 The patterns give the base spans of four kinds (email, ip, card, phone). The
 model is trained in numpy on labelled spans: windows of a bounded sample of
-documents (``SAMPLE`` documents with a digit or an at sign, smallest hashes of
+documents (``SAMPLE`` distinct texts with a digit or an at sign, smallest hashes of
 the text; ``WINDOWS`` windows of theirs at most) with the base spans as labels, some of them
 rewritten (numbers regrouped, country codes dropped) so that it learns more than
 the patterns say. Training runs in one task on this bounded sample;
@@ -38,8 +38,6 @@ from stratus.llm.common import hash_sample, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, WINDOWS = 3000, 1536
-#: Documents looked at per sampled one, as most hold no digit and no at sign.
-OVER = 32
 WIDTH, STRIDE = 128, 64
 #: Sizes of character vectors and of the LSTM state per direction.
 EMBED, HIDDEN = 12, 16
@@ -370,12 +368,19 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weights": [model.dump()]})
 
 
+def _sample(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``n`` distinct texts that can hold a span, however often each is there."""
+    texts = docs.select(whole_text(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    turn = F.xxhash64(F.lit(SEED), "text")
+    total = texts.select(turn.alias("turn")).distinct().count()
+    # the bound on the hash goes below distinct(), so few texts are grouped
+    return hash_sample(texts.distinct(), turn, n, total)
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
         windows: int = WINDOWS) -> bytes | None:
     """Weights trained on a bounded sample; None without any example."""
-    text = whole_text(text_col)
-    some = hash_sample(docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")),
-                       F.xxhash64(F.lit(SEED), "text"), sample, docs.count(), over=OVER)
+    some = _sample(docs, text_col, sample)
     examples = (some.select("text", "turn").mapInPandas(_examples, "turn long, chars binary, tags binary")
                 .orderBy("turn", "chars").limit(windows))
     learned = examples.repartition(1).sortWithinPartitions("turn", "chars").mapInPandas(

@@ -118,3 +118,18 @@ def test_tables(spark, weights):
     assert P.find(df.limit(0), weights).count() == 0
     assert P.fit(df.where("doc_id = 1")) is None
     assert P.find(df, None).where("size(spans) > 0").count() == 3
+
+
+def test_sample_is_of_distinct_texts(spark):
+    """Copies take no place in the sample from other texts."""
+    texts = spark.range(40).select(F.concat(F.lit("mail a"), "id", F.lit("@b.cd")).alias("text"))
+    first = texts.orderBy(F.xxhash64(F.lit(P.SEED), "text")).limit(1)
+    copies = texts.union(first.crossJoin(spark.range(500)).select("text"))
+    assert P.fit(copies, sample=10) == P.fit(texts, sample=10)
+
+
+def test_sample_is_whole_where_few_texts_can_hold_a_span(spark):
+    plain = spark.range(100000).select(F.translate(F.col("id").cast("string"), "0123456789",
+                                                   "abcdefghij").alias("text"))
+    some = spark.range(20).select(F.concat(F.lit("mail a"), "id", F.lit("@b.cd")).alias("text"))
+    assert P.fit(plain.union(some), sample=10) == P.fit(some, sample=10)
