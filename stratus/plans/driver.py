@@ -360,24 +360,37 @@ def q_entity_baseline(spark, sf):
 
 #: Files that one micro-batch of a replay takes at most.
 REPLAY_FILES = 1000
-#: Time slices of an ordered replay.
-REPLAY_SLICES = 3
+#: Time slices of an ordered replay at least, rows of one on average at most, and
+#: its files.
+REPLAY_SLICES, SLICE_ROWS, SLICE_FILES = 3, 4_000_000, 8
 
 
 def time_slices(events: DataFrame, time_col: str, n: int) -> tuple[str, int]:
-    """Write ``events`` as ``n`` successive time slices into one folder, the
-    earliest first, so that a file stream reads them in that order. Returns the
-    folder and the slice length in seconds."""
+    """Write ``events`` as ``n`` or, in a large table, more successive time
+    slices into one folder, the earliest first, so that a file stream reads them in
+    that order. Returns the folder and the slice length in seconds.
+
+    The table is dealt out by time once; each slice then is read from its own
+    folder and written by ``SLICE_FILES`` tasks."""
     spark = events.sparkSession
-    first, last = events.agg(F.min(time_col), F.max(time_col)).first()
+    first, last, rows = events.agg(F.min(time_col), F.max(time_col), F.count(time_col)).first()
     path = scratch_path(spark, "slices")
-    seconds = int((last - first).total_seconds()) // n + 1 if first else 1
-    at = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
-                  - F.unix_micros(F.lit(first).cast("timestamp"))) / (seconds * 1_000_000))
-    for i in range(n if first else 0):
-        events.where(at == i).coalesce(1).write.mode("append").parquet(path)
     if not first:
         events.write.parquet(path)
+        return path, 1
+    n = max(n, -(-rows // SLICE_ROWS))
+    seconds = int((last - first).total_seconds()) // n + 1
+    at = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
+                  - F.unix_micros(F.lit(first).cast("timestamp"))) / (seconds * 1_000_000))
+    order = [F.col(time_col), F.xxhash64(*events.columns)]         # equal times spread
+    dealt = scratch_path(spark, "dealt")
+    (events.repartitionByRange(n * SLICE_FILES, *order).withColumn("slice_no", at.cast("int"))
+     .write.partitionBy("slice_no").parquet(dealt))
+    parts = spark.read.parquet(dealt)
+    for i in range(n):
+        (parts.where(F.col("slice_no") == i).drop("slice_no")
+         .repartitionByRange(SLICE_FILES, *order).write.mode("append").parquet(path))
+    delete_path(spark, dealt)
     return path, seconds
 
 
@@ -392,8 +405,8 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns, extra_keys
     The table may be a file or a folder of files. A micro-batch takes at most
     ``REPLAY_FILES`` of them; a table so large that it needs more than one
     should be replayed in time order: with ``slices`` it is dealt into that many
-    successive slices first, one micro-batch each, and the watermark covers
-    the disorder inside a slice. Rows that come too late for their windows fail
+    successive slices or more first, about one micro-batch each, and the watermark
+    covers the disorder inside a slice. Rows that come too late for their windows fail
     the replay, they are never dropped unseen."""
     run = scratch_path(spark, "replay")
     events = table(spark, sf, "events")
@@ -404,7 +417,7 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns, extra_keys
         watermark = f"{seconds} seconds"
     stream = read_event_stream(spark, "files", path=path, file_format="parquet",
                                file_schema=events.schema,
-                               max_per_trigger=1 if slices else REPLAY_FILES)
+                               max_per_trigger=SLICE_FILES if slices else REPLAY_FILES)
     stream = (stream.withColumnRenamed("ts", "event_time")
                     .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
     q = start_window_job(stream.withColumns(extra or {}), aggs=aggs, size=size,

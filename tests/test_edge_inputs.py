@@ -69,6 +69,22 @@ def test_replay_of_a_folder_equals_the_file(spark, scratch):
     assert sorted(map(tuple, D.q_stream_ordered_replay(spark, sf).collect())) == want
 
 
+def test_time_slices_grow_with_the_table_in_files_of_many_tasks(spark, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    monkeypatch.setattr(D, "SLICE_ROWS", events.count() // 5 + 1, raising=False)
+    path, seconds = D.time_slices(events, "ts", 3)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("ts"), F.max("ts"),
+                                                                     F.count("ts")).collect()
+    assert len(files) > 20 and max(r[3] for r in files) < events.count() / 10
+    folder = path.removeprefix("file:")
+    age = lambda r: os.stat(f"{folder}/{os.path.basename(r[0])}").st_mtime_ns // 10 ** 6
+    files.sort(key=age)
+    for one, other in zip(files, files[1:]):
+        assert (one[2] - other[1]).total_seconds() < seconds       # in order, but for one slice
+    rows = spark.read.parquet(path)
+    assert rows.exceptAll(events).count() == events.exceptAll(rows).count() == 0
+
+
 def test_unordered_replay_in_several_batches_fails_loudly(spark, scratch, monkeypatch):
     sf = _in_parts(spark, f"{scratch}/sf")
     monkeypatch.setattr(D, "REPLAY_FILES", 1)
