@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the document contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -49,6 +50,21 @@ def tidy(run: Callable, keep: bool = False) -> Callable:
     return tidied
 
 
+def map_table(df: DataFrame, run: Callable, fields: list[T.StructField]) -> DataFrame:
+    """``df`` through ``run``, a function from Arrow batches to lists of arrays in
+    the order of ``fields``. Columns go by place, so any names will do, with dots
+    or twice."""
+    places = [f"o{i}" for i in range(len(fields))]
+
+    def batches(given):
+        for arrays in run(given):
+            yield pa.RecordBatch.from_arrays(arrays, places)
+
+    schema = T.StructType([T.StructField(p, f.dataType) for p, f in zip(places, fields)])
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(tidy(batches), schema).toDF(*(f.name for f in fields))
+
+
 def hash_sample(df: DataFrame, turn: Column, n: int, total: int, *ties: str,
                 over: int = 4) -> DataFrame:
     """The ``n`` rows of smallest 64-bit hash ``turn`` (added as a column;

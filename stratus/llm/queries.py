@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, pii, quality, token_store, warc
+from stratus.llm import bpe, pii, quality, token_store, toxicity, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.hamming_index import nearest
@@ -18,8 +18,8 @@ from stratus.llm.ngram_join import near_duplicates
 from stratus.session import scratch_path
 
 
-#: Scores from here on count as good.
-GOOD = 0.7
+#: Scores from here on count as good, or as toxic.
+GOOD, TOXIC = 0.7, 0.3
 
 
 def quality_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -107,6 +107,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    model = toxicity.fit(table(spark, sf_dir, "documents"), labels)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py``, one after another."""
     import corpus_pipeline              # it uses this module
@@ -124,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_toxicity": op13_toxicity,
     "pipeline": pipeline,
 }
 

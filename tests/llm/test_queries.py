@@ -23,12 +23,14 @@ COLUMNS = {
     8: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     9: "doc_id bigint, n_shingles bigint, component_id bigint",
     10: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    13: "doc_id bigint, held_out boolean, score double, predicted int, "
+        "evidence array<struct<id:string,cosine:double,label:int>>",
 }
 
 
 def test_registered():
     assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == sorted(COLUMNS)
     assert "pipeline" in QUERIES
 
 
