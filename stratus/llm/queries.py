@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, pii, quality, token_store, toxicity, warc
+from stratus.llm import bpe, pii, quality, token_store, toxicity, vector_codes, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.hamming_index import nearest
@@ -107,6 +107,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~quality.held_out())
     model = toxicity.fit(table(spark, sf_dir, "documents"), labels)
@@ -133,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
     "op13_toxicity": op13_toxicity,
     "pipeline": pipeline,
 }
@@ -146,6 +154,7 @@ SQL: dict[str, str] = {
                    FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op12_vector_codes": vector_codes.oracle(),
     # DuckDB's to_base gives digits 0-9A-V for base 32
     "op7_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
