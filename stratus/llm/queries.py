@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, pii, quality, token_store, toxicity, vector_codes, warc
+from stratus.llm import bpe, pii, prefix_trie, quality, token_store, toxicity, vector_codes, warc
 from stratus.llm.common import table
 from stratus.llm.exact_dedup import mark_copies
 from stratus.llm.hamming_index import nearest
@@ -107,6 +107,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_label_error(codes).select(
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
     "op13_toxicity": op13_toxicity,
     "pipeline": pipeline,
@@ -154,6 +159,7 @@ SQL: dict[str, str] = {
                    FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_vector_codes": vector_codes.oracle(),
     # DuckDB's to_base gives digits 0-9A-V for base 32
     "op7_warc": r"""

@@ -23,6 +23,8 @@ COLUMNS = {
     8: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     9: "doc_id bigint, n_shingles bigint, component_id bigint",
     10: "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    11: "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, "
+        "n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     12: "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     13: "doc_id bigint, held_out boolean, score double, predicted int, "
         "evidence array<struct<id:string,cosine:double,label:int>>",
@@ -40,12 +42,12 @@ def test_columns_rows_and_sql(spark, name):
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == COLUMNS[int(name[2:].split("_")[0])]
-    tables = {"op2": "embeddings", "op12": "embeddings", "op3": "pages", "op7": "pages"}
+    tables = {"op2": "embeddings", "op12": "embeddings", "op11": "conversations", "op3": "pages", "op7": "pages"}
     table = tables.get(name.split("_")[0], "documents")
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF, t)}.parquet')")
-    if table != "embeddings":
+    if table not in ("embeddings", "conversations"):
         assert len(rows) == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     if name in SQL:
         cur = con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})")
