@@ -1,6 +1,6 @@
 """Job entry point: ``python -m stratus <command>`` (or via spark-submit).
 
-    ingest  --raw CSV --out DIR [--rejected DIR]
+    ingest  --raw CSV --out DIR [--rejected DIR] [--strict]
     batch   JOB|all --obs DIR (--out DIR [--format parquet] |
             --jdbc-url URL [--jdbc-table T] [--jdbc-prop k=v ...]) [--scale N]
             [--order-by COLUMN[:desc] ...]
@@ -45,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--raw", required=True)
     i.add_argument("--out", required=True)
     i.add_argument("--rejected")
+    i.add_argument("--strict", action="store_true", help="set lines aside that do not fit")
 
     b = sub.add_parser("batch")
     b.add_argument("job", choices=[*W.BATCH_JOBS, "all"])
@@ -82,7 +83,7 @@ def main(argv=None) -> int:
     a = _parser().parse_args(argv)
     spark = build_session(a.master, app=f"stratus-{a.cmd}")
     if a.cmd == "ingest":
-        counts = W.ingest(spark, a.raw, a.out, a.rejected)
+        counts = W.ingest(spark, a.raw, a.out, a.rejected, a.strict)
         print(counts)
         return 0
     if a.cmd == "batch":

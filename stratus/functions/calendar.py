@@ -3,6 +3,9 @@ season and season-year attribution, season → month predicates."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,24 @@ def parse_time(c, pattern: str = TIME_PATTERN) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(pattern))
 
 
+def parse_time_any(c, patterns: Sequence[str]) -> tuple[Column, Column]:
+    """(time, reason) of a text: the first of ``patterns`` that fits gives the time.
+    Patterns with a zone give UTC instants. Where none fits the time is NULL and the
+    reason says why: ``missing`` (NULL), ``empty`` (blank), ``not a time`` (it has the
+    shape of a pattern, as far as digits go, but no such time exists) or ``unknown
+    format``."""
+    text = F.trim(_c(c))
+    time = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
+    # digits and letters of a text, against those of the patterns
+    shape = F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "Z$|[+-]99:?99$", "")
+    shapes = [re.sub("[A-Za-z]", "9", re.sub("[XxZ]+$", "", p.replace("'T'", "T")).replace("T", "\0"))
+              .replace("\0", "T") for p in patterns]
+    reason = (F.when(time.isNotNull(), F.lit(None).cast("string")).when(text.isNull(), "missing")
+              .when(text == "", "empty").when(shape.isin(*shapes), "not a time")
+              .otherwise("unknown format"))
+    return time, reason
+
+
 def to_event_time(df: DataFrame, col: str, pattern: str = TIME_PATTERN) -> Column:
     """Return ``col`` as a TIMESTAMP (LTZ) column whatever its stored type.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stratus.functions.calendar import (
     DAY_END_HOUR, DAY_START_HOUR, TIME_PATTERN, calendar_features, day_flag,
-    parse_time, season_of, season_year,
+    parse_time, parse_time_any, season_of, season_year,
 )
 from stratus.functions.numeric import flag
 
@@ -53,10 +53,14 @@ def enrich(df: DataFrame, *, time_col: str = "datetime", entity_col: str = "city
            flags: Mapping[str, Column] | None = None,
            drop: Iterable[str] = DROPPED_COLUMNS,
            day_hours: tuple[int, int] = (DAY_START_HOUR, DAY_END_HOUR),
-           time_pattern: str = TIME_PATTERN) -> DataFrame:
+           time_pattern: str | Sequence[str] = TIME_PATTERN,
+           reason_col: str | None = None) -> DataFrame:
     """Parse time, trim the entity name, convert units, add calendar parts,
     day/night flag, season, season-year and boolean flags; drop columns.
 
+    ``time_pattern`` may be several patterns, tried in order. With ``reason_col``,
+    rows keep the reason why their time did not parse (see ``parse_time_any``).
+
     One narrow projection — no shuffle. Rows whose time does not parse keep a
     NULL time and NULL calendar parts; split them off with :func:`quarantine`
     before writing (they would otherwise land in a NULL partition).
@@ -65,7 +69,13 @@ def enrich(df: DataFrame, *, time_col: str = "datetime", entity_col: str = "city
     # text is parsed; TIMESTAMP and TIMESTAMP_NTZ columns keep their type
     out = df
     if isinstance(df.schema[time_col].dataType, T.StringType):
-        out = df.withColumn(time_col, parse_time(time_col, time_pattern))
+        patterns = [time_pattern] if isinstance(time_pattern, str) else time_pattern
+        time, reason = parse_time_any(time_col, patterns)
+        if isinstance(time_pattern, str):
+            time = parse_time(time_col, time_pattern)
+        out = df.withColumns({time_col: time} | ({reason_col: reason} if reason_col else {}))
+    elif reason_col:
+        out = df.withColumn(reason_col, F.when(F.col(time_col).isNull(), "missing"))
     if entity_col:
         out = out.withColumn(entity_col, F.trim(F.col(entity_col)))
     out = convert_units(out, conversions)

@@ -16,6 +16,8 @@ SQL oracle bit for bit.
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,9 @@ from stratus.operators.rules import flood_rule, heat_rule, wind_rule
 from stratus.functions.calendar import utc_wall_clock
 from stratus.functions.numeric import mean_exact
 from stratus.operators.windows import latest_per_window, pane_sliding_stats
-from stratus.session import delete_path, materialize, scratch_path
+from stratus.session import (
+    delete_path, list_files, materialize, scratch_path, set_file_time,
+)
 from stratus.sinks.writers import batch_sink
 from stratus.sources.events import read_event_stream
 from stratus.sources.tables import event_observations, shipment_observations, table
@@ -358,42 +362,56 @@ def q_entity_baseline(spark, sf):
 
 # --- the same jobs as streams -------------------------------------------------
 
-#: Files that one micro-batch of a replay takes at most.
-REPLAY_FILES = 1000
-#: Time slices of an ordered replay at least, rows of one on average at most, and
-#: its files.
+#: Slices of an ordered replay at least, rows of one on average at most, and its files.
 REPLAY_SLICES, SLICE_ROWS, SLICE_FILES = 3, 4_000_000, 8
 
 
-def time_slices(events: DataFrame, time_col: str, n: int) -> tuple[str, int]:
+def time_slices(events: DataFrame, time_col: str, n: int, files: int = SLICE_FILES
+                ) -> tuple[str, int]:
     """Write ``events`` as ``n`` or, in a large table, more successive time
-    slices into one folder, the earliest first, so that a file stream reads them in
-    that order. Returns the folder and the slice length in seconds.
+    slices (folders ``slice_no=0`` …) of at most ``files`` files each, for a file
+    stream that reads the earliest first. Returns the folder and the slice length
+    in seconds.
 
-    The table is dealt out by time once; each slice then is read from its own
-    folder and written by ``SLICE_FILES`` tasks."""
+    One job writes all slices. A file stream goes by modification time, so the
+    files then get times in the order of their slices; in a store that keeps none, each
+    slice is written again in turn. Rows without a time go to the first slice."""
     spark = events.sparkSession
-    first, last, rows = events.agg(F.min(time_col), F.max(time_col), F.count(time_col)).first()
-    path = scratch_path(spark, "slices")
-    if not first:
-        events.write.parquet(path)
-        return path, 1
+    first, last, rows = events.agg(F.min(time_col), F.max(time_col), F.count(F.lit(1))).first()
     n = max(n, -(-rows // SLICE_ROWS))
-    seconds = int((last - first).total_seconds()) // n + 1
+    seconds = int((last - first).total_seconds()) // n + 1 if first else 1
     at = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
                   - F.unix_micros(F.lit(first).cast("timestamp"))) / (seconds * 1_000_000))
-    order = [F.col(time_col), F.xxhash64(*events.columns)]         # equal times spread
-    dealt = scratch_path(spark, "dealt")
-    (events.repartitionByRange(n * SLICE_FILES, *order).withColumn("slice_no", at.cast("int"))
-     .write.partitionBy("slice_no").parquet(dealt))
-    parts = spark.read.parquet(dealt)
-    for i in range(n):
-        (parts.where(F.col("slice_no") == i).drop("slice_no")
-         .repartitionByRange(SLICE_FILES, *order).write.mode("append").parquet(path))
-    delete_path(spark, dealt)
+    dealt = (events.withColumn("slice_no", F.coalesce(at, F.lit(0)).cast("int"))
+             .withColumn("_file", F.pmod(F.xxhash64(*events.columns), F.lit(files))))
+    path = scratch_path(spark, "slices")
+    (dealt.repartition(n * files, "slice_no", "_file").drop("_file")
+     .write.partitionBy("slice_no").parquet(path))
+    start = int(time.time() * 1000) - 1000 * (n + 1)
+    for file in list_files(spark, path):
+        if not set_file_time(spark, file, start + 1000 * int(re.search(r"slice_no=(\d+)", file)[1])):
+            return _write_in_turn(spark, path, n, files), seconds
     return path, seconds
 
 
+def _write_in_turn(spark: SparkSession, path: str, n: int, files: int) -> str:
+    again = scratch_path(spark, "slices")
+    slices = spark.read.parquet(path)
+    for i in range(n):
+        (slices.where(F.col("slice_no") == i).repartition(files)
+         .write.mode("append").partitionBy("slice_no").parquet(again))
+    delete_path(spark, path)
+    return again
+
+
+def slice_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = SLICE_FILES
+                 ) -> DataFrame:
+    """File stream over :func:`time_slices`, a slice's files a micro-batch."""
+    return read_event_stream(spark, "files", path=path, file_format="parquet",
+                             file_schema=T.StructType([*schema.fields]).add("slice_no", T.IntegerType()),
+                             max_per_trigger=files).drop("slice_no")
+
+
 def _stream_replay(spark, sf, size, aggs, *, transform=None, columns, extra_keys=(),
                    extra=None, slices=0):
     """Replay ``events`` as a file stream (``availableNow``) through the
@@ -402,22 +420,24 @@ def _stream_replay(spark, sf, size, aggs, *, transform=None, columns, extra_keys
     the alert jobs do) into an idempotent Parquet sink in the shared folder —
     and return the last emission of every window.
 
-    The table may be a file or a folder of files. A micro-batch takes at most
-    ``REPLAY_FILES`` of them; a table so large that it needs more than one
-    should be replayed in time order: with ``slices`` it is dealt into that many
-    successive slices or more first, about one micro-batch each, and the watermark
-    covers the disorder inside a slice. Rows that come too late for their windows fail
-    the replay, they are never dropped unseen."""
+    The table may be a file or a folder of files. One of at most ``SLICE_ROWS`` rows is
+    one micro-batch, unless ``slices`` asks for more; a larger one is dealt into
+    successive time slices first, each about a micro-batch, and the watermark covers
+    the disorder inside a slice. So a micro-batch is bounded at any size, and no row
+    comes too late for its windows; should one, the replay fails with the
+    number of such rows, as they are never dropped unseen."""
     run = scratch_path(spark, "replay")
     events = table(spark, sf, "events")
-    # written as a pattern, which a file stream takes for a file and for a folder
-    path, watermark = f"{sf.rstrip('/')}/events.{{parquet}}", "5 minutes"
+    slices = max(slices, 2 if events.count() > SLICE_ROWS else 0)
     if slices:
         path, seconds = time_slices(events, "ts", slices)
         watermark = f"{seconds} seconds"
-    stream = read_event_stream(spark, "files", path=path, file_format="parquet",
-                               file_schema=events.schema,
-                               max_per_trigger=SLICE_FILES if slices else REPLAY_FILES)
+        stream = slice_stream(spark, path, events.schema)
+    else:
+        # written as a pattern, which a file stream takes for a file and for a folder
+        path, watermark = f"{sf.rstrip('/')}/events.{{parquet}}", "5 minutes"
+        stream = read_event_stream(spark, "files", path=path, file_format="parquet",
+                                   file_schema=events.schema)
     stream = (stream.withColumnRenamed("ts", "event_time")
                     .withColumn("k", F.get_json_object("props", "$.k").try_cast("int")))
     q = start_window_job(stream.withColumns(extra or {}), aggs=aggs, size=size,

@@ -39,7 +39,9 @@ from stratus.operators.rules import flood_rule, heat_rule, wind_rule
 from stratus.session import materialize
 from stratus.sinks.contracts import CONTRACTS, conform
 from stratus.sinks.writers import batch_sink, write_observations
-from stratus.sources.observations import read_observations, read_observations_csv
+from stratus.sources.observations import (
+    read_observations, read_observations_csv, split_corrupt,
+)
 from stratus.streaming.runner import start_window_job
 
 CITY = "city_name"
@@ -52,14 +54,21 @@ BASELINE_YEARS = (1990, 1999)
 # --------------------------------------------------------------------------- ingest
 
 def ingest(spark: SparkSession, raw_path: str, out_path: str,
-           rejected_path: str | None = None) -> dict:
+           rejected_path: str | None = None, strict: bool = False) -> dict:
     """Raw CSV → enriched, year/month-partitioned Parquet; returns row counts.
 
     One pass over the raw files: rows and rejected rows (time does not
     parse) are counted with an ``Observation`` while the valid rows are
     written. Only when rejects exist and ``rejected_path`` is given does a
-    second pass write them there (instead of a NULL partition)."""
-    raw = read_observations_csv(spark, raw_path)
+    second pass write them there (instead of a NULL partition).
+
+    By default a number that does not parse is NULL and a short line's fields are. With
+    ``strict`` such lines are no rows: ``rejected_path`` gets them as they came (``lines``)
+    beside the rows without a time (``times``), and ``corrupt`` counts them."""
+    if strict:
+        raw, lines = split_corrupt(read_observations_csv(spark, raw_path, corrupt="_line"), "_line")
+    else:
+        raw, lines = read_observations_csv(spark, raw_path), None
     metrics = Observation("ingest")
     enriched = enrich(raw).observe(
         metrics, F.count(F.lit(1)).alias("rows"),
@@ -67,9 +76,17 @@ def ingest(spark: SparkSession, raw_path: str, out_path: str,
     good, _ = quarantine(enriched)
     write_observations(good, out_path)
     counts = dict(metrics.get)
-    if rejected_path and counts.get("rejected"):
-        _, bad = quarantine(enrich(read_observations_csv(spark, raw_path)))
-        bad.write.mode("overwrite").parquet(rejected_path)
+    times = rejected_path
+    if strict:
+        counts["corrupt"] = lines.count()
+        counts["rows"] += counts["corrupt"]
+        if rejected_path:
+            times = f"{rejected_path}/times"
+            lines.write.mode("overwrite").text(f"{rejected_path}/lines")
+    if times and counts.get("rejected"):
+        again = raw if strict else read_observations_csv(spark, raw_path)
+        _, bad = quarantine(enrich(again, reason_col="time_error") if strict else enrich(again))
+        bad.write.mode("overwrite").parquet(times)
     return counts
 
 

@@ -66,20 +66,56 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A fresh path under :func:`shared_folder`, removed when the application
     ends."""
     path = f"{shared_folder(spark).rstrip('/')}/stratus-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that :func:`scratch_path` named, once nothing reads it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder inside the shared store."""
+    old, files = _file_system(spark, source)
+    new, _ = _file_system(spark, target)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files below ``path`` (names that begin with _ or . are not)."""
+    root, files = _file_system(spark, path)
+    found, each = [], files.listFiles(root, True)
+    while each.hasNext():
+        item = each.next().getPath()
+        if item.getName()[0] not in "_.":
+            found.append(item.toString())
+    return sorted(found)
+
+
+def set_file_time(spark: SparkSession, path: str, millis: int) -> bool:
+    """Set a file's modification time; False where the store does not keep it."""
+    target, files = _file_system(spark, path)
+    files.setTimes(target, millis, -1)
+    return files.getFileStatus(target).getModificationTime() // 1000 == millis // 1000
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.session import delete_path, path_exists
 from stratus.sinks.contracts import conform
 
 
@@ -93,3 +96,78 @@ def batch_sink(fmt: str, options: Mapping[str, str] | None = None, *, mode: str
         finally:
             out.unpersist()
     return _sink
+
+
+def replace_partition(df: DataFrame, path: str, **values: int | str) -> None:
+    """Replace one partition (``year=1996, month=3``) of a table that
+    :func:`write_observations` wrote, and nothing else.
+
+    A row of another partition fails the job before anything is replaced (dynamic
+    overwrite would silently replace that row's partition too). Without rows the
+    partition is removed."""
+    inside = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in values.items()])
+    place = "/".join(f"{c}={v}" for c, v in values.items())
+    if df.isEmpty():
+        delete_path(df.sparkSession, f"{path}/{place}")
+        return
+    checked = df.withColumns({c: F.when(inside, F.col(c)).otherwise(F.raise_error(F.lit(
+        f"a row lies outside {place}")).cast(df.schema[c].dataType)) for c in values})
+    write_observations(checked, path, partition_cols=tuple(values))
+
+
+def write_ordered(df: DataFrame, path: str, by: Sequence[str], *, files: int | None = None) -> None:
+    """Write ``df`` sorted by ``by`` (``name`` or ``name:desc``) as files whose ranges do
+    not overlap: file order and position in a file are the order of the table.
+    Each task sorts one range; rows equal in ``by`` are in one file."""
+    sorts = [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_first()
+             for c, _, way in (item.partition(":") for item in by)]
+    dealt = df.repartitionByRange(files, *sorts) if files else df.repartitionByRange(*sorts)
+    (dealt.sortWithinPartitions(*sorts).write.mode("overwrite")
+     .option("maxRecordsPerFile", 0).parquet(path))
+
+
+def read_ordered(spark: SparkSession, path: str, out: str = "row_no") -> DataFrame:
+    """The rows that :func:`write_ordered` wrote with their place in the whole order
+    (``out``, from 1), from file and position alone: nothing is sorted again. One count a
+    file is added up; the counts are broadcast."""
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)     # one row a file
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (rows.join(F.broadcast(starts), "_file")
+            .withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_file", "_at", "_start"))
+
+
+LEDGER = "batch_id long, computed_at timestamp"
+
+
+def once_per_batch(sink: Callable[[DataFrame, int], None], ledger: str,
+                   stamp_col: str = "computed_at") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that hands every batch id to ``sink`` once.
+
+    ``foreachBatch`` is at least once: after a failure a batch comes again. A batch that
+    the ledger holds is skipped, also an empty one. Its entry is written after the
+    sink, so a batch that failed in between comes to the sink a second time: with an
+    idempotent sink each row is stored once in every case. Rows get the
+    batch's processing time in ``stamp_col``, later than that of all entries before it
+    even when the clock steps back, so stamps order the batches."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entries = read_ledger(spark, ledger)
+        if not entries.where(F.col("batch_id") == batch_id).isEmpty():
+            return
+        last = entries.agg(F.max(F.unix_micros("computed_at"))).first()[0] or 0
+        stamp = F.timestamp_micros(F.lit(max(time.time_ns() // 1000, last + 1)))
+        sink(batch.withColumn(stamp_col, stamp), batch_id)
+        (spark.range(1).select(stamp.alias("computed_at"))
+         .write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}"))
+    return run
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """The batches that a :func:`once_per_batch` sink has stored, and when."""
+    if not path_exists(spark, ledger):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger).select("batch_id", "computed_at")

@@ -5,7 +5,7 @@ chooses the source."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,37 @@ def parse_events(df: DataFrame, value_col: str = "value",
     return df.withColumn(out, F.from_json(F.col(value_col).cast("string"), schema))
 
 
+def accept_payloads(records: DataFrame, schema: T.StructType = EVENT_SCHEMA,
+                    fields: Mapping[str, str] = EVENT_FIELDS, required: Sequence[str] = ("name",),
+                    value_col: str = "value", keep: Sequence[str] = ()
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Records with a binary (or text) JSON payload as (accepted, rejected).
+
+    Accepted rows hold ``keep`` and the payload's ``fields`` as columns. Rejected
+    ones hold ``keep``, the payload as it came and a ``reason``: ``no payload``, ``not
+    UTF-8``, ``not JSON`` (also an array or a bare value), ``wrong type`` (a declared
+    field holds another type) or ``no <path>`` for the first required path without
+    a value. One projection over the records, batch or stream: each branch filters it.
+    """
+    raw = F.col(value_col)
+    text = F.try_validate_utf8(raw.cast("string"))
+    whole = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    parsed = F.from_json(text, whole, {"columnNameOfCorruptRecord": "_line"})
+    # JSON that Spark reads as a document of any kind, to tell it from none
+    any_kind = F.try_parse_json(text)
+    reason = (F.when(raw.isNull(), "no payload").when(text.isNull(), "not UTF-8")
+              .when(any_kind.isNull() | ~F.schema_of_variant(any_kind).startswith("OBJECT"),
+                    "not JSON")
+              .when(F.col("_data._line").isNotNull(), "wrong type"))
+    for path in required:
+        reason = reason.when(F.col(f"_data.{path}").isNull(), f"no {path}")
+    marked = records.withColumn("_data", parsed).withColumn("_reason", reason)
+    accepted = flatten_event(marked.where("_reason IS NULL"), fields, "_data", tuple(keep))
+    rejected = marked.where("_reason IS NOT NULL").select(
+        *keep, F.col(value_col), F.col("_reason").alias("reason"))
+    return accepted, rejected
+
+
 def flatten_event(df: DataFrame, fields: Mapping[str, str] = EVENT_FIELDS,
                   struct: str = "data", keep: tuple[str, ...] = ()) -> DataFrame:
     """Project nested payload paths to top-level columns."""

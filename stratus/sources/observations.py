@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.session import materialize
+
 # Columns of the raw hourly CSV that the operators read, with the type they
 # are used as. Any other CSV column passes through as text.
 RAW_HOURLY_TYPES = {
@@ -35,7 +37,7 @@ RAW_HOURLY_TYPES = {
 
 def read_observations_csv(spark: SparkSession, path: str | list[str],
                           types: dict | None = None, sep: str = ",",
-                          infer_other: bool = False) -> DataFrame:
+                          infer_other: bool = False, corrupt: str | None = None) -> DataFrame:
     """Read raw delimited observations with a header row.
 
     No inference pass over the data: every column is read as text and the
@@ -47,6 +49,11 @@ def read_observations_csv(spark: SparkSession, path: str | list[str],
     parses them. ``infer_other`` gives columns outside ``types`` the type
     that Spark infers, at the price of a pass over the data; otherwise they
     stay text.
+
+    ``corrupt`` names a column that keeps the raw line of every row that does not
+    fit: too few or too many fields, or text that is not of its column's type
+    (null in rows that fit). Spark looks at the columns that a query reads and at no
+    others, so use :func:`split_corrupt`, which parses whole lines once.
     """
     types = RAW_HOURLY_TYPES if types is None else types
     reader = (spark.read.option("header", True).option("sep", sep)
@@ -55,6 +62,11 @@ def read_observations_csv(spark: SparkSession, path: str | list[str],
     if infer_other and set(raw.columns) - set(types):
         guessed = reader.option("inferSchema", True).csv(path).schema
         types = {f.name: f.dataType for f in guessed} | types
+    if corrupt:
+        stated = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in raw.columns])
+        return (reader.schema(stated.add(corrupt, T.StringType()))
+                .option("inferSchema", False).option("columnNameOfCorruptRecord", corrupt)
+                .option("columnPruning", False).csv(path))
     cols = []
     for name in raw.columns:
         dt = types.get(name)
@@ -65,11 +77,27 @@ def read_observations_csv(spark: SparkSession, path: str | list[str],
     return raw.select(*cols)
 
 
+def split_corrupt(raw: DataFrame, corrupt: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit, raw lines that don't) of a CSV read with ``corrupt``.
+
+    The parsed rows are written once, so the text is parsed once, and a query
+    of the raw lines alone sees what the parse of whole lines found."""
+    parsed = materialize(raw, "parsed")
+    bad = F.col(f"`{corrupt}`")
+    return parsed.where(bad.isNull()).drop(corrupt), parsed.where(bad.isNotNull()).select(bad)
+
+
 def read_observations(spark: SparkSession, path: str, years: Iterable[int] | None = None,
-                      months: Iterable[int] | None = None) -> DataFrame:
-    """Read the enriched table. ``years``/``months`` become partition filters
-    (directories outside them are never listed into tasks)."""
+                      months: Iterable[int] | None = None,
+                      between: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """Read the enriched table. ``years``, ``months`` and ``between`` (first and last
+    (year, month)) become partition filters (directories outside them are never
+    listed into tasks)."""
     df = spark.read.parquet(path)
+    if between is not None:
+        (y0, m0), (y1, m1) = between
+        df = df.filter(F.col("year").between(y0, y1)).filter(
+            (F.col("year") * 100 + F.col("month")).between(y0 * 100 + m0, y1 * 100 + m1))
     if years is not None:
         df = df.filter(F.col("year").isin(*list(years)))
     if months is not None:

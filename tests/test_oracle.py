@@ -8,8 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from stratus.plans.driver import QUERIES
-from stratus.plans.oracle import SQL
+from stratus.plans import QUERIES, SQL
 from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "

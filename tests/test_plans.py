@@ -4,7 +4,7 @@ broadcast side, and scans read only the needed columns."""
 
 import pytest
 
-from stratus.plans.driver import QUERIES as Q
+from stratus.plans import QUERIES as Q
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
