@@ -12,8 +12,8 @@ will do):
               little-endian uint32), bits (the codes, high bit first; each
               text starts on a byte).
 
-Steps: encode texts to ids and write them; count ids over the whole corpus
-(per-task histograms, summed; at most one count per vocabulary entry reaches
+Steps: encode texts to ids and write them, with each task's histogram of ids in the
+same write; sum the histograms (at most one count per vocabulary entry reaches
 the driver); code lengths by package-merge; code every text, deal the codes
 out by ranges of the document id and pack each range into blocks.
 
@@ -51,8 +51,9 @@ MARK = 128
 #: Bits of the longest code, unless the ids that occur need more.
 LIMIT = 16
 END = 1
-#: Pieces whose ids a Python worker keeps in each of two generations.
-CACHE = 5 << 16
+#: Pieces whose ids a Python worker keeps: of Latin-1 texts in a table, which is emptied
+#: when full, and of other texts in each of two generations.
+TABLE, CACHE = 1 << 20, 1 << 17
 #: Rows encoded at a time.
 ROWS = 512
 
@@ -68,8 +69,100 @@ PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ANY_CASE = (r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"
              r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The same pieces in lower-cased Latin-1, for Python's faster re.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]"
-                    r"|[^\x20\x09-\x0D\x85\xA0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_BLANKS, _LETTERS, _DIGITS = "\x20\x09-\x0D\x85\xA0", "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
+_LATIN = re.compile(f"[{_LETTERS}]+|{_CONTRACTION.pattern}|[{_DIGITS}]"
+                    f"|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
+#: Kind of each Latin-1 byte (a blank 0, a letter 1, a digit 2, another sign 3) and its
+#: lower case.
+_LOWER = bytes(ord(chr(i).lower()) if len(chr(i).lower().encode("latin-1", "ignore")) == 1 else i
+               for i in range(256))
+_KIND = np.array([0 if re.match(f"[{_BLANKS}]", c) else 1 if re.match(f"[{_LETTERS}]", c)
+                  else 2 if re.match(f"[{_DIGITS}]", c) else 3
+                  for c in map(chr, _LOWER)], np.uint8)
+#: Bytes of text that are taken apart at once, and of the longest piece in a table.
+_PART, _WIDE = 1 << 21, 24
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+class _Table:
+    """Ids of Latin-1 pieces of at most 24 bytes: open addressing, looked up for a whole
+    array of pieces at once. A key is the piece's bytes and its length, so it is exact."""
+
+    PROBES = 8
+
+    def __init__(self, entries: int):
+        slots = 1 << (2 * entries - 1).bit_length()
+        self.room, self.mask = entries, np.uint64(slots - 1)
+        self.length = np.zeros(slots, np.uint8)              # 0: free
+        self.keys = [np.zeros(slots, np.uint64) for _ in range(_WIDE // 8)]
+        self.start, self.count = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.long: dict[bytes, tuple[int, int]] = {}         # pieces without a place
+
+    def add_ids(self, ids: np.ndarray) -> int:
+        """Place of ``ids`` in the store of all ids."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used, np.uint32)])
+        self.flat[at:self.used] = ids
+        return at
+
+    def _slots(self, keys: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+        mixed = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for key, by in zip(keys, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+            mixed ^= key * np.uint64(by)
+            mixed ^= mixed >> np.uint64(29)
+        return mixed * np.uint64(0x9FB21C651E98DF25) >> np.uint64(20)
+
+    def find(self, keys: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+        """Slot of each piece, -1 where it has none."""
+        first, found = self._slots(keys, length), np.full(len(length), -1, np.int64)
+        left = np.arange(len(length))
+        for probe in range(self.PROBES):
+            at = (first[left] + np.uint64(probe)) & self.mask
+            held = self.length[at]
+            same = held == length[left]
+            for key, mine in zip(keys, self.keys):
+                same &= mine[at] == key[left]
+            found[left[same]] = at[same]
+            left = left[~same & (held > 0)]
+            if not len(left):
+                break
+        return found
+
+    def insert(self, keys: list[np.ndarray], length: np.ndarray, start: np.ndarray,
+               count: np.ndarray) -> None:
+        """Add pieces that are not there, each once; those that find no slot near
+        theirs are left out."""
+        first, left = self._slots(keys, length), np.arange(len(length))
+        for probe in range(self.PROBES):
+            at = (first[left] + np.uint64(probe)) & self.mask
+            free = np.flatnonzero(self.length[at] == 0)
+            slots, chosen = np.unique(at[free], return_index=True)
+            who = left[free[chosen]]
+            self.length[slots], self.start[slots], self.count[slots] = length[who], start[who], count[who]
+            for key, mine in zip(keys, self.keys):
+                mine[slots] = key[who]
+            left = np.setdiff1d(left, who, assume_unique=True)
+            if not len(left):
+                break
+        self.room -= len(length)
+
+
+class _Known(dict):
+    """Pieces and their ids. A new piece gets an empty place at once, which is filled
+    when it is learned, so every piece of a text is looked up just once."""
+
+    def __init__(self, old: dict):
+        self.old, self.new = old, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.new[key] = bytearray()
+        self[key] = found
+        return found
 
 
 class WordEncoder:
@@ -78,7 +171,8 @@ class WordEncoder:
     The tokenizer drops white space and encodes each piece (letters, a digit,
     other signs) alone, so texts are split into pieces; known pieces come from
     a cache, and new ones go through the library together, separated by
-    spaces, and are told apart by the end-of-word suffix of their last token.
+    spaces, and are told apart by the end-of-word suffix of their last token. Latin-1
+    texts are taken apart as arrays of bytes, with a table as the cache.
     Words in which normalising or special tokens could reach over a piece's edge
     are encoded whole.
     :meth:`check` refuses tokenizers of another kind."""
@@ -95,8 +189,8 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(True).items():
             self.last[i] = token.endswith(suffix)
         self.pieces = regex.compile(_ANY_CASE)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Known({})
+        self.table = _Table(TABLE)
 
     @staticmethod
     def check(spec: dict) -> None:
@@ -115,27 +209,24 @@ class WordEncoder:
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Ids of new pieces, from one call of the library (no offsets needed)."""
         ids = np.array(self.tokenizer.encode_batch_fast(
             [" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(new) or len(ids) != (ends[-1] if len(ends) else 0):
-            found = [self._whole(p) for p in new]
-        else:
-            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            found = [data[i:j] for i, j in zip(cuts, cuts[1:])]
-        self.known.update(zip(new, found))
+            return [self._whole(p) for p in new]
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def _keys(self, text: str) -> list[str]:
         """Pieces of a text; words that are encoded whole, with a space before."""
-        if "<|" not in text:
+        if "<|" not in text and "İ" not in text and is_normalized("NFC", text):
             try:
                 text.encode("latin-1")
-                return _LATIN.findall(text.lower())        # NFC; lower case sign by sign
+                return _LATIN.findall(text.lower())        # lower case sign by sign
             except UnicodeEncodeError:
-                if "İ" not in text and is_normalized("NFC", text):
-                    return self.pieces.findall(text)
+                return self.pieces.findall(text)
         keys: list[str] = []
         for word in _ASCII_BLANK.split(text):
             if "<|" in word or "İ" in word or not is_normalized("NFC", word):
@@ -145,38 +236,134 @@ class WordEncoder:
         return keys
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        keys = [self._keys(t) for t in texts]
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        part, size, other = [], 0, []
+        for i, text in enumerate(texts):
+            data = self._latin(text)
+            if data is None:
+                other.append(i)
+                continue
+            if part and size + len(data) > _PART:
+                self._encode_latin(part, out)
+                part, size = [], 0
+            part.append((i, data))
+            size += len(data) + 1
+        if part:
+            self._encode_latin(part, out)
+        for i, ids in zip(other, self._encode_any([texts[i] for i in other])):
+            out[i] = ids
+        return out
+
+    @staticmethod
+    def _latin(text: str) -> bytes | None:
+        """Lower-case bytes of a text in which every byte's kind tells the pieces (Latin-1 is
+        in NFC)."""
+        if "<|" in text:
+            return None
+        try:
+            data = text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return None
+        return None if b"'" in data and _CONTRACTION.search(data.decode("latin-1")) else data
+
+    def _encode_latin(self, part: list[tuple[int, bytes]], out: list) -> None:
+        data = b" ".join(d for _, d in part)
+        if self.table.room < 0:
+            self.table = _Table(TABLE)
+        table = self.table
+        kind = _KIND[np.frombuffer(data, np.uint8)]
+        edge = np.zeros(len(kind) + 1, bool)               # a piece ends or begins before it
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[:1] = edge[-1:] = True
+        digits = np.flatnonzero(kind == 2)
+        edge[digits] = edge[digits + 1] = True
+        edges = np.flatnonzero(edge)
+        start, end = edges[:-1], edges[1:]
+        solid = kind[start] > 0 if len(kind) else np.zeros(0, bool)
+        start, length = start[solid], (end - start)[solid]
+        padded = np.frombuffer(data + bytes(_WIDE + 8), np.uint8)
+        words = np.ndarray((len(data) + _WIDE,), "<u8", padded, 0, (1,))
+        keys = [words[start + 8 * i] & _MASKS[np.clip(length - 8 * i, 0, 8)]
+                for i in range(_WIDE // 8)]
+        slot = table.find(keys, length)
+        slot[length > _WIDE] = -1
+        lost = np.flatnonzero(slot < 0)
+        first, count = table.start[slot], table.count[slot].astype(np.int64)
+        if len(lost):
+            names = [data[s:s + n] for s, n in zip(start[lost].tolist(), length[lost].tolist())]
+            unknown = dict(zip(reversed(names), reversed(lost.tolist())))      # a place of each
+            new = [p for p in unknown if p not in table.long]
+            fresh: dict[bytes, tuple[int, int]] = {}
+            for at in range(0, len(new), 4096):
+                some = new[at:at + 4096]
+                got = self._learn([p.decode("latin-1") for p in some])
+                sizes = [len(x) // 4 for x in got]
+                base = table.add_ids(np.frombuffer(b"".join(got), "<u4"))
+                for p, n in zip(some, sizes):
+                    fresh[p] = (base, n)
+                    base += n
+            short = [p for p in new if len(p) <= _WIDE]
+            if short:
+                at = np.array([unknown[p] for p in short])
+                table.insert([k[at] for k in keys], length[at].astype(np.uint8),
+                             np.array([fresh[p][0] for p in short]),
+                             np.array([fresh[p][1] for p in short], np.int32))
+            table.long.update((p, v) for p, v in fresh.items() if len(p) > _WIDE)
+            table.room -= len(new) - len(short)
+            found = [fresh.get(p) or table.long[p] for p in names]
+            first[lost] = [f for f, _ in found]
+            count[lost] = [n for _, n in found]
+        before = np.concatenate([[0], np.cumsum(count)])
+        ids = table.flat[np.repeat(first - before[:-1], count) + np.arange(before[-1])]
+        sizes = np.array([len(d) + 1 for _, d in part])
+        cuts = before[np.searchsorted(start, np.cumsum(sizes) - sizes)].tolist() + [len(ids)]
+        for (i, _), a, b in zip(part, cuts, cuts[1:]):
+            out[i] = ids[a:b]
+
+    def _encode_any(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) >= CACHE:
-            self.old, self.known = self.known, {}
-        new = []
-        for key in set().union(*keys).difference(self.known):
-            if key in self.old:
-                self.known[key] = self.old[key]
-            elif key[0] == " ":
-                self.known[key] = self._whole(key[1:])
-            else:
-                new.append(key)
-        new.sort()
-        for at in range(0, len(new), 4096):
-            self._learn(new[at:at + 4096])
+            self.known = _Known(dict(self.known))          # the older half goes
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ks)), "<u4") for ks in keys]
-
-
-def _to_ids(spec, end: int, narrow: bool):
-    """Rows (doc_id, row, ids): ids with the end id, as little-endian bytes."""
+        parts = [list(map(get, self._keys(t))) for t in texts]
+        places, self.known.new = self.known.new, {}
+        whole = [k for k in places if k[0] == " "]
+        pieces = sorted(places.keys() - set(whole))
+        learned = list(zip(whole, (self._whole(k[1:]) for k in whole)))
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at:at + 4096]
+            learned += zip(some, self._learn(some))
+        for key, ids in learned:
+            places[key].extend(ids)
+            self.known[key] = ids
+        return [np.frombuffer(b"".join(p), "<u4") for p in parts]
+
+
+def _to_ids(spec, end: int, narrow: bool, places: int):
+    """Rows (doc_id, row, ids): ids with the end id, as little-endian bytes; then the
+    task's histogram in rows (token, n)."""
     kind = "<u2" if narrow else "<u4"
+    names = ["doc_id", "row", "ids", "token", "n"]
 
     def run(batches):
         encoder = worker_state(("words", hash(spec.value)), lambda: WordEncoder(spec.value))
+        counts, key = np.zeros(places, np.int64), pa.null()
         for batch in batches:
+            key = batch.schema.field(0).type
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                ids = [np.append(x, np.uint32(end)).astype(kind).tobytes()
+                ids = [np.append(x, np.uint32(end)).astype(kind)
                        for x in encoder.encode(some.column(2).to_pylist())]
+                counts += np.bincount(np.concatenate(ids), minlength=places)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(ids, pa.binary())],
-                    ["doc_id", "row", "ids"])
+                    [some.column(0), some.column(1),
+                     pa.array([x.tobytes() for x in ids], pa.binary()),
+                     pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names)
+        seen = np.flatnonzero(counts)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(seen), key), pa.nulls(len(seen), pa.int64()),
+                 pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(counts[seen])], names)
     return run
 
 # --------------------------------------------------------------------------- code
@@ -283,18 +470,6 @@ class Code:
 # --------------------------------------------------------------------------- writing
 
 
-def _histogram(kind: str, places: int):
-    def run(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros(places, np.int64)
-        for batch in batches:
-            for data in batch.column(0):
-                counts += np.bincount(np.frombuffer(data.as_buffer(), kind), minlength=places)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()),
-                                          pa.array(counts[at], pa.int64())], ["id", "n"])
-    return run
-
-
 class _Packer:
     """Collects coded pieces of one range and gives out blocks."""
 
@@ -361,14 +536,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     raw = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                       whole_text(text_col).alias("text"))
     ids_path = scratch_path(spark, "ids")
-    (raw.mapInArrow(_to_ids(spark.sparkContext.broadcast(spec), end, narrow),
-                    f"doc_id {id_type}, row long, ids binary")
+    (raw.mapInArrow(_to_ids(spark.sparkContext.broadcast(spec), end, narrow, places),
+                    f"doc_id {id_type}, row long, ids binary, token long, n long")
      .write.option("compression", "zstd").parquet(ids_path))
-    ids = spark.read.parquet(ids_path)
+    written = spark.read.parquet(ids_path)
+    ids = written.where("token IS NULL").select("doc_id", "row", "ids")
     counts = np.zeros(places, np.int64)
-    for row in (ids.select("ids").mapInArrow(_histogram(kind, places), "id long, n long")
-                .groupBy("id").agg(F.sum("n").alias("n")).collect()):    # at most the vocabulary
-        counts[row.id] = row.n
+    for row in (written.where("token IS NOT NULL").groupBy("token")
+                .agg(F.sum("n").alias("n")).collect()):                  # at most the vocabulary
+        counts[row.token] = row.n
     lengths = code_lengths(counts)
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "length": lengths[lengths > 0].astype(int)})
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")

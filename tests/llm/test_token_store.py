@@ -33,6 +33,60 @@ def test_words_encode_like_whole_texts():
         S.WordEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
 
 
+def test_table_that_fills_up_and_parts_of_a_text(monkeypatch):
+    """A table emptied again and again, crowded slots, and texts dealt over many parts."""
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 3, 8, 9, 16, 17, 23, 24, 25, 40])))
+             for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) + rng.choice(["", ".", "\x00", "12"])
+             for _ in range(400)] + ["", "\x00\x00 \x00", "it's", "a'sb", "l'eau d'or", "x' 'y", "''"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    spec = open(PATH, encoding="utf-8").read()
+    for entries, part, probes in ((1 << 20, 1 << 21, 8), (60, 700, 8), (500, 1, 1)):
+        monkeypatch.setattr(S, "TABLE", entries)
+        monkeypatch.setattr(S, "_PART", part)
+        monkeypatch.setattr(S._Table, "PROBES", probes)
+        encoder = S.WordEncoder(spec)
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(texts)] == want
+        first = encoder.table
+        if entries == 60:
+            encoder.encode(texts[:50])
+            assert encoder.table is not first or encoder.table.room >= 0
+
+
+def test_table_finds_exactly_what_was_put_in():
+    rng = np.random.default_rng(8)
+    keys = [rng.integers(0, 4, 3000).astype(np.uint64) for _ in range(3)]
+    length = rng.integers(1, 4, 3000).astype(np.uint8)
+    every = {k: i for i, k in enumerate(zip(*(c.tolist() for c in keys), length.tolist()))}
+    at = np.array(sorted(every.values()))
+    half = at[::2]
+    table = S._Table(4000)
+    table.insert([k[half] for k in keys], length[half], half, half.astype(np.int32))
+    slot = table.find([k[at] for k in keys], length[at])
+    inside = np.isin(at, half)
+    assert (slot[~inside] < 0).all() and (slot[inside] >= 0).all()
+    assert (table.start[slot[inside]] == at[inside]).all()
+
+
+def test_histograms_come_with_the_ids(spark):
+    """The codebook's lengths follow the counts of every id of the corpus."""
+    rows = [(i, "the quick brown fox it's " * (i % 7)) for i in range(40)]
+    path = scratch_path(spark, "store")
+    S.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, PATH)
+    t = Tokenizer.from_file(PATH)
+    counts = np.zeros(t.get_vocab_size(True), np.int64)
+    for _, text in rows:
+        for i in t.encode(text, add_special_tokens=False).ids + [1]:
+            counts[i] += 1
+    want = S.code_lengths(counts)
+    got = {r.id: r.length for r in spark.read.parquet(f"{path}/codebook").collect()}
+    assert got == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+
+
 def huffman_cost(counts):
     heap = [int(c) for c in counts if c]
     heapq.heapify(heap)
