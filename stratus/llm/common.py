@@ -50,6 +50,24 @@ def tidy(run: Callable, keep: bool = False) -> Callable:
     return tidied
 
 
+def numbered(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable]:
+    """``df`` with its columns named c0, c1, …, so that no helper column's name clashes
+    and dots don't matter; those names of ``cols``; and a function that gives a
+    result its columns and their names back."""
+    names = df.columns
+    inner = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return (inner, [f"c{names.index(c)}" for c in cols],
+            lambda out: out.select(*inner.columns).toDF(*names))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_table(df: DataFrame, run: Callable, fields: list[T.StructField]) -> DataFrame:
     """``df`` through ``run``, a function from Arrow batches to lists of arrays in
     the order of ``fields``. Columns go by place, so any names will do, with dots

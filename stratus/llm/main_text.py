@@ -15,7 +15,8 @@ link density. The best container is kept, widened to the article element
 around it. Without one, it is kept with those siblings that score a fifth of it,
 are a heading or read like text (under a quarter of it link text, however
 short) and with the text between them; so on for the siblings of its parent, as
-long as the parent's own text reads like text. Inside, lists and boxes that are mostly links are left out.
+long as the parent's own text reads like text. Outside of article elements, lists and boxes
+that are mostly links are left out.
 
 Character references are decoded; white space inside a block becomes one
 space; blocks are joined in page order by one space. Nothing else is dropped
@@ -23,20 +24,23 @@ or cut.
 
 Defined results: a null or empty page gives an empty text, as does one without
 article text; markup that never ends runs to the end of the page, a comment
-that never ends only to the next ``>``; repeated rows give repeated
+that never ends only to the next ``>``, and a quote that never ends is a sign like any other; repeated rows give repeated
 results; other columns pass through. Work and memory are linear in the page.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, deque
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stratus.llm.common import map_table
+
 # --- Fixed values: elements and name words of HTML pages -----------------------
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark "
                    "nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
@@ -70,6 +74,7 @@ P_ENDS = frozenset("address article aside blockquote center dd details dialog di
                    "main menu nav ol p pre search section summary table tbody td tfoot th thead "
                    "tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WALLS = frozenset("article main body table".split())
 TAG_POINTS = {"article": 25, "main": 25, "div": 5, "section": 2, "pre": 3, "td": 3,
               "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "th": -5}
 # -------------------------------------------------------------------------------
@@ -85,10 +90,11 @@ SHARES = (1.0, 0.5, 1 / 3, 1 / 4, 1 / 5)
 #: only mentions a part (has-sidebar), or is that of a part (sidebar).
 MENTIONS, NAMES = 2 / 3, 0.95
 
-_TOKEN = re.compile(
-    r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?:(?P<attrs>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|[^>]*(?:>|\Z))"
-    r"|<!--(?:.*?--!?>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)|<!--|<[!?/][^>]*(?:>|\Z)")
+_COMMENT_END = re.compile(r"--!?>")
+#: The end of a tag, or a quoted value in it.
+_IN_TAG = re.compile(r">|=\s*([\"'])")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAMES = re.compile(r"[a-z]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -97,7 +103,7 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     __slots__ = ("tag", "parent", "parts", "size", "links", "commas", "own", "own_links",
                  "score", "candidate", "article", "soft", "share", "nested", "proper", "points",
-                 "holds", "gone")
+                 "holds", "gone", "depth", "within")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
@@ -107,6 +113,8 @@ class Node:
         self.nested = False           # inside an article element
         self.proper = False           # an article or main element without a name of WORDS
         self.points, self.holds, self.gone = 0.0, False, False
+        self.depth = 0                # place among the open elements
+        self.within = False           # an article or main element stands inside
 
     def density(self) -> float:
         return self.links / self.size if self.size else 0.0
@@ -160,31 +168,78 @@ class Tree:
         self.inlines: Counter[str] = Counter()        # open inline elements of the block
         self.top: Node | None = None  # the part set aside that is open
         self.inside: Counter[str] = Counter()         # its open elements
-        at = 0
-        lower = None
+        # the open elements, and the places among them of each tag, of those that
+        # stray end tags don't pass and of those that end a search in a part set aside
+        self.path = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+        self.solid: list[int] = []
+        self.unquoted: set[str] = set()               # quotes that don't occur any more
+        at, comments = 0, True
         for m in iter(lambda: _TOKEN.search(page, at), None):
             if m.start() > at:
                 self._text(page[at:m.start()])
             at = m.end()
-            name = m["name"]
-            if name is None:
+            if m[0] == "<!--":
+                end = _COMMENT_END.search(page, at) if comments else None
+                comments = end is not None
+                at = end.end() if end else page.find(">", at) + 1 or len(page)
+                continue
+            if m["name"] is None:
                 continue
-            tag = name.lower()
+            attrs, at = self._rest_of_tag(page, at)
+            tag = m["name"].lower()
             if m["close"]:
                 self._close(tag)
                 continue
             if tag in RAW:
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == len(page) else None
-                end = (lower or page).find(f"</{tag}", at)
-                if not (m["attrs"] or "").rstrip().endswith("/"):
-                    at = len(page) if end < 0 else end
+                if not attrs.rstrip().endswith("/"):
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.start() if end else len(page)
                 self._text(" ")
                 continue
-            self._open(tag, m["attrs"] or "")
+            self._open(tag, attrs)
         if at < len(page):
             self._text(page[at:])
 
+    def _rest_of_tag(self, page: str, start: int) -> tuple[str, int]:
+        """A tag's attributes and where it ends. A quote that never ends is a sign
+        like any other."""
+        at = start
+        while (m := _IN_TAG.search(page, at)) and m[0] != ">":
+            at, quote = m.end(), m[1]
+            if quote not in self.unquoted:
+                end = page.find(quote, at)
+                if end < 0:
+                    self.unquoted.add(quote)
+                else:
+                    at = end + 1
+        return (page[start:m.start()], m.end()) if m else (page[start:], len(page))
+
+    def _enter(self, node: Node) -> None:
+        node.depth = len(self.path)
+        self.path.append(node)
+        self.at[node.tag].append(node.depth)
+        if node.tag in WALLS:
+            self.walls.append(node.depth)
+        if node.tag not in INLINE and node.tag not in ("address", "div", "p"):
+            self.solid.append(node.depth)
+        self.here = node
+
+    def _leave(self, parent: Node) -> None:
+        """End all that is open inside ``parent``."""
+        while self.path[-1] is not parent:
+            node = self.path.pop()
+            self.at[node.tag].pop()
+            for places in (self.walls, self.solid):
+                if places and places[-1] == node.depth:
+                    places.pop()
+        self.here = parent
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of ``tags``; 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
     def _text(self, text: str) -> None:
         if self.top is not None:
             if self.top.tag != "head" or not text.strip():
@@ -214,7 +269,7 @@ class Tree:
             if tag not in VOID:
                 self.inside[tag] += 1
                 if tag not in INLINE:
-                    self.here = Node(tag, self.here)
+                    self._enter(Node(tag, self.here))
             return
         if tag == "br" or tag == "hr":
             self.here.parts.append(" ")
@@ -227,8 +282,8 @@ class Tree:
         if tag != "form" and (aside or named and (
                 tag in INLINE or tag == "p" or tag in HEADINGS)):
             self.here.parts.append(" ")
-            self.top = self.here = Node(tag, self.here)
-            self.inside = Counter([tag])
+            self._enter(Node(tag, self.here))
+            self.top, self.inside = self.here, Counter([tag])
             return
         if tag in INLINE:
             self.inlines[tag] += 1
@@ -245,7 +300,7 @@ class Tree:
             _judge(node, attributes, named)
         self.here.parts.append(node)
         self.nodes.append(node)
-        self.here = node
+        self._enter(node)
 
     def _imply(self, tag: str) -> None:
         """End tags that a start tag implies."""
@@ -258,18 +313,17 @@ class Tree:
             self._up(node)
         if tag not in CLOSES:
             return
-        node, steps = self.here, 0
-        while node.parent is not None and steps < 512:
-            if node.tag in CLOSES[tag]:
-                while node.parent.tag in CLOSES[tag]:
-                    node = node.parent
-                self._up(node)
-                return
-            if node.tag == "table" or tag not in ROWS and (node.tag in LISTS or (
-                    self.top is not None and node.tag not in INLINE
-                    and node.tag not in ("address", "div", "p"))):
-                return
-            node, steps = node.parent, steps + 1
+        found, stop = self._last(CLOSES[tag]), self._last(("table",))
+        if tag not in ROWS:
+            stop = max(stop, self._last(LISTS))
+            if self.top is not None and self.solid:
+                stop = max(stop, self.solid[-1])
+        if not found or stop > found:
+            return
+        node = self.path[found]
+        while node.parent.tag in CLOSES[tag]:
+            node = node.parent
+        self._up(node)
 
     def _up(self, node: Node) -> None:
         """End ``node`` and what is open in it."""
@@ -280,10 +334,10 @@ class Tree:
                 if at is self.top:
                     self.top = None
                 at = at.parent
-            self.here = at
             if at is node.parent:
+                self._leave(at)
                 return
-        self.here = node.parent
+        self._leave(node.parent)
         self.link = 0
         self.inlines.clear()
 
@@ -291,30 +345,27 @@ class Tree:
         if tag in INLINE:
             self._close_inline(tag)
             return
-        node, steps = self.here, 0
-        if node.tag in HEADINGS and tag in HEADINGS:
-            tag = node.tag
+        if self.here.tag in HEADINGS and tag in HEADINGS:
+            tag = self.here.tag
         if self.top is not None:
             if self.inside[tag] > 0:
-                while node.tag != tag:
-                    node = node.parent
-                self._up(node)
+                self._up(self.path[self._last((tag,))])
                 return
             if tag in ("body", "html"):
                 self._up(self.top)
-                node = self.here
             elif self.inside["table"] > 0:
                 return                                # a stray end tag
-            else:
-                node = self.top.parent
-        while node.parent is not None and steps < 512:
-            if node.tag == tag:
-                self._up(node)
-                return
-            if node.tag in ("article", "main", "body", "table") and tag not in (
-                    "article", "main", "body", "html", "table"):
-                return                                # a stray end tag
-            node, steps = node.parent, steps + 1
+        found = self._last((tag,))
+        # nor does one end what stands around an article
+        if found and (tag in WALLS or tag == "html" or not self._walls_above(found)):
+            self._up(self.path[found])
+
+    def _walls_above(self, place: int) -> bool:
+        """Whether an article, main, body or table stands open inside ``place``, apart
+        from the part that is set aside."""
+        limit = self.top.depth if self.top is not None else len(self.path)
+        i = bisect_left(self.walls, limit)
+        return i > 0 and self.walls[i - 1] > place
 
     def _close_inline(self, tag: str) -> None:
         if self.top is not None:
@@ -340,6 +391,7 @@ def _measure(nodes: list[Node]) -> None:
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.links += node.links
+            node.parent.within |= node.within or node.tag in ("article", "main")
 
 
 def _points(node: Node) -> float:
@@ -404,17 +456,6 @@ def _kept(node: Node, best: Node, floor: float) -> bool:
             and node.density() < LINKED)
 
 
-def _has_article(node: Node) -> bool:
-    held = [node]
-    while held:
-        for part in held.pop().parts:
-            if isinstance(part, Node) and not part.gone:
-                if part.tag in ("article", "main"):
-                    return True
-                held.append(part)
-    return False
-
-
 def _collect(start: Node, out: list[str] | deque[str]) -> None:
     held: list = [start]
     while held:
@@ -423,11 +464,12 @@ def _collect(start: Node, out: list[str] | deque[str]) -> None:
             out.append(part)
             continue
         if part is not start:
-            if part.gone or part.soft and not _has_article(part):
+            if part.gone or part.soft and not part.within:
                 out.append(" ")
                 continue
-            if (part.tag in ("ul", "ol", "dl", "div", "section", "table") and part.size
-                    and part.density() > 0.5):
+            # inside an article, what is no part of it is set aside by name or kind
+            if (not part.article and part.tag in ("ul", "ol", "dl", "div", "section", "table")
+                    and part.size and part.density() > 0.5):
                 continue
         out.append(" ")
         held.append(" ")
@@ -485,14 +527,12 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with its HTML column replaced by ``out``, the main text."""
     at = pages.columns.index(html_col)
-    fields = [f for f in pages.schema.fields if f.name not in (html_col, out)]
-    places = [pages.columns.index(f.name) for f in fields]
+    places = [i for i, f in enumerate(pages.schema.fields) if i != at and f.name.lower() != out.lower()]
+    fields = [*(pages.schema.fields[i] for i in places), T.StructField(out, T.StringType())]
 
     def run(batches):
         for batch in batches:
             texts = [main_text(p.as_py()) for p in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in places), pa.array(texts, pa.string())],
-                [*(f.name for f in fields), out])
+            yield [*(batch.column(i) for i in places), pa.array(texts, pa.string())]
 
-    return pages.mapInArrow(run, T.StructType(list(fields)).add(out, T.StringType()))
+    return map_table(pages, run, fields)

@@ -150,6 +150,75 @@ def test_time_is_linear():
         assert time.process_time() - start < 8
 
 
+def test_raw_elements_in_capitals_beside_letters_that_grow():
+    """Lower case of the first letter has two signs."""
+    for sign in "Iİ":
+        page = f"<article><SCRIPT>var x = '<p>no</p>';</SCRIPT><p>{sign} {LONG}</p></article>"
+        assert main_text(page) == f"{sign} {LONG}"
+        assert main_text(f"{sign}<StYle>no</sTYLE ><article><p>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("depth", [3, 505, 520, 3000])
+def test_end_tags_close_what_stands_around_any_depth(depth):
+    junk = f"<div class=x><a href=/>{LONG}</a></div>"
+    assert main_text(f"<article><p>{LONG}</p>{'<div>' * depth}</article>{junk}") == LONG
+    assert main_text(f"<ul><li>a{'<div>' * depth}b</ul><article><p>{LONG}</p></article>") == LONG
+    page = f"<article><ul><li>x{'<div>' * depth}<li>{LONG}</ul>{P}</article>"
+    assert main_text(page) == f"x {LONG} {LONG}"
+
+
+def test_cited_links_of_an_article_stay():
+    links = "<ul><li><a href=1>one source</a></li><li><a href=2>another</a></li></ul>"
+    assert main_text(f"<article><p>{LONG}</p>{links}</article>") == f"{LONG} one source another"
+    named = links.replace("<ul>", "<ul class='related links'>")
+    assert main_text(f"<article>{P * 3}{named}<nav>{links}</nav></article>") == " ".join([LONG] * 3)
+
+
+QUOTES = [
+    (f"<article><p title='x>{LONG}</p></article>", LONG),
+    (f'<article><p title="a>b" class=\'c"d\'>{LONG}</p></article>', LONG),
+    (f"<article><p don't>{LONG}</p><p \">{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><p a= 'x>y' b='>{LONG}</p></article>", LONG),
+]
+
+
+@pytest.mark.parametrize("page,text", QUOTES)
+def test_quotes_in_tags(page, text):
+    assert main_text(page) == text
+
+
+ODD = ["<!-- >", "İ<script></script>", "<svg/>", '<a x=">" y=', "<a b=\"'>", "<a \"'", "<ul><li>",
+       "<li><div>", "<table><tr><td>", "<h1><h2>", "<p class=ad><p>", "<!", "<a<", "<a x=' ", "&"]
+
+
+@pytest.mark.parametrize("piece", ODD)
+def test_repeated_odd_markup_takes_linear_time(piece):
+    """Twice the page, about twice the time."""
+    times = []
+    for n in (10000, 20000, 40000):
+        start = time.process_time()
+        main_text(piece * n)
+        times.append(time.process_time() - start)
+    assert times[2] < 8 and times[2] < 4 * times[1] + 0.3
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20000 + "</article>" * 20000, "<div>" * 20000 + "</p>" * 20000,
+    "<nav>" + "<div><li>" * 20000, "<nav>" + "<div>" * 20000 + "</p>" * 20000,
+    "<form>" * 20000 + "<article><p>x</p></article>"])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 5
+
+
+def test_dotted_and_repeated_column_names(spark):
+    df = spark.createDataFrame([(1, f"<p>{LONG}</p>", "x", "y")], "page_id long, html string, `a.b` string, `Text` string")
+    got = extract(df)
+    assert got.columns == ["page_id", "a.b", "text"]
+    assert got.first()[-1] == LONG and got.first()["a.b"] == "x"
+
+
 def test_tables(spark):
     rows = [(i, "u", p, "own", 1) for i, (p, _) in enumerate(CASES)] + [(0, None, "x", "own", 2)] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
