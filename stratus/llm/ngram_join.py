@@ -4,7 +4,7 @@ once per pair; linked texts form components.
 
 A text is the set of its distinct n-grams (64-bit hashes of lower-cased word
 runs). All sets are ordered the same way, rare n-grams first: by a count
-sketch of fixed size over the whole corpus, then by hash. Two sets that reach the
+sketch of bounded size over the whole corpus, then by hash. Two sets that reach the
 threshold share an n-gram in their first ``n - ceil(t n) + 1``.
 
 1. Equal texts are one node (smallest id); copies are never paired.
@@ -17,7 +17,9 @@ threshold share an n-gram in their first ``n - ceil(t n) + 1``.
    Verified links join components. A group of near copies thus costs pairs in
    proportion to its size, not to its square.
 4. The last step is exact: all pairs of a group whose members are still in
-   different components, less those verified before.
+   different components, less those verified before. Pairs arise between classes (an n-gram's
+   members of one size and position) that pass the filters, so texts of one template that
+   cannot link don't meet at all, however many there are.
 
 Filters on a pair with a common n-gram at positions i and j: length (sizes
 within t of each other), position (from the n-gram on there is room for the
@@ -27,8 +29,8 @@ the smaller parts). None loses a pair.
 
 Text is read for the profile, for the prefixes, and for the sets of those nodes
 that are in a pair which passed all filters (for each of steps 3 and 4); these
-rows are picked by a filter of fixed size, whose false hits a join removes.
-Nothing that grows with the corpus is broadcast.
+rows are picked by a filter whose false hits a join removes. Sketch and filter grow with the
+number of texts up to a fixed size; nothing else of the corpus is broadcast.
 
 Defined results: null, empty and blank texts have no n-grams and link with
 nothing, not even each other; a text of fewer than ``n`` words is one n-gram;
@@ -38,6 +40,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +57,16 @@ from stratus.session import materialize
 
 WORDS = 4
 PERCENT = 85
-#: Places of the count sketch, and rows that carry it.
-SKETCH, PARTS = 1 << 20, 64
+#: Places of the count sketch at least and at most (four a document in between), and
+#: rows that carry it.
+SKETCH, SKETCH_MOST, PARTS = 1 << 20, 1 << 24, 64
 #: Parts into which the suffix filter cuts a set.
 PIVOTS = 64
-#: Bits of the row filter of the third pass.
-FILTER = 1 << 26
+#: Bits of the row filter of the third pass at least and at most (32 a wanted text in
+#: between); beyond that it lets more texts through than it must, and loses none.
+FILTER, FILTER_MOST = 1 << 20, 1 << 31
+#: Members of a class that meet those of another in one key.
+CHUNK = 1024
 #: Kinds of centres: the earliest, and so many random ones less one.
 STARS = 3
 #: Rows whose words are held in Python at a time.
@@ -103,8 +110,12 @@ def digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _place(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
+def power_of_two(wanted: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(wanted - 1, 0).bit_length()))
+
+
+def _place(grams: np.ndarray, places: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - (places.bit_length() - 1))).astype(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -118,17 +129,17 @@ def _texts(batches: Iterator[pa.RecordBatch]):
             yield some.column(0), [words_of(t) for t in some.column(1).to_pylist()]
 
 
-def _profile(n: int):
+def _profile(n: int, places: int):
     """Rows (doc_id, digest, n) and, at the end, the task's count sketch."""
     def run(batches):
-        counts = np.zeros(SKETCH, "<i4")
-        schema, width = None, SKETCH // PARTS
+        counts = np.zeros(places, "<i4")
+        schema, width = None, places // PARTS
         for ids, docs in _texts(batches):
             sizes = []
             for words in docs:
                 grams = ngrams(words, n)
                 sizes.append(len(grams))
-                counts[_place(grams)] += 1        # places of one text may meet: counted once
+                counts[_place(grams, places)] += 1        # places of one text may meet: counted once
             nothing = pa.nulls(len(docs), pa.int32())
             batch = pa.RecordBatch.from_arrays(
                 [ids, pa.array([digest(w) for w in docs], pa.binary()),
@@ -146,10 +157,10 @@ def _profile(n: int):
 
 
 def _add_counts(part: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(SKETCH // PARTS, "<i8")
+    total = np.zeros(1, "<i8")
     for frame in frames:
         for data in frame["counts"]:
-            total += np.frombuffer(data, "<i4")
+            total = total + np.frombuffer(data, "<i4")
     yield pd.DataFrame({"part": [part[0]],
                         "counts": [np.minimum(total, 2 ** 31 - 1).astype("<i4").tobytes()]})
 
@@ -163,7 +174,7 @@ def _prefixes(n: int, percent: int, sketch):
             for i, words in enumerate(docs):
                 grams = ngrams(words, n)
                 if len(grams):
-                    order = np.lexsort((grams, counts[_place(grams)]))
+                    order = np.lexsort((grams, counts[_place(grams, len(counts))]))
                     first = grams[order[:prefix_length(len(grams), percent)]]
                     bins = np.bincount((grams & np.uint64(PIVOTS - 1)).astype(np.int64),
                                        minlength=PIVOTS)
@@ -184,19 +195,21 @@ def _prefixes(n: int, percent: int, sketch):
     return run
 
 
-def _filter_bits(key: np.ndarray) -> list[np.ndarray]:
+def _filter_bits(key: np.ndarray, size: int) -> list[np.ndarray]:
     """Four bit numbers of each 16-byte digest."""
     low, high = key[:, 0], key[:, 1]
-    return [((low + np.uint64(i) * high) % np.uint64(FILTER)).astype(np.int64) for i in range(4)]
+    return [((low + np.uint64(i) * high) % np.uint64(size)).astype(np.int64) for i in range(4)]
 
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marks(size: int):
     """Words (64 bits) of the row filter that the batch's digests set."""
-    for batch in batches:
-        if len(batch):
-            key = np.frombuffer(b"".join(batch["digest"]), "<u8").reshape(-1, 2)
-            bit = np.unique(np.concatenate(_filter_bits(key)))
-            yield pd.DataFrame({"word": bit >> 6, "bits": np.left_shift(np.int64(1), bit & 63)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                key = np.frombuffer(b"".join(batch["digest"]), "<u8").reshape(-1, 2)
+                bit = np.unique(np.concatenate(_filter_bits(key, size)))
+                yield pd.DataFrame({"word": bit >> 6, "bits": np.left_shift(np.int64(1), bit & 63)})
+    return run
 
 
 def _sets(n: int, marks):
@@ -210,7 +223,7 @@ def _sets(n: int, marks):
             keys = [digest(w) for w in docs]
             key = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
             hit = np.ones(len(docs), bool)
-            for bit in _filter_bits(key):
+            for bit in _filter_bits(key, 64 * len(field)):
                 hit &= (field[bit >> 6] >> (bit & 63)) & 1 == 1
             for i in np.flatnonzero(hit):
                 yield pa.RecordBatch.from_arrays(
@@ -265,11 +278,12 @@ class NgramJoin:
 
     def profile(self) -> tuple[DataFrame, np.ndarray]:
         """(rows doc_id, digest, n; count sketch of all n-grams)."""
+        places = power_of_two(4 * self.docs.count(), SKETCH, SKETCH_MOST)
         both = materialize(self.docs.mapInArrow(
-            tidy(_profile(self.n)), f"doc_id {self.id_type}, digest binary, n int, part int, "
+            tidy(_profile(self.n, places)), f"doc_id {self.id_type}, digest binary, n int, part int, "
             "counts binary"), "profile")
-        counts = np.zeros(SKETCH, "<i4")
-        width = SKETCH // PARTS
+        counts = np.zeros(places, "<i4")
+        width = places // PARTS
         for row in (both.where("part is not null").select("part", "counts").groupBy("part")
                     .applyInPandas(_add_counts, "part int, counts binary").collect()):
             counts[row.part * width:(row.part + 1) * width] = np.frombuffer(row.counts, "<i4")
@@ -297,8 +311,9 @@ class NgramJoin:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, grams) of the nodes ``wanted`` (node, digest)."""
-        field = np.zeros(FILTER // 64, "<i8")
-        marks = (wanted.select("digest").mapInPandas(_marks, "word long, bits long")
+        size = power_of_two(32 * wanted.count(), FILTER, FILTER_MOST)
+        field = np.zeros(size // 64, "<i8")
+        marks = (wanted.select("digest").mapInPandas(_marks(size), "word long, bits long")
                  .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
         field[marks["word"].to_numpy()] = marks["bits"].to_numpy()
         found = self.docs.mapInArrow(
@@ -351,16 +366,59 @@ class NgramJoin:
                 .groupBy("node", "kind").agg(F.max_by("c", F.struct("m", "c")).alias("c")))
         return most.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
+    def class_pairs(self, classes: DataFrame) -> DataFrame:
+        """Pairs of an n-gram's classes (n, pos) whose members pass the length and
+        positional filters, each once. Sizes within the threshold of each other
+        are in the same range of sizes or in adjacent ones."""
+        step = math.log(100 / self.percent) + 1e-6
+        size = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+        ranged = classes.withColumn("range", size)
+        other = ranged.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("n", "pos", "m", "lo", "hi")],
+                              F.explode(F.array(*[F.col("range") + i for i in (-1, 0, 1)])).alias("range"))
+        one, two = F.struct("n", "pos"), F.struct("n_b", "pos_b")
+        return (ranged.join(other, ["gram", "range"]).where(
+            _room(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), self.percent)
+            & (one <= two) & ((one < two) | (F.col("m") > 1))
+            & ((F.col("lo") != F.col("hi")) | (F.col("lo_b") != F.col("hi_b"))
+               | (F.col("lo") != F.col("lo_b"))))
+            .select("gram", "n", "pos", "m", "n_b", "pos_b", "m_b"))
+
     def all_pairs(self, members: DataFrame) -> DataFrame:
-        """Every pair that shares a prefix n-gram across components."""
+        """Every pair that shares a prefix n-gram across components and passes the length
+        and positional filters.
+
+        Members of an n-gram with one size and position are a class. Which classes can
+        pair is found from their counts, so members that no other can meet, however
+        many share the n-gram, never meet. A large class is dealt into chunks, and
+        each pair of chunks is a key of its own."""
         mixed = (members.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("gram"))
         open_ = materialize(members.join(mixed, "gram"), "open")
-        other = open_.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label")])
-        return (open_.join(other, "gram").where(
-            (F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b"))
-            & _room(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), self.percent))
-            .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+        classes = materialize(open_.groupBy("gram", "n", "pos").agg(
+            F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")), "classes")
+        chunks = lambda m: F.ceil(F.col(m) / CHUNK).cast("int")
+        pairs = materialize(
+            self.class_pairs(classes).withColumn("chunks", chunks("m")).withColumn("chunks_b", chunks("m_b"))
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("chunk_b", F.explode(F.sequence(F.lit(0), F.col("chunks_b") - 1)))
+            .select("gram", "n", "pos", "chunk", "n_b", "pos_b", "chunk_b"), "classpairs")
+        dealt = open_.join(classes.select("gram", "n", "pos", "m"), ["gram", "n", "pos"]).withColumn(
+            "chunk", F.pmod(F.xxhash64("node"), chunks("m")).cast("int"))
+        # members of classes that pair at all
+        able = pairs.select("gram", "n", "pos", "chunk").unionByName(pairs.select(
+            "gram", F.col("n_b").alias("n"), F.col("pos_b").alias("pos"),
+            F.col("chunk_b").alias("chunk"))).distinct()
+        dealt = materialize(dealt.join(able, ["gram", "n", "pos", "chunk"], "left_semi")
+                            .select("gram", "n", "pos", "chunk", "node", "label"), "dealt")
+        other = dealt.select("gram", *[F.col(c).alias(f"{c}_b")
+                                       for c in ("n", "pos", "chunk", "node", "label")])
+        met = (dealt.join(pairs, ["gram", "n", "pos", "chunk"])
+               .join(other, ["gram", "n_b", "pos_b", "chunk_b"])
+               .where((F.col("label") != F.col("label_b"))
+                      & ((F.col("n") != F.col("n_b")) | (F.col("pos") != F.col("pos_b"))
+                         | (F.col("node") < F.col("node_b")))))
+        return met.select(F.least("node", "node_b").alias("a"),
+                          F.greatest("node", "node_b").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         """One row per row of the input: doc_id, n_shingles, component_id."""

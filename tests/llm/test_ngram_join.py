@@ -82,6 +82,50 @@ def test_other_parameters(spark, rows):
         rows, 2, 60)
 
 
+TEMPLATE = "please sign in to read the rest of this page"
+
+
+def test_texts_of_a_template_do_not_meet(spark):
+    """No two link, so no pair of classes passes, and the join is empty at any number."""
+    for n in (200, 400):
+        join = J.NgramJoin(spark.createDataFrame(
+            [(i, f"{TEMPLATE} {i}", "", 0) for i in range(n)], SCHEMA))
+        _, sketch = join.profile()
+        members = join.members(join.nodes(sketch)).withColumn("label", J.F.col("node"))
+        assert members.count() == n
+        assert join.all_pairs(members).count() == 0
+        classes = members.groupBy("gram", "n", "pos").agg(
+            J.F.count("*").alias("m"), J.F.min("label").alias("lo"), J.F.max("label").alias("hi"))
+        assert join.class_pairs(classes).count() == 0
+
+
+def test_templates_of_several_lengths(spark):
+    """Classes of different sizes and positions that do pair, beside those that don't."""
+    random.seed(8)
+    long = TEMPLATE + " which goes on with more words of the same kind until it is over"
+    rows = [(i, f"{random.choice([TEMPLATE, long, long + ' x'])} {i % 37}", "", 0) for i in range(90)]
+    rows += [(100 + i, f"{i % 9} {long} {i % 5} {long[:40]}", "", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk, stars in ((1024, 3), (4, 0), (4, 3)):
+        keep, J.CHUNK = J.CHUNK, chunk
+        try:
+            got = J.near_duplicates(df, stars=stars).collect()
+        finally:
+            J.CHUNK = keep
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_small_filters_and_sketches_lose_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(J, "FILTER", 64)
+    monkeypatch.setattr(J, "FILTER_MOST", 64)
+    monkeypatch.setattr(J, "SKETCH", 64)
+    monkeypatch.setattr(J, "SKETCH_MOST", 64)
+    df = spark.createDataFrame(rows[:100], SCHEMA)
+    got = J.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows[:100])
+    assert [J.power_of_two(x, 4, 64) for x in (0, 4, 5, 33, 10 ** 9)] == [4, 4, 8, 64, 64]
+
+
 def test_empty_and_blank_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert J.near_duplicates(none).count() == 0
