@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.llm.common import BLANK, whole_text
+from stratus.llm.common import BLANK, numbered, whole_text
 from stratus.session import materialize
 
 #: Misra-Gries counters, and so the most winners that are ever broadcast.
@@ -112,13 +112,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Copies of frequent texts go map side. The others are removed by an anti
     join with the (digest, id) pairs to drop. Only texts whose winning id is
     repeated need their rows brought together."""
-    marked, winners = _split(docs, id_col, text_col, k)
+    inner, (id_col, text_col), back = numbered(docs, id_col, text_col)
+    marked, winners = _split(inner, id_col, text_col, k)
     fate = materialize(_decide(marked, winners), "fate").withColumnRenamed(
         "text_sha256", "_digest")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     frequent = F.broadcast(winners.select(F.col("digest").alias("_digest"),
                                           F.col("first.id").alias("_keep")))
-    out = (docs.withColumn("_digest", text_digest(text_col))
+    out = (inner.withColumn("_digest", text_digest(text_col))
            .join(frequent.withColumn("_frequent", F.lit(True)), "_digest", "left")
            .where(F.col("_frequent").isNull() | F.col(id_col).eqNullSafe(F.col("_keep"))))
     light = (fate.where(~same)
@@ -134,4 +135,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = (out.join(again, "_digest", "left_anti").unionByName(
             out.join(again, "_digest", "left_semi")
             .withColumn("_n", F.row_number().over(repeated)).where("_n = 1").drop("_n")))
-    return out.select(*docs.columns)
+    return back(out)

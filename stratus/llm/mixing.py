@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.llm.common import WORD, whole_text
+from stratus.llm.common import WORD, numbered, whole_text
 from stratus.session import materialize
 
 #: Weights of the sources in code point order, repeating.
@@ -132,7 +132,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents: each row of ``docs`` as often as the mix takes it
     (the document on which a budget ends counts whole, as texts are never
     cut). Rows without words, which no budget reaches, are left out."""
-    taken = mix(docs, id_col, text_col, source_col, **options)
+    inner, (id_col, text_col, source_col), back = numbered(docs, id_col, text_col, source_col)
+    taken = mix(inner, id_col, text_col, source_col, **options)
     # rows that repeat with one id, source and size differ in the cut at most
     # at their last copy: the copies are dealt over them by their sum
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
@@ -141,7 +142,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"),
                     F.col("size").alias("_n"), "_times", "_rows").where("_times > 0"))
     plan = materialize(plan, "plan")
-    joined = (docs.withColumn("_size", word_count(text_col)).join(
+    joined = (inner.withColumn("_size", word_count(text_col)).join(
         plan, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s"))
         & (F.col("_size") == F.col("_n"))))
     if plan.where("_rows > 1").isEmpty():
@@ -150,8 +151,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nth = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(
             F.xxhash64(text_col))) - 1
     share = F.floor((F.col("_times") + F.col("_rows") - 1 - F.col("_nth")) / F.col("_rows"))
-    return (joined.withColumn("_nth", nth)
-            .withColumn("_copies", share.cast("int"))
-            .where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*docs.columns))
+    return back(joined.withColumn("_nth", nth)
+                .withColumn("_copies", share.cast("int"))
+                .where("_copies > 0")
+                .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

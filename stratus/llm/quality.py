@@ -16,7 +16,8 @@ reads every whole text, in the tasks that read the table.
 
 Defined results: a null or empty text has an empty vector and scores the
 bias; without labels all weights are 0 and every score is 0.5; a label of a
-missing document or a null label is not used; a repeated row scores the same.
+missing document or a null label is not used; of an id's texts the largest is learned from; a
+repeated row scores the same.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import hash_sample, tidy, whole_text, worker_state
+from stratus.llm.common import hash_sample, map_table, whole_text, worker_state
 from stratus.session import materialize
 
 BITS = 18
@@ -142,8 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
              .select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")))
     chosen = hash_sample(known, turn, sample, known.count(), "_id", "label")
     chosen = F.broadcast(materialize(chosen, "labelled"))      # at most ``sample`` rows
+    # an id that is repeated gives one row for each of its labels, whatever its rows
     texts = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
-             .join(chosen, "_id").select("turn", "label", "text"))
+             .join(chosen, "_id").groupBy("_id", "turn", "label").agg(F.max("text").alias("text"))
+             .select("turn", "label", "text"))
     vectors = materialize(texts.mapInPandas(
         lambda b: _vectors(b, bits),
         "turn long, label double, places array<long>, gram_values array<double>"), "vectors")
@@ -158,24 +161,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
           out: str = "score") -> DataFrame:
-    """``docs`` with ``out``: probability that the text is of good quality."""
+    """``docs`` with ``out``: probability that the text is of good quality. A column
+    of that name is replaced; all others, whatever their names, pass through."""
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
+    places = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() != out.lower()]
+    fields = [*(docs.schema.fields[i] for i in places), T.StructField(out, T.DoubleType())]
 
     def run(batches):
         w = shared.value
         for batch in batches:
             scores = []
             for text in batch.column(at):
-                places, values = features(text.as_py() or "", bits)
-                scores.append(float(logistic(w[places] @ values + w[-1])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
-                                             [*batch.schema.names, out])
+                hit, values = features(text.as_py() or "", bits)
+                scores.append(float(logistic(w[hit] @ values + w[-1])))
+            yield [*(batch.column(i) for i in places), pa.array(scores, pa.float64())]
 
-    schema = T.StructType(list(docs.schema.fields)).add(out, T.DoubleType())
-    return docs.mapInArrow(tidy(run), schema)
+    return map_table(docs, run, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

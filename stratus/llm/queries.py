@@ -22,12 +22,12 @@ from stratus.session import scratch_path
 GOOD, TOXIC = 0.7, 0.3
 
 
-def quality_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with ``score``; learned from labels outside the held-out part."""
+def quality_scores(docs: DataFrame, sf_dir: str, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``; learned from labels outside the held-out part."""
     spark = docs.sparkSession
     labels = table(spark, sf_dir, "labels").where(~quality.held_out())
     weights = quality.fit(table(spark, sf_dir, "documents"), labels)
-    return quality.score(docs, weights)
+    return quality.score(docs, weights, out=out)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
           evidence: str = "evidence") -> DataFrame:
     """``docs`` with ``out`` (probability that the text is toxic) and ``evidence``
     (id, cosine and label of the examples that voted, nearest first)."""
-    places = [i for i, f in enumerate(docs.schema.fields) if f.name not in (out, evidence)]
+    places = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in (out.lower(), evidence.lower())]
     fields = [*(docs.schema.fields[i] for i in places), T.StructField(out, T.DoubleType()),
               T.StructField(evidence, EVIDENCE)]
     at = docs.columns.index(text_col)

@@ -32,7 +32,7 @@ def test_stages_in_order(steps):
     norm = [" ".join((r[1] or "").replace("\t", " ").replace("\n", " ").split(" ")) for r in before]
     assert len(have) <= len(set(norm)) and set(have) <= set(before)
     rows = [(r.doc_id, r.text) for r in exact.collect()]
-    keep = {c for _, _, c in brute(rows)}
+    keep = {c for _, _, c in brute(rows, 5, 80)}
     assert {str(r.doc_id) for r in near.collect()} == keep and near.count() == len(keep)
     assert {tuple(r) for r in mix.collect()} <= {tuple(r) for r in near.collect()}
     counts = Counter(r.doc_id for r in mix.collect())
@@ -66,3 +66,38 @@ def test_odd_rows_pass_every_stage(spark):
     for _, stage in C.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
         stage(spark, df, SF).agg(F.count(F.lit(1))).first()
+
+
+#: Names that the operators use for columns of their own, and odd ones.
+HELPERS = ("_digest _keep _frequent _d _i _n _size _nth _copies _copy _times _s _rows _key _id _sha score "
+           "c0 c1 c9 digest row first keep_id kept group_size size taken target source_size part n node "
+           "label turn places vector component_id n_shingles a.b `a`b").split()
+
+
+def test_columns_of_any_name_pass_every_stage_unchanged(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", *HELPERS]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()
+    extra = [tuple(f"{h}:{r.doc_id}" for h in HELPERS) for r in docs]
+    rows = [(*r, *e) for r, e in zip(docs, extra)]
+    df = spark.createDataFrame([(r[0], r[1], *map(str, r[2:])) for r in rows], "doc_id long, text string, "
+                               + ", ".join(f"x{i} string" for i in range(len(names) - 2)))
+    df = C.materialize(df.toDF(*names))
+    given = {tuple(r) for r in df.collect()}
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.columns == names, name
+        kept = [tuple(r) for r in got.collect()]
+        assert kept and set(kept) <= given, name
+    assert C.tokens(spark, df, SF).count() == len(rows)
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    """200 words of which 4 apart are replaced: 176 of 216 five-word shingles in common."""
+    words = [f"w{i}" for i in range(200)]
+    copy = list(words)
+    for i in (20, 70, 120, 170):
+        copy[i] = f"z{i}"
+    other = [w if i % 9 else f"y{i}" for i, w in enumerate(words)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, copy, other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.near(spark, df, SF).collect()) == [0, 2]
