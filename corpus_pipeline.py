@@ -14,16 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratus.llm.common import fresh_name, numbered
 from stratus.llm.exact_dedup import drop_copies
 from stratus.llm.mixing import mixed_documents
 from stratus.llm.ngram_join import near_duplicates
 from stratus.llm.queries import GOOD, byte_bpe_digests, quality_scores
 from stratus.session import materialize
 
+#: Near copies: words of a shingle, and the least Jaccard similarity in percent.
+WORDS, SIMILAR = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    return quality_scores(docs, sf_dir).where(F.col("score") >= GOOD).select(*docs.columns)
+    score = fresh_name(docs, "score")
+    return quality_scores(docs, sf_dir, score).where(F.col(score) >= GOOD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +39,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the smallest doc_id (null
     last, then by text). Texts without words are in no group and stay."""
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"),
-                                             F.col("doc_id").alias("id"), text.alias("sha")))
-    groups = near_duplicates(keyed, id_col="_key")
+    inner, (doc_id, text), back = numbered(docs, "doc_id", "text")
+    sha = F.sha2(F.coalesce(text, F.lit("")), 256)
+    keyed = inner.withColumn("_key", F.struct(F.col(doc_id).isNull().alias("none"),
+                                              F.col(doc_id).alias("id"), sha.alias("sha")))
+    groups = near_duplicates(keyed, id_col="_key", text_col=text, n=WORDS, percent=SIMILAR)
     gone = (groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha")))
-    return keyed.join(gone, (F.col("_key.sha") == F.col("_sha"))
-                      & F.col("_key.id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    return back(keyed.join(gone, (F.col("_key.sha") == F.col("_sha"))
+                           & F.col("_key.id").eqNullSafe(F.col("_id")), "left_anti"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
