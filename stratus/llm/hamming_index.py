@@ -1,23 +1,25 @@
 """Nearest neighbours by multi-index hashing.
 
 Fitting (a bounded sample, ``SAMPLE`` rows of smallest id hash): principal
-axes, then a rotation that brings the signs of the rotated axes close to the
-values themselves (iterative quantisation). The signs are a code of up to 64
-bits. The radius is the Hamming distance within which ``COVER`` of the sample's
-true neighbours lie; neighbours in the whole table are nearer, so it covers
-at least as many there.
+axes, then ``ROTATIONS`` rotations, from different starts, that each bring the signs of the
+rotated axes close to the values themselves (iterative quantisation). The signs are a
+code of up to 64 bits for each rotation. The radius is the Hamming distance within which, by
+one code or another, ``COVER`` of the sample's true neighbours lie; neighbours in the
+whole table are nearer, so it covers at least as many there. Several codes need a
+smaller radius than one, so each retrieves far fewer rows.
 
 Search: codes are split into four substrings, each with a table from substring
 to rows. Two codes within radius ``r = 4a + b`` differ by at most ``a`` in one
 of the first ``b + 1`` substrings or by at most ``a - 1`` in one of the others,
-so probing those substrings' neighbourhoods retrieves every code in the radius;
-where fewer than k are found the radius grows until there are k. What is
-retrieved is ranked by distance on the original vectors, in double precision.
+so looking up those substrings' neighbourhoods in the tables retrieves every code in the
+radius; where fewer than k are found the radius grows until there are k. What any of the
+codes retrieves is ranked by distance on the original vectors, in double precision.
 
-At scale: rows are hashed into index blocks of about ``BLOCK_ROWS``, queries
-into blocks of ``QUERY_ROWS``; each pair of blocks is one group with tables of
-its own, so memory is bounded and equal vectors spread over blocks. Each group
-gives k rows per query at most; their best k are the result.
+At scale: vectors are shuffled once, to count an id once, and written. A task reads its
+part in index blocks of at most ``BLOCK_ROWS`` rows (and ``BLOCK_BYTES``) and builds
+the tables of each. Queries come in blocks of about ``QUERY_ROWS``, so what is broadcast is
+bounded; for each, one job maps the written vectors to k rows per query and index block, of
+which the best k are taken. Index vectors never move for it.
 
 Defined results: vectors that are null, zero, of another length than most or
 hold null or non-finite components take no part, nor do null ids; rows repeated
@@ -35,24 +37,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import hash_sample
-from stratus.session import materialize
+from stratus.llm.common import hash_sample, tidy
+from stratus.session import materialize, scratch_path
 
 SAMPLE = 8192
+#: Codes of a vector.
+ROTATIONS = 8
 #: Share of the sample's neighbours that the radius must hold.
-COVER = 0.96
+COVER = 0.95
 TUNE_QUERIES = 512
 ITERATIONS = 40
 TABLES = 4
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 26
+QUERY_ROWS = 1 << 15
 SEED = 7
 
 
 class Codes:
-    """Axes, rotation and radius learned from a sample."""
+    """Axes, rotations and radius learned from a sample."""
 
-    def __init__(self, sample: np.ndarray, k: int, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, k: int, seed: int = SEED, rotations: int = ROTATIONS):
         rng = np.random.default_rng(seed)
         self.mean = sample.mean(0)
         centred = sample - self.mean
@@ -60,20 +64,23 @@ class Codes:
         self.bits = min(64, sample.shape[1])
         axes = axes[:, ::-1][:, :self.bits]
         values = centred @ axes
-        turn = np.linalg.qr(rng.standard_normal((self.bits, self.bits)))[0]
-        for _ in range(ITERATIONS):
-            signs = np.where(values @ turn >= 0, 1.0, -1.0)
-            u, _, v = np.linalg.svd(signs.T @ values)
-            turn = (u @ v).T
-        self.projection = axes @ turn
+        self.projections = []
+        for _ in range(rotations):
+            turn = np.linalg.qr(rng.standard_normal((self.bits, self.bits)))[0]
+            for _ in range(ITERATIONS):
+                signs = np.where(values @ turn >= 0, 1.0, -1.0)
+                u, _, v = np.linalg.svd(signs.T @ values)
+                turn = (u @ v).T
+            self.projections.append(axes @ turn)
         self.radius = self._tune(sample, k)
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
-        bits = (vectors - self.mean) @ self.projection >= 0
-        packed = np.zeros((len(vectors), 8), np.uint8)
-        some = np.packbits(bits, axis=1, bitorder="little")
-        packed[:, :some.shape[1]] = some
-        return packed.view("<u8").ravel()
+        """Codes (rotations, rows)."""
+        out = np.zeros((len(self.projections), len(vectors)), "<u8")
+        for code, projection in zip(out, self.projections):
+            some = np.packbits((vectors - self.mean) @ projection >= 0, axis=1, bitorder="little")
+            code.view(np.uint8).reshape(len(vectors), 8)[:, :some.shape[1]] = some
+        return out
 
     def _tune(self, sample: np.ndarray, k: int) -> int:
         codes, far = self.encode(sample), []
@@ -81,7 +88,7 @@ class Codes:
             d = ((sample - sample[i]) ** 2).sum(1)
             d[i] = np.inf
             near = np.argsort(d, kind="stable")[:min(k, len(sample) - 1)]
-            far.append(np.bitwise_count(codes[near] ^ codes[i]))
+            far.append(np.bitwise_count(codes[:, near] ^ codes[:, i:i + 1]).min(0))
         far = np.sort(np.concatenate(far)) if far else np.zeros(0)
         return int(far[min(len(far) - 1, int(COVER * len(far)))]) if len(far) else 0
 
@@ -106,14 +113,14 @@ class MultiIndex:
         edges = [bits * i // tables for i in range(tables + 1)]
         self.widths = [b - a for a, b in zip(edges, edges[1:])]
         self.shifts = edges[:-1]
-        self.keys, self.rows, self.starts, self.slots = [], [], [], []
+        self.rows, self.starts, self.slots = [], [], []
+        self.lookups = 0                  # table places looked up so far
         for at, width in zip(self.shifts, self.widths):
             sub = self._part(codes, at, width)
             order = np.argsort(sub, kind="stable")
             keys, first = np.unique(sub[order], return_index=True)
-            slot = np.full(1 << width, -1, np.int64)
+            slot = np.full(1 << width, -1, np.int32)
             slot[keys] = np.arange(len(keys))
-            self.keys.append(keys)
             self.rows.append(order)
             self.starts.append(np.append(first, len(sub)))
             self.slots.append(slot)
@@ -133,12 +140,10 @@ class MultiIndex:
             if reach < 0:
                 continue
             own = int(self._part(np.array([code], np.uint64), at, width)[0])
-            masks, keys = self._masks[width][reach], self.keys[t]
-            if len(masks) <= len(keys):
-                hit = self.slots[t][masks ^ own]
-                hit = hit[hit >= 0]
-            else:       # fewer substrings occur than the neighbourhood has
-                hit = np.flatnonzero(np.bitwise_count(keys ^ own) <= reach)
+            masks = self._masks[width][reach]
+            self.lookups += len(masks)
+            hit = self.slots[t][masks ^ own]
+            hit = hit[hit >= 0]
             starts, ends = self.starts[t][hit], self.starts[t][hit + 1]
             sizes = ends - starts
             if len(sizes):
@@ -148,14 +153,22 @@ class MultiIndex:
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
+def _retrieved(indexes: list[MultiIndex], codes: np.ndarray, radius: int) -> np.ndarray:
+    """Rows that one of a query's codes retrieves."""
+    mark = np.zeros(len(indexes[0].codes), bool)
+    for index, code in zip(indexes, codes):
+        mark[index.within(code, radius)] = True
+    return np.flatnonzero(mark)
+
+
 def _search(model: Codes, k: int, ids, vectors, query_ids, queries):
     """(query, id, distance) of the k nearest that each query retrieves."""
-    index = MultiIndex(model.encode(vectors), bits=model.bits)
+    indexes = [MultiIndex(codes, bits=model.bits) for codes in model.encode(vectors)]
     out = ([], [], [])
-    for own, query, code in zip(query_ids, queries, model.encode(queries)):
+    for own, query, codes in zip(query_ids, queries, model.encode(queries).T):
         radius = model.radius
         while True:
-            rows = index.within(code, radius)
+            rows = _retrieved(indexes, codes, radius)
             rows = rows[ids[rows] != own]
             if len(rows) >= k or radius >= model.bits:
                 break
@@ -168,17 +181,31 @@ def _search(model: Codes, k: int, ids, vectors, query_ids, queries):
     return out
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids ascending, vectors), each id once with its smallest vector."""
-    ids = table["id"].to_numpy()
-    flat = table["vector"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    vectors = flat.reshape(len(ids), -1)
-    order = np.argsort(ids, kind="stable")
-    if (np.diff(ids[order]) == 0).any():
-        order = np.lexsort((*vectors.T[::-1], ids))
-    ids, vectors = ids[order], vectors[order]
-    first = np.append(True, np.diff(ids) != 0)
-    return ids[first], vectors[first]
+def _blocks(batches, size: int, rows: int):
+    """(ids, vectors) of up to ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def made():
+        table = pa.Table.from_batches(held)
+        return _matrix(table, size)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows - count)
+            held.append(some)
+            at, count = at + some.num_rows, count + some.num_rows
+            if count == rows:
+                yield made()
+                held, count = [], 0
+    if held:
+        yield made()
+
+
+def _matrix(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors)."""
+    flat = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table["id"].to_numpy(), flat.astype(np.float64).reshape(-1, size)
 
 
 def usable(vector: str, size: int | None = None) -> Column:
@@ -198,38 +225,46 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     schema = "query_id long, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"),
                           F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = materialize(rows.where(F.col("id").isNotNull() & usable("vector")), "vectors")
+    rows = rows.where(F.col("id").isNotNull() & usable("vector"))
     size = (rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "d").first())
+    none = (spark.createDataFrame([], schema)
+            .select("query_id", F.lit(1).alias("rank"), "vec_id", "score"))
     if size is None:
-        return (spark.createDataFrame([], schema)
-                .select("query_id", F.lit(1).alias("rank"), "vec_id", "score"))
-    rows = rows.where(F.size("vector") == size.d)
+        return none
+    # each id once
+    rows = materialize(rows.where(F.size("vector") == size.d).groupBy("id").agg(
+        F.min("vector").alias("vector"), F.max("asks").alias("asks")), "vectors")
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
+    if not asked:
+        return none
     learn = (hash_sample(rows, F.xxhash64(F.lit(SEED), "id"), sample, total, "id")
-             .select("vector").toArrow())                                # bounded by ``sample``
-    flat = learn["vector"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    model = spark.sparkContext.broadcast(Codes(flat.reshape(-1, size.d), k))
-
-    blocks = -(-total // BLOCK_ROWS)
-    query_blocks = max(1, -(-asked // QUERY_ROWS))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.select("id", "vector", place(blocks).alias("block"),
-                        every(query_blocks).alias("ask"))
-    asks = rows.where("asks").select("id", "vector", place(query_blocks).alias("ask"),
-                                     every(blocks).alias("block"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if left.num_rows and right.num_rows:
-            found = _search(model.value, k, *_matrix(left), *_matrix(right))
-        return pa.table({"query_id": pa.array(found[0], pa.int64()),
-                         "vec_id": pa.array(found[1], pa.int64()),
-                         "score": pa.array(found[2], pa.float64())})
-
-    found = (index.groupBy("block", "ask").cogroup(asks.groupBy("block", "ask"))
-             .applyInArrow(search, schema))
+             .select("id", "vector").toArrow())                          # bounded by ``sample``
+    model = spark.sparkContext.broadcast(Codes(_matrix(learn, size.d)[1], k))
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * size.d)))
+
+    query_blocks = -(-asked // QUERY_ROWS)
+    block = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(query_blocks))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order).cast(T.IntegerType()))
-            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    path = scratch_path(spark, "nearest")
+    for i in range(query_blocks):
+        asks = rows.where("asks").where(block == i).select("id", "vector").toArrow()
+        if not asks.num_rows:
+            continue
+        found = rows.select("id", "vector").mapInArrow(
+            _searcher(model, spark.sparkContext.broadcast(_matrix(asks, size.d)), k, size.d, block_rows),
+            schema)
+        (found.withColumn("rank", F.row_number().over(order).cast(T.IntegerType()))
+         .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+         .write.mode("append").parquet(path))
+    return spark.read.schema("query_id long, rank int, vec_id long, score double").parquet(path)
+
+
+def _searcher(model, queries, k: int, size: int, block_rows: int):
+    def run(batches):
+        for ids, vectors in _blocks(batches, size, block_rows):
+            found = _search(model.value, k, ids, vectors, *queries.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()),
+                 pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
+    return tidy(run)

@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -39,6 +40,25 @@ def test_recall(spark, sf):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_tables_are_looked_up_and_retrieve_less_than_a_tenth(spark):
+    """Neighbourhoods of substrings in the tables, whatever the block's size: the places
+    looked up are the masks of the reach, and no list of codes or keys is gone through."""
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").collect()
+    vectors = np.array([r.embedding for r in rows], float)
+    model = H.Codes(vectors, 10)
+    indexes = [H.MultiIndex(codes) for codes in model.encode(vectors)]
+    share = []
+    for i in range(0, len(vectors), 100):
+        before = [x.lookups for x in indexes]
+        share.append(len(H._retrieved(indexes, model.encode(vectors[i:i + 1])[:, 0], model.radius))
+                     / len(vectors))
+        a, b = divmod(model.radius, 4)
+        masks = [sum(comb(16, j) for j in range(reach + 1))
+                 for reach in [a] * (b + 1) + [a - 1] * (3 - b)]
+        assert [x.lookups - y for x, y in zip(indexes, before)] == [sum(masks)] * len(indexes)
+    assert model.radius <= 24 and np.mean(share) < 0.1
+
+
 def test_probing_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     for bits in (64, 30, 5):
