@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.session import materialize
+
 #: White space of the document contracts: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,6 +62,28 @@ def numbered(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable]
             lambda out: out.select(*inner.columns).toDF(*names))
 
 
+#: Keys that :func:`join_hot_first` broadcasts, at most.
+HOT_KEYS = 1024
+
+
+def join_hot_first(rows: DataFrame, key: str, facts: DataFrame, fact_key: str,
+                   hot: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key, the key itself left out), for
+    rows that have some; null keys have none.
+
+    The ``hot`` keys with the most rows are joined by broadcast, so their rows are not moved;
+    any other key has less than 1/``hot`` of the rows and is joined by shuffling."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(fact_key)).agg(
+        F.count(F.lit(1)).alias("_m"))
+    known = materialize(facts.join(counts, fact_key).withColumnRenamed(fact_key, "_key"), "facts")
+    most = F.broadcast(materialize(known.orderBy(F.desc("_m"), "_key").limit(hot), "hot"))
+    columns = [*rows.columns, *(c for c in facts.columns if c != fact_key)]
+    same = F.col(key) == F.col("_key")
+    rest = rows.join(F.broadcast(most.select("_key")), same, "left_anti")
+    return (rows.join(most, same).select(*columns)
+            .unionByName(rest.join(known, same).select(*columns)))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -79,7 +79,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(pages, path)
     kind = pages.schema["page_id"].dataType
-    return warc.captures(spark, path).select(
+    return warc.captures(spark, path, payloads=False).select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), F.col("refers_to_page").cast(kind).alias("refers_to"))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratus.llm.common import join_hot_first
 from stratus.session import materialize
 
 #: Bytes of records in a file, about.
@@ -99,8 +100,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     total = digests.agg(F.sum(F.col("n") + 2000)).first()[0] or 0
     files = max(1, -(-int(total) // file_bytes))
     shared = plan_revisits(digests, revisit_from)
+    # one payload may be that of most pages
     revisits = materialize(
-        digests.distinct().join(shared, "sha").where(~F.col("page_id").eqNullSafe(F.col("first")))
+        join_hot_first(digests.distinct(), "sha", shared, "sha")
+        .where(~F.col("page_id").eqNullSafe(F.col("first")))
         .select(F.col("sha").alias("s"), F.col("page_id").alias("p"), "first"), "revisits")
     rows = rows.join(revisits, (F.col("sha") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")),
                      "left")
@@ -266,19 +269,26 @@ def resolve(captures: DataFrame) -> DataFrame:
     named = captures.withColumn("page_id", F.col("metadata.fields")["pageId"])
     target = (named.where("type = 'response'").groupBy(F.col("record_id").alias("t"))
               .agg(F.first("page_id").alias("refers_to_page")))
-    revisits = named.where("type = 'revisit'").join(
-        target, F.col("refers_to") == F.col("t"), "left").drop("t")
-    return named.where("type = 'response'").withColumn(
-        "refers_to_page", F.lit(None).cast("string")).unionByName(revisits)
+    # one response may be referred to by most captures
+    revisits = named.where("type = 'revisit'")
+    found = join_hot_first(revisits, "refers_to", target, "t")
+    lost = revisits.join(target, F.col("refers_to") == F.col("t"), "left_anti")
+    none = F.lit(None).cast("string")
+    return (named.where("type = 'response'").unionByName(lost).withColumn("refers_to_page", none)
+            .unionByName(found))
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Captures of the archives under ``path`` with payload_bytes and
     payload_digest of the full payload: measured where the payload is stored,
-    as stated by the record for revisits."""
+    as stated by the record for revisits.
+
+    The archives are read once: records are written as a table, without their payloads
+    unless ``payloads``, and assembled from it."""
     records = read_records(spark, path).withColumns({
         "payload_bytes": F.octet_length("payload").cast("long"),
         "payload_digest": base32_sha1(F.col("payload"))})
+    records = materialize(records if payloads else records.drop("payload"), "records")
     stated = F.regexp_extract("http_head", r"(?i)(?:^|\r\n)Content-Length:\s*(\d+)", 1).cast("long")
     again = F.col("type") == "revisit"
     return resolve(assemble(records)).withColumns({

@@ -56,6 +56,32 @@ def test_round_trip(spark, least, file_bytes):
         assert r.target_uri is None or "\n" not in r.target_uri
 
 
+def test_hot_payload_and_captures_without_payloads(spark, monkeypatch):
+    """Most pages share the empty payload; keys beyond the broadcast ones are shuffled."""
+    import stratus.llm.common as C
+    data = [(i, "u", "" if i % 3 else f"p{i % 5}", "c") for i in range(200)]
+    for hot in (1024, 1):
+        monkeypatch.setattr(C.join_hot_first, "__defaults__", (hot,))
+        path = scratch_path(spark, "warc")
+        W.write_archive(spark.createDataFrame(data, SCHEMA), path)
+        got = W.captures(spark, path, payloads=False)
+        assert "payload" not in got.columns
+        assert sorted(str((int(r.page_id), r.payload_bytes, r.payload_digest, r.type,
+                           r.refers_to_page and int(r.refers_to_page))) for r in got.collect()
+                      ) == expected(data)
+
+
+def test_revisit_of_a_record_that_is_not_there(spark):
+    row = lambda t, i, refers, page: (t, i, None, refers, "u", "d", "c", None, "head", None, b"p", page)
+    data = [row("response", "a", None, "1"), row("revisit", "b", "a", "2"), row("revisit", "c", "gone", "3"),
+            row("revisit", "d", None, "4")]
+    df = spark.createDataFrame(data, W.RECORD + ", page string").withColumn(
+        "metadata", W.F.struct(W.F.create_map(W.F.lit("pageId"), "page").alias("fields")))
+    got = W.resolve(df).collect()
+    assert sorted((r.page_id, r.refers_to_page) for r in got if r.refers_to_page) == [("2", "1")]
+    assert sorted(r.page_id for r in got) == ["1", "2", "3", "4"]
+
+
 def test_records_in_any_order_and_alone(spark):
     row = lambda t, i, to=None, f=None: (t, i, to, None, "u", "d", "c", None, f"{t} head", f, b"p")
     data = [row("metadata", "m1", "a", {"pageId": "1"}), row("response", "b"), row("request", "r1", "a"),
