@@ -45,7 +45,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str] = (),
                 method: str = "rank", out: str = "rank", n: int | None = None,
-                ranges: int | None = None) -> DataFrame:
+                ranges: int | None = None, written: list | None = None) -> DataFrame:
     """Add column ``out`` = ``method`` over (PARTITION BY ``partition_by``
     ORDER BY ``order_by``), computed without single-task windows.
 
@@ -56,7 +56,8 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     (ascending), so the numbering is a function of the data alone; rows equal
     in every column are interchangeable. Results are ``int`` like Spark's.
     ``ranges``: number of range partitions (default: Spark's shuffle
-    partitions, coalesced by AQE when small).
+    partitions, coalesced by AQE when small). ``written``: a list that gets the rows as
+    they were written on the way, for other uses of ``df`` that would compute it again.
     """
     if method not in _METHODS:
         raise ValueError(f"method must be one of {_METHODS}")
@@ -77,6 +78,8 @@ def rank_within(df: DataFrame, order_by: Sequence, *, partition_by: Sequence[str
     by = [F.col(p) for p in parts] + sorts + spread
     rows = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
     rows = materialize(rows.withColumn("_range", F.spark_partition_id()), "rank-rows")
+    if written is not None:
+        written.append(rows.select(*cols))
     keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.min("_range").alias("_range"))
 
     within = Window.partitionBy(*parts, "_range").orderBy(*sorts)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratus.functions.numeric import mean_exact, sum_exact
-from stratus.session import materialize
 from stratus.operators.ranking import rank_top, rank_within
 
 
@@ -105,11 +104,11 @@ def diurnal_oscillation_rank(df: DataFrame, entity: str, value: str, *,
         F.round(mean_exact("_osc", scale), 2).alias(avg_n),
         F.round(F.max("_osc"), 2).alias(max_n),
         F.round(F.min("_osc"), 2).alias(min_n))
-    per_period = materialize(per_period, "oscillation")   # read by both rankings
-    overall = per_period.groupBy(entity).agg(
+    written: list[DataFrame] = []         # the period rows, read by both rankings
+    ranked = rank_within(per_period, [(avg_n, True)], partition_by=[period],
+                         method="rank", out=rank_n, written=written)
+    overall = written[0].groupBy(entity).agg(
         F.round(mean_exact(avg_n, scale), 2).alias(overall_n))
     overall = rank_within(overall, [(overall_n, True)], method="rank", out=overall_rank_n)
-    ranked = rank_within(per_period, [(avg_n, True)], partition_by=[period],
-                         method="rank", out=rank_n)
     # one row per entity on the right: the join never multiplies rows
     return ranked.join(overall, on=entity, how="left")
