@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import hash_sample, map_table, whole_text, worker_state
+from stratus.llm.common import hash_sample, map_table, tidy, whole_text, worker_state
 from stratus.session import materialize
 
 BITS = 18
@@ -41,8 +41,8 @@ BITS = 18
 SAMPLE = 4096
 #: FTRL-proximal: learning rate, smoothing, L1 and L2 strength, passes over a batch.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 0.05, 1e-3, 3
-#: Rows of a training batch.
-BATCH = 512
+#: Rows of a training batch, and tasks that make the vectors.
+BATCH, FIT_TASKS = 512, 32
 #: Words whose hashes a Python worker keeps; a full cache is emptied.
 CACHE = 1 << 18
 
@@ -115,10 +115,12 @@ def logistic(x):
 
 def _vectors(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        made = [features(t, bits) for t in batch["text"]]
-        yield pd.DataFrame({"turn": batch["turn"], "label": batch["label"],
-                            "places": [p.tolist() for p, _ in made],
-                            "gram_values": [v.tolist() for _, v in made]})
+        for at in range(0, len(batch), BATCH // 4):            # lists take much room
+            some = batch.iloc[at:at + BATCH // 4]
+            made = [features(t, bits) for t in some["text"]]
+            yield pd.DataFrame({"turn": some["turn"].to_numpy(), "label": some["label"].to_numpy(),
+                                "places": [p.tolist() for p, _ in made],
+                                "gram_values": [v.tolist() for _, v in made]})
 
 
 def _train(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
@@ -147,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text"))
              .join(chosen, "_id").groupBy("_id", "turn", "label").agg(F.max("text").alias("text"))
              .select("turn", "label", "text"))
-    vectors = materialize(texts.mapInPandas(
-        lambda b: _vectors(b, bits),
+    vectors = materialize(texts.repartition(FIT_TASKS, "turn").mapInPandas(
+        tidy(lambda b: _vectors(b, bits)),
         "turn long, label double, places array<long>, gram_values array<double>"), "vectors")
     # the sample is bounded, so one task may read it
     learned = (vectors.repartition(1).sortWithinPartitions("turn", "label")

@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.common import hash_sample, map_table, whole_text, worker_state
+from stratus.llm.common import hash_sample, map_table, tidy, whole_text, worker_state
 from stratus.session import materialize
 
 #: Examples of each class, at most.
 SAMPLE = 2048
-#: Neighbours that vote.
-K = 15
+#: Neighbours that vote, and tasks that count the examples' terms.
+K, FIT_TASKS = 15, 32
 #: Terms at most; likelihood ratio and lift that a term needs; examples that hold it, at least.
 VOCABULARY, RATIO, LIFT, HELD = 1 << 13, 20.0, 3.0, 3
 BLOCK = 64
@@ -238,10 +238,12 @@ def build(examples: list[tuple[str, int, Counter]], totals: tuple[float, float],
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts = [term_counts(t) for t in batch["text"]]
-        yield pd.DataFrame({"id": batch["id"], "label": batch["label"],
-                            "term": [list(c) for c in counts],
-                            "n": [list(c.values()) for c in counts]})
+        for at in range(0, len(batch), 128):                   # lists take much room
+            some = batch.iloc[at:at + 128]
+            counts = [term_counts(t) for t in some["text"]]
+            yield pd.DataFrame({"id": some["id"].to_numpy(), "label": some["label"].to_numpy(),
+                                "term": [list(c) for c in counts],
+                                "n": [list(c.values()) for c in counts]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
@@ -259,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     texts = (docs.select(F.col(id_col).cast("string").alias("id"),
                          whole_text(text_col).alias("text"))
              .join(chosen, "id").groupBy("id", "label").agg(F.max("text").alias("text")))
-    counted = materialize(texts.mapInPandas(
-        _count, "id string, label int, term array<string>, n array<int>"), "counted")
+    counted = materialize(texts.repartition(FIT_TASKS, "id").mapInPandas(
+        tidy(_count), "id string, label int, term array<string>, n array<int>"), "counted")
     n = dict(counted.groupBy("label").count().collect())
     n0, n1 = n.get(0, 0), n.get(1, 0)
     # the terms that enough examples hold, with their examples of each class
