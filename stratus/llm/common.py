@@ -44,14 +44,20 @@ def tidy(run: Callable, keep: bool = False) -> Callable:
         try:
             yield from run(batches)
         finally:
-            if not keep:
-                _kept.clear()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):     # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _give_back(keep)
     return tidied
 
 
+def _give_back(keep: bool) -> None:
+    # a function of its own: a nested one is pickled with a copy of ``_kept``, and
+    # would clear that instead of the worker's
+    if not keep:
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):     # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def numbered(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable]:
     """``df`` with its columns named c0, c1, …, so that no helper column's name clashes
     and dots don't matter; those names of ``cols``; and a function that gives a

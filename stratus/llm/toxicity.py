@@ -35,9 +35,10 @@ rows; other columns pass through, one named like an output is replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -160,6 +161,8 @@ class Model:
     rates: np.ndarray        # and the rate at each of them
     alone: float             # rate of texts without a neighbour
     k: int = K
+    #: Names the model in a worker's cache: places of terms differ between models.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def vector(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         if not counts:
@@ -169,7 +172,7 @@ class Model:
         return both[:, 0], weights / np.sqrt(weights @ weights)
 
     def text_vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known, get = worker_state("toxicity", dict), self.terms.get
+        known, get = worker_state(("toxicity", self.key), dict), self.terms.get
         counts: dict[int, int] = {}
         for word in _WORD.findall(text.lower()):
             places = known.get(word)

@@ -121,3 +121,21 @@ def test_no_labels_one_class_and_repeated_rows(spark):
     assert all(r.score < 0.5 for r in X.score(docs, model).collect())
     empty = X.fit(docs.limit(0), one)
     assert empty.index.ids == [] and X.score(docs, empty).count() == 60
+
+
+def test_models_that_follow_each_other_in_a_worker(spark):
+    """Workers are used again: words cached for one model are not another's."""
+    def made(n):
+        docs = spark.createDataFrame(
+            [(i, " ".join([f"{'bad' if i % 2 else 'good'}{j}word" for j in range(n)] + ["all"]))
+             for i in range(24)], "doc_id long, text string")
+        return docs, X.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    (docs, large), (_, small) = made(60), made(2)
+    assert len(large.terms) > 4 * len(small.terms) > 0
+    for model in (large, small, large):
+        got = X.score(docs.repartition(4), model).select("doc_id", "score", "evidence").collect()
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        for r in got:
+            found, cosines = model.index.nearest(*model.text_vector(texts[r.doc_id]), model.k)
+            assert r.score == model.score(found, cosines)
+            assert [e.id for e in r.evidence] == [model.index.ids[p] for p in found]
