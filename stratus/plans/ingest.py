@@ -142,7 +142,7 @@ def kafka_records(events: DataFrame) -> DataFrame:
 def q_kafka_payloads(spark, sf):
     accepted, rejected = accept_payloads(
         kafka_records(table(spark, sf, "events")), PAYLOAD, PAYLOAD_FIELDS,
-        required=("name", "main.temp"), keep=RECORD)
+        required=("name", "main.temp"), keep=RECORD, store=materialize)
     return accepted.unionByName(rejected.drop("value"), allowMissingColumns=True)
 
 

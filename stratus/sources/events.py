@@ -5,7 +5,7 @@ chooses the source."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +51,8 @@ def parse_events(df: DataFrame, value_col: str = "value",
 
 def accept_payloads(records: DataFrame, schema: T.StructType = EVENT_SCHEMA,
                     fields: Mapping[str, str] = EVENT_FIELDS, required: Sequence[str] = ("name",),
-                    value_col: str = "value", keep: Sequence[str] = ()
+                    value_col: str = "value", keep: Sequence[str] = (),
+                    store: Callable[[DataFrame], DataFrame] | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """Records with a binary (or text) JSON payload as (accepted, rejected).
 
@@ -60,6 +61,10 @@ def accept_payloads(records: DataFrame, schema: T.StructType = EVENT_SCHEMA,
     UTF-8``, ``not JSON`` (also an array or a bare value), ``wrong type`` (a declared
     field holds another type) or ``no <path>`` for the first required path without
     a value. One projection over the records, batch or stream: each branch filters it.
+    The reason passes a generator of one row, which filters stay above; otherwise Spark
+    puts the whole parsing into the filter, once for every place that names it. With
+    ``store`` (such as ``materialize``) both branches read what it stored of a batch, so
+    each payload is parsed once.
     """
     raw = F.col(value_col)
     text = F.try_validate_utf8(raw.cast("string"))
@@ -68,12 +73,15 @@ def accept_payloads(records: DataFrame, schema: T.StructType = EVENT_SCHEMA,
     # JSON that Spark reads as a document of any kind, to tell it from none
     any_kind = F.try_parse_json(text)
     reason = (F.when(raw.isNull(), "no payload").when(text.isNull(), "not UTF-8")
-              .when(any_kind.isNull() | ~F.schema_of_variant(any_kind).startswith("OBJECT"),
+              .when(~F.coalesce(F.schema_of_variant(any_kind).startswith("OBJECT"), F.lit(False)),
                     "not JSON")
               .when(F.col("_data._line").isNotNull(), "wrong type"))
     for path in required:
         reason = reason.when(F.col(f"_data.{path}").isNull(), f"no {path}")
-    marked = records.withColumn("_data", parsed).withColumn("_reason", reason)
+    marked = (records.withColumn("_data", parsed).withColumn("_reason", reason)
+              .withColumn("_reason", F.explode(F.array("_reason"))))
+    if store:
+        marked = store(marked)
     accepted = flatten_event(marked.where("_reason IS NULL"), fields, "_data", tuple(keep))
     rejected = marked.where("_reason IS NOT NULL").select(
         *keep, F.col(value_col), F.col("_reason").alias("reason"))

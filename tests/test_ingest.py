@@ -147,6 +147,28 @@ def test_payloads_of_a_stream(spark, scratch):
     assert [r.reason for r in spark.read.parquet(f"{scratch}/bad").collect()] == ["not JSON"]
 
 
+def test_payloads_are_parsed_once(spark):
+    """Not once more for every place of a filter that names the parsed record."""
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    events = spark.createDataFrame(
+        [(i, None, i, "a", 1.5, '{"k": 3}') for i in range(60)],
+        "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    records, stored = I.kafka_records(events), []
+    for df in accept_payloads(records, I.PAYLOAD, I.PAYLOAD_FIELDS, ("name", "main.temp")):
+        assert plan(df).count("from_json(") == 1 and plan(df).count("parseJson(") <= 2
+
+    def store(df):
+        stored.append(df)
+        return I.materialize(df)
+    pairs = [accept_payloads(records, I.PAYLOAD, I.PAYLOAD_FIELDS, ("name", "main.temp"),
+                             keep=("offset",), store=s) for s in (None, store)]
+    assert len(stored) == 1 and not any("from_json(" in plan(df) for df in pairs[1])
+    for one, two in zip(*pairs):
+        assert one.schema == two.schema
+        assert sorted(one.collect()) == sorted(two.collect()) != []
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_event_stream(spark, "kafka", options={"subscribe": "t"})
