@@ -306,9 +306,8 @@ class Decoder:
 
 
 def _worker(kind, spec):
-    """One vocabulary or encoder per Python worker and tokenizer."""
-    make = {Vocabulary: lambda: Vocabulary(spec), Encoder: lambda: Encoder(Vocabulary(spec))}
-    return worker_state((kind.__name__, hash(spec)), make[kind])
+    """One encoder or decoder per Python worker and tokenizer."""
+    return worker_state((kind.__name__, hash(spec)), lambda: kind(Vocabulary(spec)))
 
 
 def _slices(batches) -> Iterator[pa.RecordBatch]:
@@ -355,7 +354,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
     at = tokens.columns.index(ids_col)
 
     def run(batches):
-        decoder = Decoder(_worker(Vocabulary, spec.value))
+        decoder = _worker(Decoder, spec.value)        # holds the tokens, not the merges
         for batch in _slices(batches):
             column = batch.column(at)
             texts = [decoder.decode(column[i].values.to_numpy(zero_copy_only=False)

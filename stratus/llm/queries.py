@@ -15,7 +15,7 @@ from stratus.llm.hamming_index import nearest
 from stratus.llm.main_text import extract
 from stratus.llm.mixing import mix
 from stratus.llm.ngram_join import near_duplicates
-from stratus.session import scratch_path
+from stratus.session import materialize, scratch_path
 
 
 #: Scores from here on count as good, or as toxic.
@@ -94,9 +94,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip. The ids are
+    written between its halves, so a task runs one Python worker at a time."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    ids = materialize(bpe.encode(docs.select("doc_id", "text"), path), "ids")
+    back = bpe.decode(ids, path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
                        .alias("ids_sha256"),

@@ -102,3 +102,15 @@ def test_tables(spark, library):
     assert sorted(map(len, (r.tokens for r in back))) == sorted(
         len(library.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows)
     assert B.decode(B.encode(df.limit(0), PATH), PATH).count() == 0
+
+
+def test_a_task_runs_one_python_worker_and_decoders_hold_no_merges(spark, monkeypatch):
+    from stratus.llm import common
+    from stratus.llm.queries import byte_bpe_digests
+    docs = spark.createDataFrame([(2, "a b"), (1, None), (2, "a b")], "doc_id long, text string")
+    back = byte_bpe_digests(docs)
+    assert back._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.n_tokens for r in back.collect()) == [0, 2, 2]
+    monkeypatch.setattr(common, "_kept", {})
+    assert not hasattr(B._worker(B.Decoder, open(PATH, encoding="utf-8").read()), "vocabulary")
+    assert [type(kept) for kept in common._kept.values()] == [B.Decoder]
