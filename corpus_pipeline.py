@@ -56,8 +56,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE round trip of every row."""
-    return byte_bpe_digests(docs)
+    """Byte-level BPE round trip of every row. Executors still hold what the stages
+    before took, so the ids are written in between."""
+    return byte_bpe_digests(docs, stored=True)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near),

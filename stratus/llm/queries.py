@@ -93,12 +93,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def byte_bpe_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip. The ids are
-    written between its halves, so a task runs one Python worker at a time."""
+def byte_bpe_digests(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a round trip. With ``stored``
+    the ids are written between its halves, so a task runs one Python worker at a time:
+    less memory for some disk and CPU."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = materialize(bpe.encode(docs.select("doc_id", "text"), path), "ids")
-    back = bpe.decode(ids, path)
+    ids = bpe.encode(docs.select("doc_id", "text"), path)
+    back = bpe.decode(materialize(ids, "ids") if stored else ids, path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
                        .alias("ids_sha256"),

@@ -105,10 +105,10 @@ def test_tables(spark, library):
 
 
 def test_a_task_runs_one_python_worker_and_decoders_hold_no_merges(spark, monkeypatch):
+    import corpus_pipeline
     from stratus.llm import common
-    from stratus.llm.queries import byte_bpe_digests
     docs = spark.createDataFrame([(2, "a b"), (1, None), (2, "a b")], "doc_id long, text string")
-    back = byte_bpe_digests(docs)
+    back = corpus_pipeline.tokens(spark, docs, "")
     assert back._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(r.n_tokens for r in back.collect()) == [0, 2, 2]
     monkeypatch.setattr(common, "_kept", {})
